@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -21,6 +22,8 @@ MAGIC = b"EFTK1\0\0\0"
 EVERY = 64
 #: Pieces between ASCII white space. The vocabulary drops white space and no pattern of it spans any, so pieces encode alone.
 PIECE = re.compile(r"[^\x20\x09-\x0D]+")
+#: The vocabulary's pattern within Latin-1, with its classes of letters, numbers and white space written out.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 
 
 class EliasFano:
@@ -105,26 +108,66 @@ class Block:
 
 
 class Encoder:
-    """Ids of whole texts. Each distinct piece between ASCII white space is encoded by the library once and then remembered."""
+    """Ids of whole texts. Each distinct unit is encoded by the library once a worker and then remembered (bounded; emptied when full).
 
-    MOST = 400_000
+    A unit is a piece between ASCII white space. Where all characters are Latin-1 and no special token can be meant, units are
+    what the vocabulary's own pattern finds in the lower-cased text: the letters without their punctuation, far fewer distinct.
+    """
+
+    MOST = 1_200_000
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end_id], "<u4").tobytes(), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a pre-token
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encoded(self, units: list[str], single: bool) -> list[bytes]:
+        """Ids of each unit. Where each is a single pre-token: many at once, with blanks between them."""
+        out: list[bytes] = []
+        for a in range(0, len(units), 1000):
+            some = units[a : a + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if single and len(cuts) == len(some):
+                data = ids.tobytes()
+                out += [data[4 * x : 4 * y] for x, y in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            else:
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def units(self, text: str) -> tuple[list[str], bool]:
+        """The text's units, and whether each is a single pre-token."""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return LATIN.findall(text.lower()), True
+        return PIECE.findall(text), False
 
     def __call__(self, text: str | None) -> np.ndarray:
-        pieces, known = PIECE.findall(text or ""), self.known
-        if new := list({p for p in pieces if p not in known}):
+        (units, single), known = self.units(text or ""), self.known
+        try:
+            found = [known[u] for u in units]
+        except KeyError:
             if len(known) > self.MOST:
                 known.clear()
-                new = list(set(pieces))
-            known.update((p, tuple(e.ids)) for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-        ids = [i for p in pieces for i in known[p]]
-        ids.append(self.end_id)
-        return np.array(ids, np.uint32)
+            new = list({u for u in units if u not in known})
+            known.update(zip(new, self.encoded(new, single), strict=True))
+            found = [known[u] for u in units]
+        found.append(self.end)
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+@functools.cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One a Python worker, for all its tasks."""
+    return Encoder(path, end_id)
 
 
 def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 1 << 20, parts: int | None = None) -> None:
@@ -140,7 +183,7 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoder(tokenizer, end_id), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         names: list[int | None] = []
         runs: list[np.ndarray] = []
         held = number = 0
