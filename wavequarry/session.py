@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -36,3 +38,31 @@ def shipped(query: Callable) -> Callable:
         return query(spark, *args, **kwargs)
 
     return run
+
+
+#: Most rows a side may have to be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset (local runs)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and gives later plans true sizes."""
+    path = f"{shared_dir(df.sparkSession)}/{re.sub('[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what written() has left in the shared folder; frames built on it can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most bound rows; reads no more than that."""
+    return df.limit(bound + 1).count() <= bound
