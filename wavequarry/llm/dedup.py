@@ -123,6 +123,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
 
+def short_sets(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id and set, the shingles as hashes of 32 bits."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sets = [(shingles(t.as_py(), k, words) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "set": pa.array(sets, pa.list_(pa.int32()))})
+
+    return texts.select("doc_id", "data").mapInArrow(scan, "doc_id long, set array<int>")
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of the edges (a, b).
 
@@ -168,7 +180,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
        members form components.
     3. In buckets whose members aren't of one component yet, each is compared with a member that the bucket's key picks.
     4. In buckets that still aren't of one component, all pairs across components are compared, each in its first common
-       bucket, by size and sketch within the join, so only likely links come out. No bucket, however large, is cut or skipped.
+       bucket, by size, sketch and then whole sets within the join, so only links come out. No bucket, however large, is cut or
+       skipped; the work there grows with the members outside the bucket's largest component times its size.
     All links are confirmed on the full sets. Texts of candidates alone are written once for that.
     """
     sig = written(signatures(docs, doc_id, text, k), "dedup_signatures")
@@ -205,11 +218,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     picked = open_1.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("id"), "root")).alias("p"))
     pairs = open_1.join(picked, "key").where(F.col("root") != F.col("p.root")).select(F.col("doc_id").alias("a"), F.col("p.id").alias("b"))
     links = written(links.unionByName(confirmed(likely(pairs), texts, k, percent)), "dedup_links")
-    open_2 = unresolved(links, "dedup_2").join(marks, "doc_id")
+    open_2 = unresolved(links, "dedup_2")
+    sets = written(short_sets(texts.join(open_2.select("doc_id").distinct(), "doc_id"), k), "dedup_sets")
+    open_2 = open_2.join(marks, "doc_id").join(sets, "doc_id")
     x, y = open_2.alias("x"), open_2.alias("y")
-    earlier = F.exists(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     first_common = F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & similar("x", "y", percent) & earlier & (first_common == F.col("x.key")))
+    # Hashes of 32 bits can count a shingle too many, or fall together within a text; two to spare, and the full sets decide.
+    inter = F.size(F.array_intersect("x.set", "y.set")) + 2
+    enough = 100 * inter >= percent * (F.col("x.n") + F.col("y.n") - inter)
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    across = x.join(y, apart & similar("x", "y", percent) & (first_common == F.col("x.key")) & enough)
     last = written(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "dedup_across")
     links = links.unionByName(confirmed(last, texts, k, percent))
     roots = components(links, "dedup_3")
