@@ -35,8 +35,9 @@ def natural_key(c: Column) -> Column:
     plain = F.regexp_replace(low, r"(?<=\d),(?=\d)", "")
     # A number with a single dot has a fraction: its zeros at the end go, and it is kept apart from the whole part.
     trimmed = F.regexp_replace(plain, r"(?<![\d.])(\d*)\.(\d*?)0*(?![\d.])", "$1.$2")
-    marked = F.regexp_replace(trimmed, r"(?<![\d.])(\d*)\.(\d+)(?![\d.])", "0$1\u0001$2")
-    parts = F.regexp_extract_all(marked, F.lit(r"(\u0001\d+|\d+|[^\d\u0001]+)"), 1)
+    marked = F.regexp_replace(trimmed, r"(?<![\d.])(\d*)\.(\d+)(?![\d.])", "0$1\u0001$2\u0002")
+    marked = F.regexp_replace(marked, "(?<![\\d.\u0001])(\\d+)\\.?(?![\\d.\u0001])", "$1\u0001\u0002")
+    parts = F.regexp_extract_all(marked, F.lit("(\u0001\\d*\u0002|\\d+|[^\\d\u0001]+)"), 1)
 
     def key(p):
         digits = F.regexp_replace(p, "^0+(?=.)", "")

@@ -249,10 +249,10 @@ def peak_hold(spark, sf_dir):
     return stats.peak_hold(event_samples(spark, sf_dir).withColumn("idx", F.col("idx") % 64))
 
 
-@query(f"{S} SELECT trace, idx % 64 AS place, round(sum(value) / any_value(n), 6) AS value FROM s JOIN (SELECT trace, count(DISTINCT idx // 64) AS n FROM s GROUP BY trace) USING (trace) GROUP BY 1, 2")
+@query(f"{S} SELECT trace, idx % 64 AS place, round(sum(value) / any_value(n), 9) AS value FROM s JOIN (SELECT trace, count(DISTINCT idx // 64) AS n FROM s GROUP BY trace) USING (trace) GROUP BY 1, 2")
 def slice_mean(spark, sf_dir):
     s = event_samples(spark, sf_dir).select("trace", F.floor(F.col("idx") / 64).alias("slice"), (F.col("idx") % 64).alias("place"), "value")
-    return stats.slice_mean(s).withColumn("value", r("value"))
+    return stats.slice_mean(s).withColumn("value", r("value", 9))
 
 
 @query(
@@ -336,10 +336,10 @@ def add_calculations() -> None:
     ):
 
         def single(spark, sf_dir, kind=kind):
-            return out(calc.calculate(kind, event_samples(spark, sf_dir), ["click"]))
+            return calc.calculate(kind, event_samples(spark, sf_dir), ["click"]).select("trace", "event_id", r("out", 9).alias("out"))
 
         single.__name__ = f"calc_{kind.lower()}"
-        query(one(expression, "s WHERE trace = 'click'"))(single)
+        query(one(expression, "s WHERE trace = 'click'").replace(", 6) AS out", ", 9) AS out"))(single)
 
 
 add_calculations()
@@ -499,11 +499,11 @@ def set_selected(spark, sf_dir):
     f"""{S}, a AS (SELECT trace, idx, {primed("value", 8)} AS value FROM s), c AS (SELECT *, lag(value) OVER (PARTITION BY trace ORDER BY idx) AS p FROM a),
 x AS (SELECT trace, min(idx) AS start FROM c WHERE p < 55 AND value >= 55 GROUP BY trace), z AS (SELECT a.trace, idx - start AS idx, value FROM a JOIN x ON a.trace = x.trace AND idx >= start AND idx - start < 400),
 n AS (SELECT trace, max(idx) + 1 AS n, count(*) AS k FROM z GROUP BY trace), p AS (SELECT trace, k AS n, unnest(range(100)) AS pixel FROM n)
-SELECT p.trace, pixel, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean FROM p JOIN z ON z.trace = p.trace AND idx >= pixel * n // 100 AND idx < greatest((pixel + 1) * n // 100, pixel * n // 100 + 1) GROUP BY 1, 2"""
+SELECT p.trace, pixel, round(min(value), 9) AS low, round(max(value), 9) AS high, round(avg(value), 9) AS mean FROM p JOIN z ON z.trace = p.trace AND idx >= pixel * n // 100 AND idx < greatest((pixel + 1) * n // 100, pixel * n // 100 + 1) GROUP BY 1, 2"""
 )
 def view_pipeline(spark, sf_dir):
     view = View(filter=lambda s: windows.moving_average(s, 8), trigger=55.0, zoom=(0, 400), width=100)
-    return view(event_samples(spark, sf_dir)).select("trace", "pixel", *[r(c).alias(c) for c in ("low", "high", "mean")])
+    return view(event_samples(spark, sf_dir)).select("trace", "pixel", *[r(c, 9).alias(c) for c in ("low", "high", "mean")])
 
 
 # Recursive filters
