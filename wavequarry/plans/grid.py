@@ -229,7 +229,7 @@ def nearest(df: DataFrame, column: str, value: str) -> DataFrame:
     target = F.lit(value).try_cast("double")
     low = F.lower(F.col(column).cast("string"))
     rank = F.when(target.isNotNull() & number.isNotNull(), F.struct(F.lit(0).alias("k"), F.abs(number - target).alias("d"), "_pos"))
-    rank = F.coalesce(rank, F.when(low == value.lower(), F.struct(F.lit(1).alias("k"), F.lit(0.0).alias("d"), "_pos")), F.when(low >= value.lower(), F.struct(F.lit(2).alias("k"), F.lit(0.0).alias("d"), "_pos")), F.struct(F.lit(3).alias("k"), F.lit(0.0).alias("d"), -F.col("_pos")))
+    rank = F.coalesce(rank, F.when(low == value.lower(), F.struct(F.lit(1).alias("k"), F.lit(0.0).alias("d"), "_pos")), F.when(low >= value.lower(), F.struct(F.lit(2).alias("k"), F.lit(0.0).alias("d"), "_pos")), F.struct(F.lit(3).alias("k"), F.lit(0.0).alias("d"), (-F.col("_pos")).alias("_pos")))
     return df.withColumn("__r", rank).orderBy("__r").limit(1).drop("__r")
 
 
