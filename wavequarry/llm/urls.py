@@ -74,7 +74,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, page_id: str =
     rules are (verdict, host/path) with verdict allow or block; they fit a host and its subdomains where the path starts with
     the rule's, the longest wins, and the pages they judge are the labelled ones. Other pages get the verdict of their
     template: block where its share of bad labels, smoothed by alpha pages at the overall rate, is at least purity. A template
-    without labels is allowed unless the overall rate is that high. Null urls and those without :// have an empty host and path
+    without labels is allowed. Null urls and those without :// have an empty host and path
     and are judged likewise; null ids stay null; repeated rows all count and come out; empty tables give no rows; other
     columns are ignored.
     """
@@ -86,6 +86,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, page_id: str =
     bad, labelled = placed.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     overall = (bad + 1) / (labelled + 2)
     share = (F.col("bad") + alpha * overall) / (F.col("labelled") + alpha)
-    judged = placed.select("host", "path", "template").join(counts.select("host", "template", share.alias("bad_share")), ["host", "template"])
-    verdict = F.coalesce("ruled", F.when(F.col("bad_share") >= purity, "block").otherwise("allow"))
+    judged = placed.select("host", "path", "template").join(
+        counts.select("host", "template", share.alias("bad_share"), (F.col("labelled") > 0).alias("known")), ["host", "template"]
+    )
+    verdict = F.coalesce("ruled", F.when(F.col("known") & (F.col("bad_share") >= purity), "block").otherwise("allow"))
     return ruled.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "bad_share")
