@@ -264,3 +264,30 @@ def test_empty_traces(spark):
     e = spark.createDataFrame([], "trace string, idx long, value double")
     for df in (windows.rolling_mean(e, 5), windows.integrated(e), stats.trace_stats(e), stats.histogram(e, 4), triggers.crossings(e, 1.0), sequential.linear_filter(e, sequential.rc(0.1)), spectral.spectrum(spectral.frames(e, 8))):
         assert df.count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 1 << 16])
+def test_long_filters_match_short_ones(spark, size, monkeypatch):
+    s = trace(spark, np.random.default_rng(3).normal(0, 1, 150))
+    taps = np.random.default_rng(4).normal(0, 1, 14).tolist()
+    kernel = values(windows.fir(s, taps, size=size)), values(windows.centred_fir(s, taps, 2.0, size=size))
+    monkeypatch.setattr(windows, "SHORT", 99)
+    close(kernel[0], values(windows.fir(s, taps, size=size)))
+    close(kernel[1], values(windows.centred_fir(s, taps, 2.0, size=size)))
+
+
+def test_sinks(spark, tmp_path):
+    from wavequarry.model import seconds
+
+    s = trace(spark, [1, 2.5])
+    files.write_matrix(s, f"{tmp_path}/m")
+    assert spark.read.text(f"{tmp_path}/m").first()[0] == "a 1.0 2.5"
+    files.write_names(s, f"{tmp_path}/n", "CH.", "!")
+    assert [r[0] for r in spark.read.text(f"{tmp_path}/n").collect()] == ["CH.a!"]
+    files.write_log(spark.createDataFrame([(1.0, "info", "x", None, "t", "n", "say \"hi\"", 2.0, "f", 3, b"\x01\xff")], files.LOG), f"{tmp_path}/log")
+    assert files.read_table(spark, f"{tmp_path}/log").first()["data"] == "01FF"
+    files.save_state(s, spark.createDataFrame([("a", 8.0)], "trace string, sps double"), f"{tmp_path}/state")
+    assert files.load_state(spark, f"{tmp_path}/state")[0].count() == 2
+    assert spark.sql("SELECT TIMESTAMP_NTZ'1970-01-01 00:00:01.5' AS ts").select(seconds("ts")).first()[0] == 1.5
+    with pytest.raises(ValueError, match="reader"):
+        files.read_any(spark, "x.unknown")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import windows
+from . import lookup, spectral, windows
 
 
 def all_present(s: DataFrame, traces: list[str], combine: Callable[[], Column]) -> DataFrame:
@@ -97,6 +97,24 @@ def quantised(s: DataFrame, offset: float = 1.0, scale: float = 32767.0) -> Data
     return s.withColumn("out", F.round((F.col("value") - offset) * scale) / scale)
 
 
+def poly_filtered(s: DataFrame, order: int = 5) -> DataFrame:
+    """The polynomial that fits the whole trace best; the trace must fit in a task."""
+    f = spectral.poly_filtered(spectral.whole(s), order)
+    return f.select("trace", F.posexplode("samples").alias("idx", "out")).withColumn("idx", F.col("idx").cast("long"))
+
+
+#: Most taps that a trace may have as a kernel.
+KERNEL = 4096
+
+
+def fir_by_trace(s: DataFrame, a: str, b: str) -> DataFrame:
+    """Trace a through the centred filter whose taps are trace b, of at most KERNEL samples."""
+    taps = [r[0] for r in s.where(F.col("trace") == b).orderBy("idx").select("value").limit(KERNEL + 1).collect()]
+    if len(taps) > KERNEL:
+        raise ValueError(f"a kernel has at most {KERNEL} taps")
+    return windows.centred_fir(s.where(F.col("trace") == a), taps).select("idx", "out")
+
+
 #: Calculations of a single trace by name, with their parameters' defaults.
 SINGLE: dict[str, Callable[..., DataFrame]] = {
     "Abs": lambda s: s.withColumn("out", F.abs("value")),
@@ -109,9 +127,12 @@ SINGLE: dict[str, Callable[..., DataFrame]] = {
     "Quantize": quantised,
     "RollingRMS": lambda s, window=100: windows.rolling_rms(s, window),
     "RollingMean": lambda s, window=100: windows.rolling_mean(s, window),
+    "PolyFilter": poly_filtered,
+    "ProjectYTtoY": lambda s: lookup.to_uniform(s).select("trace", F.col("i").alias("idx"), F.col("value").alias("out")),
+    "Resample": lambda s, count=100: lookup.resampled(s, count).select("trace", F.col("i").alias("idx"), F.col("value").alias("out")),
 }
 #: Of exactly two traces, and of two or more.
-PAIR = {"Atan2": atan2, "Difference": difference, "Subtract": subtract, "RescaledError": rescaled_error, "NormalisedError": normalised_error}
+PAIR = {"Atan2": atan2, "Difference": difference, "Subtract": subtract, "RescaledError": rescaled_error, "NormalisedError": normalised_error, "FIR": fir_by_trace}
 MANY = {"Magnitude": magnitude, "Sum": total, "Mean": mean, "Product": product}
 
 

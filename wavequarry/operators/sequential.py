@@ -258,6 +258,11 @@ class Kalman:
         return out
 
 
+def kalman_ahead(x: np.ndarray, steps: int, dt: float = 1.0) -> np.ndarray:
+    """Positions that a state (position, velocity) reaches in the next steps."""
+    return x[0] + x[1] * dt * np.arange(1, steps + 1)
+
+
 class Pid:
     """Controller: proportional, integral (clamped) and derivative (low-passed) parts of target less sensor, the output clamped."""
 

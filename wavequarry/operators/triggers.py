@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import BLOCK
+from ..model import BLOCK, blocks
 from .sequential import sequential
 from .windows import lagged
 
@@ -57,3 +57,14 @@ def triggered_slices(s: DataFrame, level: float, rising: bool = True, back: int
 def changed_points(s: DataFrame, size: int = BLOCK) -> DataFrame:
     """Samples whose value differs from the one before; the first sample goes."""
     return lagged(s, 1, size).where(F.col("lagged").isNotNull() & (F.col("lagged") != F.col("value"))).drop("lagged")
+
+
+def since_change(s: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Adds out: the time of each sample since the state (its value) last changed, or since the start."""
+    changed = lagged(s, 1, size).withColumn("at", F.when(F.col("lagged").isNull() | (F.col("lagged") != F.col("value")), F.col("t"))).drop("lagged")
+    rows = blocks(changed, size=size)
+    ends = rows.groupBy("trace", "block").agg(F.max("at").alias("m"))
+    carried = F.max("m").over(Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max("at").over(Window.partitionBy("trace", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("inside", inside).join(ends.select("trace", "block", carried.alias("carried")), ["trace", "block"])
+    return joined.withColumn("out", F.col("t") - F.coalesce("inside", "carried")).drop("at", "inside", "carried", "block", "own")

@@ -7,8 +7,10 @@ counts as if its first sample had come for ever before.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..model import BLOCK, blocks, framed, running_sum
 
@@ -115,9 +117,36 @@ def steady_state(s: DataFrame, n: int, limit: float, size: int = BLOCK) -> DataF
     return rows.withColumn("inside", inside).join(carry, ["trace", "block"]).withColumn("out", F.coalesce("inside", "carried", F.lit(0.0))).drop("inside", "carried", "steady", "block", "own", "std", "rms", "mean", "sum", "sum_square")
 
 
+#: Longer filters run as a NumPy kernel on blocks, shorter ones as sums of lags.
+SHORT = 12
+
+
+def _long_fir(s: DataFrame, taps: list[float], gain: float, after: int, size: int) -> DataFrame:
+    """Taps times the samples from len(taps) - 1 - after ahead to `after` behind, the first and last standing for those beyond the ends: per block with its margins."""
+    before, weights = len(taps) - 1 - after, np.asarray(taps) * gain
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        x, idx = t["value"].to_numpy(), t["idx"].to_numpy()
+        own = np.flatnonzero(t["own"].to_numpy(zero_copy_only=False))
+        if not len(own):
+            return t.select(names).append_column("out", pa.array(np.zeros(len(t)))).slice(0, 0)
+        lo, hi = int(own[0]), int(own[-1]) + 1
+        front, back = max(0, before - lo), max(0, after - (len(x) - hi))
+        y = np.correlate(np.concatenate([np.full(front, x[0]), x, np.full(back, x[-1])]), weights, "valid")
+        start = lo + front - before
+        return t.select(names).slice(lo, hi - lo).append_column("out", pa.array(y[start : start + hi - lo]))
+
+    names = s.columns
+    schema = StructType([*s.schema.fields, StructField("out", DoubleType())])
+    return blocks(s, before, after, size).groupBy("trace", "block").applyInArrow(run, schema)
+
+
 def fir(s: DataFrame, taps: list[float], gain: float = 1.0, size: int = BLOCK) -> DataFrame:
     """Sum of taps times the primed history, oldest first (a correlation)."""
     n = len(taps)
+    if n > SHORT:
+        return _long_fir(s, taps, gain, 0, size)
     w = Window.partitionBy("trace", "block").orderBy("idx")
     first = F.first("value").over(w.rowsBetween(-(n - 1), 0))
     terms = [F.coalesce(F.lag("value", n - 1 - k).over(w) if k < n - 1 else F.col("value"), first) * float(taps[k]) for k in range(n)]
@@ -130,6 +159,10 @@ def fir(s: DataFrame, taps: list[float], gain: float = 1.0, size: int = BLOCK) -
 def centred_fir(s: DataFrame, taps: list[float], gain: float = 1.0, size: int = BLOCK) -> DataFrame:
     """fir() shifted by half its length, the last sample standing for those after the end; 0 in traces shorter than half the taps."""
     n, half = len(taps), len(taps) // 2
+    length = s.groupBy("trace").agg(F.count("*").alias("__n"))
+    if n > SHORT:
+        rows = _long_fir(s, taps, gain, half, size)
+        return rows.join(length, "trace").withColumn("out", F.when(F.col("__n") >= half, F.col("out")).otherwise(0.0)).drop("__n")
     w = Window.partitionBy("trace", "block").orderBy("idx")
     wide = w.rowsBetween(-(n - 1 - half), half)
     terms = []
@@ -140,7 +173,6 @@ def centred_fir(s: DataFrame, taps: list[float], gain: float = 1.0, size: int =
     out = terms[0]
     for t in terms[1:]:
         out = out + t
-    length = s.groupBy("trace").agg(F.count("*").alias("__n"))
     rows = blocks(s, before=n - 1 - half, after=half, size=size).withColumn("out", out * gain).where("own").drop("block", "own")
     return rows.join(length, "trace").withColumn("out", F.when(F.col("__n") >= half, F.col("out")).otherwise(0.0)).drop("__n")
 

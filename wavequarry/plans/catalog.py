@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, vector
 from ..model import event_samples
-from ..operators import calc, lookup, sequential, spectral, stats, triggers, windows
+from ..operators import calc, lookup, registry, sequential, spectral, stats, triggers, windows
 from ..session import shared_dir, shipped
 from ..sources import files, generators
 from ..streaming import live
@@ -355,6 +355,44 @@ def xy_pairs(spark, sf_dir):
     return calc.xy(event_samples(spark, sf_dir), "click", "view")
 
 
+@query()
+def calc_polyfilter(spark, sf_dir):
+    return calc.calculate("PolyFilter", event_samples(spark, sf_dir), ["click"]).withColumn("out", r("out"))
+
+
+@query(
+    f"""{S}, k AS (SELECT idx, value FROM s WHERE trace = 'view' AND idx < 3), c AS (SELECT * FROM s WHERE trace = 'click'),
+p AS (SELECT idx, value, coalesce(lag(value) OVER w, value) AS a, coalesce(lead(value) OVER w, value) AS b FROM c WINDOW w AS (ORDER BY idx))
+SELECT idx, round(a * (SELECT value FROM k WHERE idx = 0) + value * (SELECT value FROM k WHERE idx = 1) + b * (SELECT value FROM k WHERE idx = 2), 6) AS out FROM p"""
+)
+def calc_fir(spark, sf_dir):
+    s = event_samples(spark, sf_dir).where("trace = 'click' OR (trace = 'view' AND idx < 3)")
+    return calc.calculate("FIR", s, ["click", "view"]).withColumn("out", r("out"))
+
+
+@query()
+def named_filters(spark, sf_dir):
+    s, parts = event_samples(spark, sf_dir).where("idx < 300").select("trace", "idx", "value"), None
+    for name in ("Box 10", "Delay 5", "Lpf 0.1", "Hpf 0.1", "Notch 0.1", "SG 10/3", "RMS 100", "A 48k", "Bessel"):
+        p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", r("out").alias("out"))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts
+
+
+@query(
+    f"""{S}, v AS (SELECT trace, idx, t, floor(value / 50) AS v FROM s), c AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL OR lag(v) OVER w <> v THEN t END AS since FROM v WINDOW w AS (PARTITION BY trace ORDER BY idx))
+SELECT trace, idx, round(t - max(since) OVER (PARTITION BY trace ORDER BY idx), 4) AS out FROM c"""
+)
+def since_change(spark, sf_dir):
+    s = event_samples(spark, sf_dir).withColumn("value", F.floor(F.col("value") / 50).cast("double"))
+    return triggers.since_change(s).select("trace", "idx", r("out", 4).alias("out"))
+
+
+@query(f"{S} SELECT idx, trace || '.Value' AS \"column\", value FROM s UNION ALL SELECT idx, trace || '.Time', t FROM s")
+def export_columns(spark, sf_dir):
+    return files.export_columns(event_samples(spark, sf_dir), True)
+
+
 # Lookups
 
 

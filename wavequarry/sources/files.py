@@ -71,6 +71,33 @@ def samples_to_wide(s: DataFrame, traces: list[str]) -> DataFrame:
     return s.where(F.col("trace").isin(traces)).groupBy("idx").agg(*[F.max(F.when(F.col("trace") == t, F.col("value"))).alias(t) for t in traces])
 
 
+def write_matrix(s: DataFrame, path: str) -> None:
+    """A line a trace: its name and its values with blanks between. A line is a row, so each trace must fit in a task."""
+    packed = s.groupBy("trace").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
+    packed.select(F.concat_ws(" ", "trace", F.transform("v.value", lambda x: x.cast("string")))).write.text(path)
+
+
+def write_names(traces: DataFrame, path: str, prefix: str = "", suffix: str = "") -> None:
+    """The traces' names, decorated, a line each."""
+    traces.select(F.concat(F.lit(prefix), "trace", F.lit(suffix))).distinct().write.text(path)
+
+
+def export_columns(s: DataFrame, timed: bool) -> DataFrame:
+    """Samples in the long form of an export: X.Time and X.Value for traces with times, else X."""
+    value = F.struct(F.when(F.lit(timed), F.concat("trace", F.lit(".Value"))).otherwise(F.col("trace")).alias("column"), F.col("value").alias("v"))
+    cells = [value, F.struct(F.concat("trace", F.lit(".Time")).alias("column"), F.col("t").alias("v"))] if timed else [value]
+    return s.select("idx", F.explode(F.array(*cells)).alias("c")).select("idx", "c.column", F.col("c.v").alias("value"))
+
+
+#: Columns of the structured log.
+LOG = "time double, level string, source string, thread string, type string, name string, text string, value double, file string, line long, data binary"
+
+
+def write_log(entries: DataFrame, path: str, compression: str | None = None) -> None:
+    """Log entries (LOG) as CSV, bytes as hexadecimal digits."""
+    write_table(entries.withColumn("data", F.hex("data")), path, compression)
+
+
 def read_numeric(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """A Parquet file's columns as numbers (timestamps in seconds), and why others were left out. Columns' metadata stay: write_numeric keeps rate, offset and length there."""
     from ..model import seconds
