@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     x, y = open_2.alias("x"), open_2.alias("y")
     first_common = F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
     # Hashes of 32 bits can count a shingle too many, or fall together within a text; two to spare, and the full sets decide.
-    inter = F.size(F.array_intersect("x.set", "y.set")) + 2
-    enough = 100 * inter >= percent * (F.col("x.n") + F.col("y.n") - inter)
+    # The intersection stands in the condition once: written twice, it would be worked out ahead of the cheap bounds.
+    enough = (100 + percent) * (F.size(F.array_intersect("x.set", "y.set")) + 2) >= percent * (F.col("x.n") + F.col("y.n"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
     across = x.join(y, apart & similar("x", "y", percent) & (first_common == F.col("x.key")) & enough)
     last = written(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "dedup_across")
