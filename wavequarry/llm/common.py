@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import BROADCAST_ROWS, few, release, shared_dir, written
+
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "few", "join_few", "release", "remainder", "shared_dir", "table", "written"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most rows a side may have to be broadcast; beyond it the callers take another way.
-BROADCAST_ROWS = 100_000
 #: Copies of the small side in a salted join.
 SALTS = 64
 
@@ -19,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset (local runs)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and gives later plans true sizes."""
-    path = f"{shared_dir(df.sparkSession)}/{re.sub('[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what written() has left in the shared folder; frames built on it can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else. lower() does just that where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -48,10 +28,6 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def few(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    return df.limit(bound + 1).count() <= bound
-
-
 def join_few(df: DataFrame, small: DataFrame, on: Column, how: str, salt: Column, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df joined to a table with a row a key: broadcast when that has at most bound rows (counted), else a join in which each key of df is dealt over SALTS tasks by salt."""
     if few(small, bound):
