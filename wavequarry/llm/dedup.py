@@ -186,11 +186,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     sig = written(signatures(docs, doc_id, text, k), "dedup_signatures")
     some = sig.where(F.col("n").__gt__(0) & F.col("doc_id").isNotNull())
-    classes = some.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    # What is aggregated by a key is written before it is joined by that key: two plain shuffles, whose hot keys adaptive execution splits.
+    classes = written(some.groupBy("print").agg(F.min("doc_id").alias("rep")), "dedup_prints")
     rows = written(some.join(classes, "print").select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.struct("bands", "sketch")).alias("s")), "dedup_classes")
     reps = rows.where(F.col("s").isNotNull()).select("doc_id", "n", "s.bands", "s.sketch").dropDuplicates(["doc_id", "n"])
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).where("members > 1").drop("members")
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).where("members > 1").drop("members"), "dedup_keys")
     buckets = written(keys.join(shared, "key"), "dedup_buckets")
     ids = buckets.select("doc_id").distinct()
     ids = written(ids, "dedup_ids")
@@ -210,12 +211,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         roots = components(links, name)
         rooted = buckets.select("key", "doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         rooted = written(rooted, f"{name}_rooted")
-        mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        mixed_keys = written(rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), f"{name}_keys")
         return written(rooted.join(mixed_keys, "key"), f"{name}_open")
 
     links = written(confirmed(likely(buckets.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), texts, k, percent), "dedup_links")
     open_1 = unresolved(links, "dedup_1")
-    picked = open_1.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("id"), "root")).alias("p"))
+    picked = written(open_1.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("id"), "root")).alias("p")), "dedup_picked")
     pairs = open_1.join(picked, "key").where(F.col("root") != F.col("p.root")).select(F.col("doc_id").alias("a"), F.col("p.id").alias("b"))
     links = written(links.unionByName(confirmed(likely(pairs), texts, k, percent)), "dedup_links")
     open_2 = unresolved(links, "dedup_2")
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     last = written(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "dedup_across")
     links = links.unionByName(confirmed(last, texts, k, percent))
     roots = components(links, "dedup_3")
-    least = roots.groupBy("root").agg(F.min("node").alias("least"))
+    least = written(roots.groupBy("root").agg(F.min("node").alias("least")), "dedup_least")
     named = written(roots.join(least, "root").select("node", "least"), "dedup_components")
     joined = rows.join(named, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
     rest = sig.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
