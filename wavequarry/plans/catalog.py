@@ -12,7 +12,7 @@ from ..functions import scalar, vector
 from ..model import event_samples
 from ..operators import calc, lookup, registry, sequential, spectral, stats, triggers, windows
 from ..session import shared_dir, shipped
-from ..sources import files, generators
+from ..sources import datasource, files, generators
 from ..streaming import live
 from .grid import Grid, reachable
 from .view import View, offset_and_length, set_range
@@ -718,6 +718,13 @@ def tone(spark, sf_dir):
     return generators.tone(spark, 10000, 1000.0, 10000.0, 2.0).withColumn("value", r("value"))
 
 
+@query("SELECT 'tone' AS trace, i AS idx, round(3 * sin(2 * pi() * 50 / 8000 * i), 6) AS value FROM (SELECT unnest(range(5000)) AS i)")
+def signal_source(spark, sf_dir):
+    datasource.register(spark)
+    s = spark.read.format("signal").options(kind="tone", count=5000, hz=50, sps=8000, amplitude=3, run=1000).load()
+    return s.withColumn("value", r("value"))
+
+
 @query()
 def sweep(spark, sf_dir):
     return generators.sweep(spark, 10000, 1000.0, 2000.0, 4.0, 10000.0).withColumn("value", r("value"))
