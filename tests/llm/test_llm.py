@@ -513,3 +513,11 @@ def test_pipeline(spark, tmp_path):
     assert kept[1] - kept[2] == {2000}
     assert kept[3] <= kept[2] and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_native_operators_have_no_python(spark):
+    rng = random.Random(16)
+    df = docs_of(spark, [(i, sentence(rng, 20), "a") for i in range(20)])
+    bench = spark.createDataFrame([(1, sentence(rng, 12))], "item_id long, text string")
+    for out in (mixing.mix_counts(df), mixing.mix(df), decontaminate.find_windows(df, bench), decontaminate.drop_contaminated(df, bench)):
+        assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
