@@ -221,15 +221,19 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = written(links.unionByName(confirmed(likely(pairs), texts, k, percent)), "dedup_links")
     open_2 = unresolved(links, "dedup_2")
     sets = written(short_sets(texts.join(open_2.select("doc_id").distinct(), "doc_id"), k), "dedup_sets")
-    open_2 = open_2.join(marks, "doc_id").join(sets, "doc_id")
-    x, y = open_2.alias("x"), open_2.alias("y")
+    # Each bucket's largest component meets the members outside it, not itself.
+    roots_of = open_2.groupBy("key", "root").agg(F.count("*").alias("members"))
+    top = written(roots_of.groupBy("key").agg(F.max(F.struct("members", "root")).alias("m")).select("key", F.col("m.root").alias("top")), "dedup_top")
+    open_2 = open_2.join(top, "key").join(marks, "doc_id").join(sets, "doc_id")
+    x, y = open_2.where("root <> top").alias("x"), open_2.alias("y")
     first_common = F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
     # Hashes of 32 bits can count a shingle too many, or fall together within a text; two to spare, and the full sets decide.
     # The intersection stands in the condition once: written twice, it would be worked out ahead of the cheap bounds.
     enough = (100 + percent) * (F.size(F.array_intersect("x.set", "y.set")) + 2) >= percent * (F.col("x.n") + F.col("y.n"))
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once
     across = x.join(y, apart & similar("x", "y", percent) & (first_common == F.col("x.key")) & enough)
-    last = written(across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "dedup_across")
+    last = written(across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "dedup_across")
     links = links.unionByName(confirmed(last, texts, k, percent))
     roots = components(links, "dedup_3")
     least = written(roots.groupBy("root").agg(F.min("node").alias("least")), "dedup_least")
