@@ -36,56 +36,69 @@ class Counter:
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        self.ends = {p[i:] for p in pieces for i in range(len(p))}  # no piece reaches further back than these
         self.floor = min(pieces.values(), default=0.0) - 10.0
         self.reset()
 
     def reset(self) -> None:
         self.child: dict[int, int] = {}
-        self.score: list[tuple[float, int]] = [(0.0, 0)]
+        self.score: list[float] = [0.0]
+        self.tokens: list[int] = [0]
         self.counts: dict[str, int] = {}
 
-    def step(self, text: str, i: int, before) -> tuple[float, int]:
-        """The score and negative count of text[:i]; before(j) has those of text[:j]."""
-        best = None
-        for j in range(max(0, i - self.longest), i):
-            s = self.pieces.get(text[j:i])
-            if s is None and j == i - 1:
-                n = len(text[j].encode("utf-8", "surrogatepass"))
-                a, b = before(j)
-                found = (a + n * self.floor, b - n)
-            elif s is None:
-                continue
-            else:
-                a, b = before(j)
-                found = (a + s, b - 1)
-            if best is None or found > best:
-                best = found
-        return best
+    def step(self, text: str, i: int, path: list[int]) -> None:
+        """Appends the score and count of text[:i]; path has the nodes of its prefixes."""
+        pieces, ends, score, tokens = self.pieces, self.ends, self.score, self.tokens
+        last = text[i - 1]
+        best, fewest = None, 0
+        if last not in pieces:
+            n = len(last.encode("utf-8", "surrogatepass"))
+            best, fewest = score[path[i - 1]] + n * self.floor, tokens[path[i - 1]] + n
+        for j in range(i - 1, -1, -1):
+            piece = text[j:i]
+            if piece not in ends:
+                break
+            s = pieces.get(piece)
+            if s is not None:
+                node = path[j]
+                s += score[node]
+                if best is None or s > best or (s == best and tokens[node] < fewest - 1):
+                    best, fewest = s, tokens[node] + 1
+        score.append(best)
+        tokens.append(fewest)
 
     def __call__(self, word: str) -> int:
         """Tokens of one pre-token."""
-        if (known := self.counts.get(word)) is not None:
-            return known
         text = START + word
-        if len(text) > self.LONG:
-            scores = [(0.0, 0)]
+        if len(text) > self.LONG:  # the same steps on a trie of its own
+            alone = Counter.__new__(Counter)
+            alone.pieces, alone.ends, alone.floor = self.pieces, self.ends, self.floor
+            alone.reset()
+            path = list(range(len(text) + 1))
             for i in range(1, len(text) + 1):
-                scores.append(self.step(text, i, scores.__getitem__))
-            return -scores[-1][1]
+                alone.step(text, i, path)
+            return alone.tokens[-1]
         if len(self.score) > self.MOST:
             self.reset()
-        child, score, path = self.child, self.score, [0]
+        child, path = self.child, [0]
         for i, c in enumerate(text, 1):
             key = path[-1] << 21 | ord(c)
             node = child.get(key)
             if node is None:
-                node = child[key] = len(score)
-                score.append(self.step(text, i, lambda j: score[path[j]]))
+                node = child[key] = len(self.score)
+                self.step(text, i, path)
             path.append(node)
-        self.counts[word] = n = -score[path[-1]][1]
+        self.counts[word] = n = self.tokens[path[-1]]
         return n
 
+    def total(self, words: list[str]) -> int:
+        """Tokens of all words; those met before are looked up."""
+        try:
+            return sum([self.counts[w] for w in words])
+        except KeyError:
+            known = self.counts.get
+            return sum([self(w) if (n := known(w)) is None else n for w in words])
+
 
 @functools.cache
 def counter(path: str) -> Counter:
@@ -108,7 +121,7 @@ def count_tokens(docs: DataFrame, *, vocabulary_path: str, doc_id: str = "doc_id
             for t in batch.column(1):
                 found = WORD.findall(t.as_py() or "")
                 words.append(len(found))
-                tokens.append(sum(map(count, found)))
+                tokens.append(count.total(found))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_words": pa.array(words, pa.int64()), "n_tokens": pa.array(tokens, pa.int64())})
 
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
