@@ -114,7 +114,7 @@ class Encoder:
     what the vocabulary's own pattern finds in the lower-cased text: the letters without their punctuation, far fewer distinct.
     """
 
-    MOST = 1_200_000
+    MOST = 340_000
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
