@@ -372,7 +372,7 @@ def calc_fir(spark, sf_dir):
 
 @query()
 def named_filters(spark, sf_dir):
-    s, parts = event_samples(spark, sf_dir).where("idx < 300").select("trace", "idx", "value"), None
+    s, parts = event_samples(spark, sf_dir).select("trace", "idx", "value"), None
     for name in ("Box 10", "Delay 5", "Lpf 0.1", "Hpf 0.1", "Notch 0.1", "SG 10/3", "RMS 100", "A 48k", "Bessel"):
         p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", r("out").alias("out"))
         parts = p if parts is None else parts.unionByName(p)
@@ -553,6 +553,7 @@ SELECT trace, idx, round(state, 6) AS out FROM f"""
 
 
 def early(spark, sf_dir) -> DataFrame:
+    """As far as the recursive SQL goes; the queries ..._whole take every sample and have no SQL."""
     return event_samples(spark, sf_dir).where("idx < 200").select("trace", "idx", "value")
 
 
@@ -585,6 +586,31 @@ def rc_slew_limited(spark, sf_dir):
     return state(sequential.sequential(early(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, 10.0)))
 
 
+@query()
+def rc_low_pass_whole(spark, sf_dir):
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rc(0.2371)))
+
+
+@query()
+def cr_high_pass_whole(spark, sf_dir):
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.cr(0.2371)))
+
+
+@query()
+def drc_envelope_whole(spark, sf_dir):
+    return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, drc=True)))
+
+
+@query()
+def rolling_average_whole(spark, sf_dir):
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rolling_average(3)))
+
+
+@query()
+def rc_slew_limited_whole(spark, sf_dir):
+    return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, 10.0)))
+
+
 @query()
 def iir_band_pass(spark, sf_dir):
     return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.bessel_band_pass()))
