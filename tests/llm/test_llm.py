@@ -521,3 +521,16 @@ def test_native_operators_have_no_python(spark):
     bench = spark.createDataFrame([(1, sentence(rng, 12))], "item_id long, text string")
     for out in (mixing.mix_counts(df), mixing.mix(df), decontaminate.find_windows(df, bench), decontaminate.drop_contaminated(df, bench)):
         assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_random_strings_of_any_alphabet_are_secrets():
+    encoding, rng = secrets.vocabulary(tokenizer_path("byte_bpe_50k.tiktoken")), random.Random(12)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for name, letters in {"base32": up + "234567", "base36": low + digits, "base62": low + up + digits, "base64url": low + up + digits + "-_"}.items():
+        for n in (16, 20, 24, 32, 48, 64):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(200)]
+            found = sum(secrets.find(f"id {r} end", encoding, 2.0) != [] for r in runs)
+            assert found >= 190, (name, n, found)
+    assert secrets.find("id k3jx9qmz4pw8rt2vhc6n7bd5 end", encoding, 2.0) == [(3, 27, "token")]
+    names = "getUserAccountByName2 spark_sql_shuffle_partitions_200 /usr/local/lib/python3/site-packages MAX_NUMBER_OF_RETRIES_10 2026-11-27-12-30-45 XMLHttpRequestFactoryBean internationalization 1234567890123456 sha256_of_document_text report-2026-11-27-final"
+    assert secrets.find(names, encoding, 2.0) == []

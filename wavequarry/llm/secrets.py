@@ -19,12 +19,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Runs that may be random strings.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hexadecimal lengths of known digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
 #: Parts of an identifier: words, abbreviations, numbers.
-PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: A word has so many letters at least, and so many to a token: what a vocabulary knows is told from random letters by that.
+WORD, KNOWN = 3, 2.5
+#: Letters alone are random under this share of the ratio, as rare and foreign words take many tokens too.
+LETTERS = 0.75
 
 
 def vocabulary(path: str):
@@ -40,18 +44,28 @@ def is_digest(run: str) -> bool:
     return len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) is not None
 
 
-def is_identifier(run: str) -> bool:
-    """A UUID, a number, a path of words, or names joined by humps, _ - / + or =: all but a fifth of the letters and digits lie in such parts."""
+def is_identifier(run: str, encoding) -> bool:
+    """A UUID, a number, a path of words, or names joined by humps, _ - / + or =: all but a fifth of the letters and digits lie in such parts.
+
+    A part of letters counts if the vocabulary shortens it, a number of up to four digits if no other letters touch it.
+    """
     if run.isdigit() or UUID.fullmatch(run):
         return True
-    plain = re.sub(r"[+/_=-]", " ", run)
-    return sum(len(m) for m in PART.findall(plain)) >= 0.8 * len(plain.replace(" ", ""))
+    parts = [(m.start(), m.end(), m[0]) for m in PART.finditer(run)]
+    known = [len(t) >= WORD and len(t) >= KNOWN * len(encoding.encode_ordinary(t)) if t[0].isalpha() else None for _, _, t in parts]
+    # Letters on either side, if they touch the number.
+    before = [None, *[k if a[1] == b[0] else None for a, b, k in zip(parts, parts[1:], known)]]
+    after = [*[k if a[1] == b[0] else None for a, b, k in zip(parts, parts[1:], known[1:])], None]
+    covered = sum(len(t) for (_, _, t), k, x, y in zip(parts, known, before, after) if k or (k is None and len(t) <= 4 and x is not False and y is not False))
+    return covered >= 0.8 * sum(c.isalnum() for c in run)
 
 
 def is_random(run: str, encoding, ratio: float) -> bool:
-    """Letters and digits mixed, or humps, at under ratio characters a token, and neither a digest nor an identifier."""
+    """At under ratio characters a token, less for letters of one case alone, and neither a number, a digest nor an identifier."""
     classes = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run[1:])
-    return classes >= 2 and not is_digest(run) and not is_identifier(run) and len(run) < ratio * len(encoding.encode_ordinary(run))
+    letters = any(c.isalpha() for c in run)
+    most = ratio if classes >= 2 else ratio * LETTERS
+    return letters and len(run) < most * len(encoding.encode_ordinary(run)) and not is_digest(run) and not is_identifier(run, encoding)
 
 
 def find(text: str, encoding, ratio: float) -> list[tuple[int, int, str]]:
@@ -77,7 +91,7 @@ def scan_secrets(docs: DataFrame, *, vocabulary_path: str, doc_id: str = "doc_id
     """Secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token, values.
 
     A narrow pass over the texts, no shuffle. The base kinds match leftmost and without overlap within their kind; matches
-    that are too short are dropped but use up their characters. The token kind adds runs of 20 or more characters that take
+    that are too short are dropped but use up their characters. The token kind adds runs of 16 or more characters that take
     more than one token for each `ratio` characters, unless they overlap a base span or are digests or identifiers.
     values holds the matched texts. Null and empty texts have no spans (the digest of the empty text, an empty list);
     null ids stay null; repeated rows are scanned each; empty tables give no rows; other columns are ignored.
