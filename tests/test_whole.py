@@ -78,3 +78,48 @@ def test_named_filters_take_every_sample(spark, events, monkeypatch):
         padded = np.concatenate([np.full(20, x[0]), x, np.full(20, x[-1])])
         sums = [np.convolve(padded, np.full(10, 0.1), "valid")[20 - d : 20 - d + len(x)] for d in (4, 5)]
         assert min(np.abs(box - s).max() for s in sums) < 2e-6
+
+
+# Vectors
+
+
+@pytest.fixture(scope="module")
+def embeddings(spark):
+    """vec_id to its components."""
+    if not os.path.isdir(DIR):
+        pytest.skip("no test tables here")
+    return {r[0]: np.array(r[1], float) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id", "embedding").collect()}
+
+
+def arrays(df, key, place, name):
+    rows = df.select(key, place, name).toPandas().sort_values([key, place])
+    return {int(k): g[name].to_numpy() for k, g in rows.groupby(key)}
+
+
+@tables
+def test_transforms_take_every_vector(spark, embeddings):
+    assert len(embeddings) > 40
+    run = lambda name: catalog.QUERIES[name](spark, DIR)
+    n = np.arange(64)
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(33), n) / 64) / 64
+    spectra = {k: dft @ x for k, x in embeddings.items()}
+    same(arrays(run("fft_magnitude_whole"), "trace", "bin", "magnitude"), {k: np.abs(z) for k, z in spectra.items()})
+    same(arrays(run("fft_decibel_whole"), "trace", "bin", "db"), {k: 20 * np.log10(np.abs(z)) for k, z in spectra.items()}, 2e-4)
+    same(arrays(run("fft_round_trip_whole"), "trace", "idx", "value"), embeddings)
+    back = lambda z: sum(2 * (z[k] * np.exp(2j * np.pi * n * k / 64)).real for k in range(4, 13))
+    same(arrays(run("fft_band_pass_whole"), "trace", "idx", "value"), {k: back(z) for k, z in spectra.items()})
+    shaped = run("fft_shaped_filters").groupBy("shape").count().collect()
+    assert {r[1] for r in shaped} == {64 * len(embeddings)} and len(shaped) == 6
+
+
+@tables
+def test_vector_queries_take_both_halves(spark, embeddings):
+    a, b = {k: x[:32] * 10 for k, x in embeddings.items()}, {k: x[32:] * 10 for k, x in embeddings.items()}
+    unary, binary = catalog.QUERIES["vector_unary_whole"](spark, DIR).cache(), catalog.QUERIES["vector_binary_whole"](spark, DIR).cache()
+    for name, f in {"abs": np.abs, "reversed": lambda x: x[::-1], "rotated": lambda x: np.roll(x, -2), "diff": lambda x: np.diff(x, prepend=x[0]), "sorted": np.sort}.items():
+        same(arrays(unary, "vec_id", "i", name), {k: f(x) for k, x in a.items()})
+    for name, f in {"plus": lambda x, y: x + y, "times": lambda x, y: x * y, "integral": lambda x, _: np.cumsum(x), "unit": lambda x, _: x / np.sqrt((x * x).sum())}.items():
+        same(arrays(binary, "vec_id", "i", name), {k: f(a[k], b[k]) for k in a})
+    reduced = catalog.QUERIES["vector_reduce_whole"](spark, DIR).toPandas().set_index("vec_id")
+    for name, f in {"sum": lambda x, _: x.sum(), "median": lambda x, _: np.median(x), "rms": lambda x, _: np.sqrt((x * x).mean()), "dot": lambda x, y: x @ y, "norm": lambda x, _: np.sqrt((x * x).sum())}.items():
+        np.testing.assert_allclose(reduced[name].loc[list(a)], [f(a[k], b[k]) for k in a], rtol=0, atol=2e-6)

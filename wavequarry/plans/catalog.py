@@ -653,29 +653,34 @@ def pid(spark, sf_dir):
 
 
 def vectors(spark, sf_dir) -> DataFrame:
-    """Embeddings under id 40 as frames of 64 samples."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40")
+    """Embeddings as frames of 64 samples."""
+    e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").cast("string").alias("trace"), F.lit(0).cast("long").alias("frame"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
+def few_vectors(spark, sf_dir) -> DataFrame:
+    """Those under id 40, as far as the transform's SQL goes; the queries ..._whole take all and have no SQL."""
+    return vectors(spark, sf_dir).where("CAST(trace AS LONG) < 40")
+
+
 DFT = """WITH e AS (SELECT vec_id::VARCHAR AS trace, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id < 40),
 z AS (SELECT trace, k, sum(v * cos(-2 * pi() * i * k / 64)) / 64 AS re, sum(v * sin(-2 * pi() * i * k / 64)) / 64 AS im FROM e, (SELECT unnest(range(33)) AS k) GROUP BY trace, k)"""
 
 
 @query(f"{DFT} SELECT trace, k::INTEGER AS bin, round(sqrt(re * re + im * im), 6) AS magnitude FROM z")
 def fft_magnitude(spark, sf_dir):
-    return spectral.spectrum(vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
+    return spectral.spectrum(few_vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
 
 
 @query("SELECT vec_id::VARCHAR AS trace, unnest(range(64))::INTEGER AS idx, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings WHERE vec_id < 40")
 def fft_round_trip(spark, sf_dir):
-    back = spectral.to_time(spectral.spectrum(vectors(spark, sf_dir)), 64)
+    back = spectral.to_time(spectral.spectrum(few_vectors(spark, sf_dir)), 64)
     return back.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
 
 
 @query(f"{DFT}, b AS (SELECT trace, k, 20 * log10(sqrt(re * re + im * im)) AS db FROM z) SELECT trace, k::INTEGER AS bin, round(db, 4) AS db FROM b")
 def fft_decibel(spark, sf_dir):
-    z = spectral.spectrum(vectors(spark, sf_dir))
+    z = spectral.spectrum(few_vectors(spark, sf_dir))
     return spectral.decibel(z, "magnitude").select("trace", "bin", r("out", 4).alias("db"))
 
 
@@ -684,6 +689,29 @@ def fft_decibel(spark, sf_dir):
 SELECT trace, i::INTEGER AS idx, round(value, 6) AS value FROM t"""
 )
 def fft_band_pass(spark, sf_dir):
+    f = spectral.filtered(few_vectors(spark, sf_dir), lambda n: spectral.band_pass(n, 4, 12))
+    return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
+
+
+@query()
+def fft_magnitude_whole(spark, sf_dir):
+    return spectral.spectrum(vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
+
+
+@query()
+def fft_round_trip_whole(spark, sf_dir):
+    back = spectral.to_time(spectral.spectrum(vectors(spark, sf_dir)), 64)
+    return back.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
+
+
+@query()
+def fft_decibel_whole(spark, sf_dir):
+    z = spectral.spectrum(vectors(spark, sf_dir))
+    return spectral.decibel(z, "magnitude").select("trace", "bin", r("out", 4).alias("db"))
+
+
+@query()
+def fft_band_pass_whole(spark, sf_dir):
     f = spectral.filtered(vectors(spark, sf_dir), lambda n: spectral.band_pass(n, 4, 12))
     return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
 
@@ -871,11 +899,18 @@ def graph_reachable(spark, sf_dir):
 
 
 def arrays(spark, sf_dir) -> DataFrame:
-    """a: the first 8 components times 10; b: the next 8."""
+    """a: the first 8 components times 10; b: the next 8. The element-wise and reducing queries ..._whole take the two halves."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select("vec_id", F.transform(F.slice("v", 1, 8), lambda x: x * 10).alias("a"), F.transform(F.slice("v", 9, 8), lambda x: x * 10).alias("b"))
 
 
+def halves(spark, sf_dir) -> DataFrame:
+    """a and b: the two halves of all components times 10."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 10).alias("v"))
+    n = F.floor(F.size("v") / 2).cast("int")
+    return e.select("vec_id", F.slice("v", F.lit(1), n).alias("a"), F.slice("v", n + 1, n).alias("b"))
+
+
 A = "WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * 10) AS a, list_transform(embedding[9:16], lambda x: x::DOUBLE * 10) AS b FROM embeddings)"
 
 
@@ -894,8 +929,17 @@ def places_sql(columns: dict[str, str], end: int = 9) -> str:
     places_sql({"abs": "abs(a[i])", "ceil": "ceil(a[i])", "floor": "floor(a[i])", "trunc": "trunc(a[i])", "sqrt": "sqrt(abs(a[i]))", "neg": "-a[i]", "square": "a[i] * a[i]", "complement": "1 - a[i]", "reversed": "a[9 - i]", "rotated": "a[(i + 1) % 8 + 1]", "diff": "CASE WHEN i = 1 THEN 0 ELSE a[i] - a[i - 1] END", "wrapped": "a[i] - 2 * round(a[i] / 2)", "sorted": "list_sort(a)[i]", "quantised": "round((least(greatest(a[i], -1), 1) + 1) / 0.5) * 0.5 - 1"})
 )
 def vector_unary(spark, sf_dir):
+    return unary(arrays(spark, sf_dir))
+
+
+@query()
+def vector_unary_whole(spark, sf_dir):
+    return unary(halves(spark, sf_dir))
+
+
+def unary(e: DataFrame) -> DataFrame:
     a = F.col("a")
-    return places(arrays(spark, sf_dir), {
+    return places(e, {
         "abs": vector.absolute(a), "ceil": vector.ceil(a), "floor": vector.floor(a), "trunc": vector.trunc(a), "sqrt": vector.sqrt(vector.absolute(a)), "neg": vector.negated(a), "square": vector.power(a, 2), "complement": vector.complement(a),
         "reversed": F.reverse(a), "rotated": vector.rotated(a, 2), "diff": vector.differentiated(a), "wrapped": vector.wrapped(a, 1.0), "sorted": F.array_sort(a), "quantised": vector.quantised(a, -1.0, 1.0, 5),
     })
@@ -903,8 +947,17 @@ def vector_unary(spark, sf_dir):
 
 @query(places_sql({"plus": "a[i] + b[i]", "minus": "a[i] - b[i]", "times": "a[i] * b[i]", "over": "a[i] / b[i]", "plus_2": "a[i] + 2", "integral": "list_sum(a[1:i])", "mean_3": "list_avg(a[greatest(i - 1, 1):least(i + 1, 8)])", "rescaled": "(a[i] - list_min(a)) / (list_max(a) - list_min(a))", "unit": "a[i] / sqrt(list_sum(list_transform(a, lambda x: x * x)))"}))
 def vector_binary(spark, sf_dir):
+    return binary(arrays(spark, sf_dir))
+
+
+@query()
+def vector_binary_whole(spark, sf_dir):
+    return binary(halves(spark, sf_dir))
+
+
+def binary(e: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return places(arrays(spark, sf_dir), {
+    return places(e, {
         "plus": vector.add(a, b), "minus": vector.subtract(a, b), "times": vector.multiply(a, b), "over": vector.divide(a, b), "plus_2": vector.add(a, 2), "integral": vector.integrated(a), "mean_3": vector.rolling(a, 3, vector.mean), "rescaled": vector.rescaled(a), "unit": vector.normalised(a),
     })
 
@@ -915,8 +968,16 @@ SELECT vec_id, round(list_sum(a), 6) AS sum, round(sq, 6) AS sum_square, round(l
 round(list_avg(list_transform(a, lambda x: abs(x - mean))), 6) AS mad_mean, round(list_median(list_transform(a, lambda x: abs(x - med))), 6) AS mad_median, round(list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])), 6) AS dot, round(sqrt(sq), 6) AS norm FROM m"""
 )
 def vector_reduce(spark, sf_dir):
+    return reduced(arrays(spark, sf_dir))
+
+
+@query()
+def vector_reduce_whole(spark, sf_dir):
+    return reduced(halves(spark, sf_dir))
+
+
+def reduced(e: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    e = arrays(spark, sf_dir)
     cols = {"sum": vector.total(a), "sum_square": vector.sum_square(a), "product": vector.product(a), "mean": vector.mean(a), "median": vector.median(a), "rms": vector.rms(a), "variance": vector.variance(a), "mad_mean": vector.mad_mean(a), "mad_median": vector.mad_median(a), "dot": vector.dot(a, b), "norm": vector.magnitude(a)}
     return e.select("vec_id", *[r(c, 5 if k == "variance" else 6).alias(k) for k, c in cols.items()])
 
