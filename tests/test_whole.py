@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from wavequarry.model import event_samples
-from wavequarry.operators import sequential
+from wavequarry.operators import sequential, spectral
 from wavequarry.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -123,3 +123,20 @@ def test_vector_queries_take_both_halves(spark, embeddings):
     reduced = catalog.QUERIES["vector_reduce_whole"](spark, DIR).toPandas().set_index("vec_id")
     for name, f in {"sum": lambda x, _: x.sum(), "median": lambda x, _: np.median(x), "rms": lambda x, _: np.sqrt((x * x).mean()), "dot": lambda x, y: x @ y, "norm": lambda x, _: np.sqrt((x * x).sum())}.items():
         np.testing.assert_allclose(reduced[name].loc[list(a)], [f(a[k], b[k]) for k in a], rtol=0, atol=2e-6)
+
+
+# Filters over frames
+
+
+@pytest.mark.parametrize("n", [1, 37, 64, 100, 203])
+def test_overlap_add_returns_every_sample(spark, n):
+    x = np.random.default_rng(n).normal(0, 1, n)
+    rows = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "trace string, idx long, value double")
+    same(by_trace(spectral.overlap_added(rows, 64, lambda k: np.ones(k))), {"a": x}, 1e-9)
+
+
+@tables
+def test_poly_filter_returns_every_sample(spark, events):
+    f = catalog.QUERIES["poly_filter"](spark, DIR).selectExpr("trace", "frame * 200 + place AS idx", "value")
+    fit = lambda x: np.polyval(np.polyfit(np.arange(len(x)), x, min(5, len(x) - 1)), np.arange(len(x)))
+    same(by_trace(f, "value"), {t: np.concatenate([fit(x[i : i + 200]) for i in range(0, len(x), 200)]) for t, x in events.items()})

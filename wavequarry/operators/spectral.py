@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def frames(s: DataFrame, width: int, stride: int | None = None) -> DataFrame:
-    """trace, frame, samples: frame f has the width samples from f * stride on; frames that aren't full are left out."""
+def frames(s: DataFrame, width: int, stride: int | None = None, short: bool = False) -> DataFrame:
+    """trace, frame, samples: frame f has the width samples from f * stride on; frames that aren't full are left out, unless short."""
     stride = stride or width
     lo = F.greatest(F.ceil((F.col("idx") - width + 1) / stride), F.lit(0))
     hi = F.floor(F.col("idx") / stride)
     spread = s.where(lo <= hi).select("trace", F.explode(F.sequence(lo, hi)).alias("frame"), "idx", "value")
     packed = spread.groupBy("trace", "frame").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("f"))
-    return packed.where(F.size("f") == width).select("trace", "frame", F.col("f.value").alias("samples"))
+    return (packed if short else packed.where(F.size("f") == width)).select("trace", "frame", F.col("f.value").alias("samples"))
 
 
 def whole(s: DataFrame) -> DataFrame:
@@ -143,11 +143,18 @@ def phase_shifted(f: DataFrame, radians: float) -> DataFrame:
 
 
 def overlap_added(s: DataFrame, width: int, response: Callable[[int], np.ndarray], kind: str = "RaisedCosine") -> DataFrame:
-    """Samples filtered in frames that overlap by half, windowed and added up again: any length, no trace in one task. Ends fade in and out."""
+    """Samples filtered in frames that overlap by half, windowed and added up again: any length, no trace in one task. Every sample has an output; beyond the ends there are zeros."""
     shape = np.sqrt(np.maximum(window_value(np.arange(width) / width, kind, np), 0))
-    shaped = filtered(weighted(frames(s, width, width // 2), shape), response)
+    # Frames start half a width before the trace, so that each sample lies in two of them.
+    stride, own = width // 2, s.groupBy("trace").agg(F.count("*").alias("__n"))
+    packed = frames(s.withColumn("idx", F.col("idx") + stride), width, stride, short=True).join(own, "trace")
+    ahead = F.greatest(F.lit(stride) - F.col("frame") * stride, F.lit(0)).cast("int")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    full = F.concat(zeros(ahead), "samples", zeros(F.lit(width) - ahead - F.size("samples")))
+    shaped = filtered(weighted(packed.select("trace", "frame", full.alias("samples")), shape), response)
     out = weighted(shaped, shape).select("trace", F.col("frame"), F.posexplode("samples").alias("place", "v"))
-    return out.groupBy("trace", (F.col("frame") * (width // 2) + F.col("place")).alias("idx")).agg(F.sum("v").alias("out"))
+    added = out.groupBy("trace", (F.col("frame") * stride + F.col("place") - stride).alias("idx")).agg(F.sum("v").alias("out"))
+    return added.join(own, "trace").where((F.col("idx") >= 0) & (F.col("idx") < F.col("__n"))).drop("__n")
 
 
 def weighted(f: DataFrame, weights: np.ndarray) -> DataFrame:

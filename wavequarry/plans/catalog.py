@@ -749,7 +749,7 @@ def spectrum_analysis(spark, sf_dir):
 
 @query()
 def poly_filter(spark, sf_dir):
-    f = spectral.poly_filtered(spectral.frames(event_samples(spark, sf_dir), 200), 5)
+    f = spectral.poly_filtered(spectral.frames(event_samples(spark, sf_dir), 200, short=True), 5)
     return f.select("trace", "frame", F.posexplode("samples").alias("place", "value")).withColumn("value", r("value"))
 
 
