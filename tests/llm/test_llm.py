@@ -534,3 +534,19 @@ def test_random_strings_of_any_alphabet_are_secrets():
     assert secrets.find("id k3jx9qmz4pw8rt2vhc6n7bd5 end", encoding, 2.0) == [(3, 27, "token")]
     names = "getUserAccountByName2 spark_sql_shuffle_partitions_200 /usr/local/lib/python3/site-packages MAX_NUMBER_OF_RETRIES_10 2026-11-27-12-30-45 XMLHttpRequestFactoryBean internationalization 1234567890123456 sha256_of_document_text report-2026-11-27-final"
     assert secrets.find(names, encoding, 2.0) == []
+
+
+def test_url_tree_is_whole(spark):
+    """Unlabelled siblings of one shape join, others don't, and segments after the third tell templates apart."""
+    rows = [(k * 100 + i, f"http://pills.com/{lang}/p{i}/buy") for k, lang in enumerate(("de", "fr", "en", "es")) for i in range(40)]
+    rows += [(1000 + i, f"http://pills.com/about/us{'abcdefghij'[i % 10]}") for i in range(40)]
+    rows += [(2000 + 100 * k + i, f"http://deep.com/a/b/c/{last}/{i}") for k, last in enumerate(("bad", "good")) for i in range(40)]
+    rows += [(3000 + k, "http://long.com" + "/x" * 14 + end) for k, end in enumerate(("/bad/a", "/bad/a", "/good/b"))]
+    rules = [("block", "pills.com/de/"), *[("block", f"deep.com/a/b/c/bad/{i}") for i in (1, 2, 3)], *[("allow", f"deep.com/a/b/c/good/{i}") for i in (1, 2, 3)]]
+    got = {r["page_id"]: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, whole=True).collect()}
+    assert len(got) == len(rows)
+    assert {got[k * 100 + i]["template"] for k in range(4) for i in range(40)} == {"/~dv/*/buy"}
+    assert all(got[k * 100 + i]["verdict"] == "block" for k in range(4) for i in range(40))
+    assert all(got[1000 + i]["verdict"] == "allow" and got[1000 + i]["template"].startswith("/about/") for i in range(40))
+    assert got[2039]["template"] == "/a/b/c/bad/*" and got[2139]["template"] == "/a/b/c/good/*" and got[2139]["verdict"] == "allow"
+    assert got[3000]["template"] == got[3001]["template"] == "/x" * 14 + "/bad/a" and got[3002]["template"] == "/x" * 14 + "/good/b"

@@ -91,6 +91,12 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_urls_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_urls with the whole tree, beyond the three levels and labelled branches of its SQL."""
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, whole=True)
+
+
 def _op6_sql() -> str:
     def differ(hits: str, n: str) -> str:
         p, q = f"((c_{hits} + 1)::DOUBLE / (c_{n} + 2))", f"((p_{hits} - c_{hits} + 1)::DOUBLE / (p_{n} - c_{n} + 2))"
@@ -150,5 +156,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path=tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op6_urls_whole, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts)}
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_top_k": OP5_SQL, "op6_urls": _op6_sql(), "op8_decontamination": OP8_SQL}
