@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from wavequarry.model import event_samples
-from wavequarry.operators import sequential, spectral
+from wavequarry.operators import sequential, spectral, stats
 from wavequarry.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -140,3 +140,22 @@ def test_poly_filter_returns_every_sample(spark, events):
     f = catalog.QUERIES["poly_filter"](spark, DIR).selectExpr("trace", "frame * 200 + place AS idx", "value")
     fit = lambda x: np.polyval(np.polyfit(np.arange(len(x)), x, min(5, len(x) - 1)), np.arange(len(x)))
     same(by_trace(f, "value"), {t: np.concatenate([fit(x[i : i + 200]) for i in range(0, len(x), 200)]) for t, x in events.items()})
+
+
+# Products
+
+
+@tables
+def test_products_take_every_sample(spark, events):
+    got = {r["trace"]: r for r in catalog.QUERIES["product_and_norm_whole"](spark, DIR).collect()}
+    assert sorted(got) == sorted(events)
+    for t, x in events.items():
+        v = x / 50
+        assert got[t]["sign"] == np.prod(np.sign(v)) and abs(got[t]["magnitude"] - np.sqrt((v * v).sum())) < 2e-6
+        assert (v == 0).any() or abs(got[t]["log10"] - np.log10(np.abs(v)).sum()) < 2e-6
+
+
+def test_products_keep_sign_and_zero(spark):
+    rows = [("a", 1e200), ("a", -1e200), ("b", 0.0), ("b", -2.0), ("c", -2.0), ("c", -50.0)]
+    s = spark.createDataFrame([(t, i, v) for i, (t, v) in enumerate(rows)], "trace string, idx long, value double")
+    assert {r["trace"]: (r["sign"], r["log10"]) for r in stats.log_products(s).collect()} == {"a": (-1, 400.0), "b": (0, None), "c": (1, 2.0)}

@@ -41,6 +41,14 @@ def products(s: DataFrame) -> DataFrame:
     return s.groupBy("trace").agg(F.coalesce(F.product("value"), F.lit(0.0)).alias("product"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("magnitude"), F.sum(F.col("value") * F.col("value")).alias("sum_square"))
 
 
+def log_products(s: DataFrame) -> DataFrame:
+    """Product as its sign and log10 of its magnitude (null where it is 0), for traces whose product leaves the range of doubles, and L2 norm."""
+    v = F.col("value")
+    sign = F.when(F.max(F.when(v == 0, 1).otherwise(0)) == 1, 0).when(F.sum(F.when(v < 0, 1).otherwise(0)) % 2 == 1, -1).otherwise(1)
+    log = F.when(F.max(F.when(v == 0, 1).otherwise(0)) == 0, F.sum(F.when(v != 0, F.log10(F.abs(v)))))
+    return s.groupBy("trace").agg(sign.alias("sign"), log.alias("log10"), F.sqrt(F.sum(v * v)).alias("magnitude"))
+
+
 def histogram(s: DataFrame, bins: int) -> DataFrame:
     """centre, count and fraction of every bin; only the maximum itself falls into the last bin. No rows for traces of one value or a flat one."""
     edges = s.groupBy("trace").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).where("n > 1 AND hi > lo")

@@ -228,6 +228,12 @@ def product_and_norm(spark, sf_dir):
     return stats.products(s).select("trace", r("product", 9).alias("product"), r("magnitude").alias("magnitude"))
 
 
+@query()
+def product_and_norm_whole(spark, sf_dir):
+    s = event_samples(spark, sf_dir).withColumn("value", F.col("value") / 50)
+    return stats.log_products(s).select("trace", "sign", r("log10").alias("log10"), r("magnitude").alias("magnitude"))
+
+
 @query(f"{S} SELECT a.trace AS trace, round(sum(a.value * b.value), 3) AS dot FROM s a JOIN s b ON a.idx = b.idx AND b.trace = 'click' GROUP BY a.trace")
 def dot_product(spark, sf_dir):
     s = event_samples(spark, sf_dir)
