@@ -394,18 +394,22 @@ def test_elias_fano():
     for v in ([0], [0, 0, 0], [5, 5, 9], np.cumsum(rng.integers(0, 90, 1000)), [-(1 << 62), 0, 1 << 62], np.arange(130) * 1000, []):
         v = np.array(v, np.int64)
         e, end = tokenfile.EliasFano.load(memoryview(d := tokenfile.EliasFano.of(v).dump()), 0)
-        assert end == len(d) and e.all().tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+        assert end == len(d) and e.values(0, e.n).tolist() == v.tolist() and [e.select(i) for i in range(len(v))] == v.tolist()
+        for a, b in ((0, 1), (1, 2), (63, 65), (64, 128), (65, 130), (5, 3), (len(v) - 1, len(v))):
+            if 0 <= a and b <= len(v):
+                assert e.values(a, b).tolist() == v[a:b].tolist()
     big = np.cumsum(rng.integers(0, 2000, 50_000))
     assert len(tokenfile.EliasFano.of(big).dump()) < 50_000 * 2
     with pytest.raises(IndexError):
         tokenfile.EliasFano.of(v).select(0)
 
 
-def test_token_files(spark):
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files(spark, vocabulary):
     from tokenizers import Tokenizer
 
     rng = random.Random(11)
-    path = tokenizer_path("word_bpe_49k.json")
+    path = tokenizer_path(vocabulary)
     alphabet = "aZé' ßÀ².9\x85\xa0\t\n\x1c—“ΣσİŁ<|endoftext>µª́e"
     rows = [(rng.randrange(-5, 10**6), "".join(rng.choices(alphabet, k=rng.randrange(60))) + rng.choice(["", " plain words, it's 'S", " <|endoftext|> "]), "a") for _ in range(400)]
     rows += ODD
