@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .common import few, written
 
 #: Bands of three permutations; each permutation gives its minimum and its maximum, so a band has six values and 144
-#: permutations give 288. A pair at similarity 0.8 misses all 48 bands with a probability of (1 - 0.8 ** 6) ** 48 < 5e-7.
+#: permutations give 288. A pair at similarity 0.8 misses all 48 bands with a probability of (1 - 0.8 ** 6) ** 48 < 5e-7 in
+#: large sets. In small ones minimum and maximum agree less often: of 4 in 5 shingles with 4/5 * 3/4, a miss of 9e-6; 5 in 6: 5e-8.
 BANDS, PER_BAND = 48, 3
 PERMS = BANDS * PER_BAND
 #: One bit of each of 256 values. At similarity 0.8, 25.6 of them differ on average, with a deviation of 4.8; more than 48 do with a probability under 1e-5.
@@ -188,8 +189,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     some = sig.where(F.col("n").__gt__(0) & F.col("doc_id").isNotNull())
     # What is aggregated by a key is written before it is joined by that key: two plain shuffles, whose hot keys adaptive execution splits.
     classes = written(some.groupBy("print").agg(F.min("doc_id").alias("rep")), "dedup_prints")
-    rows = written(some.join(classes, "print").select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.struct("bands", "sketch")).alias("s")), "dedup_classes")
-    reps = rows.where(F.col("s").isNotNull()).select("doc_id", "n", "s.bands", "s.sketch").dropDuplicates(["doc_id", "n"])
+    rows = written(some.join(classes, "print").select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.struct("print", "bands", "sketch")).alias("s")), "dedup_classes")
+    # An id can stand for several classes, each by its own text.
+    reps = rows.where(F.col("s").isNotNull()).select("doc_id", "n", "s.print", "s.bands", "s.sketch").dropDuplicates(["doc_id", "print"]).drop("print")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).where("members > 1").drop("members"), "dedup_keys")
     buckets = written(keys.join(shared, "key"), "dedup_buckets")
@@ -227,9 +229,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     open_2 = open_2.join(top, "key").join(marks, "doc_id").join(sets, "doc_id")
     x, y = open_2.where("root <> top").alias("x"), open_2.alias("y")
     first_common = F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
-    # Hashes of 32 bits can count a shingle too many, or fall together within a text; two to spare, and the full sets decide.
+    # Hashes of 32 bits can count a shingle too many; and of n shingles n ** 2 / 2 ** 33 fall together on average, for which
+    # four times as many and six more are added, a margin exceeded with a probability under 1e-7. The full sets decide.
     # The intersection stands in the condition once: written twice, it would be worked out ahead of the cheap bounds.
-    enough = (100 + percent) * (F.size(F.array_intersect("x.set", "y.set")) + 2) >= percent * (F.col("x.n") + F.col("y.n"))
+    smaller = F.least("x.n", "y.n").cast("double")
+    enough = (100 + percent) * (F.size(F.array_intersect("x.set", "y.set")) + 6 + smaller * smaller / float(1 << 31)) >= percent * (F.col("x.n") + F.col("y.n"))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once
     across = x.join(y, apart & similar("x", "y", percent) & (first_common == F.col("x.key")) & enough)
@@ -245,6 +249,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that are kept. Of rows that share an id and are alike, all stay."""
-    gone = written(near_duplicates(docs, doc_id=doc_id, text=text, k=k, percent=percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "dedup_gone")
-    return docs.join(F.broadcast(gone) if few(gone, IDS) else gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    """The rows of docs, with all their columns, that are kept: one of each component, and all without words or without an id.
+
+    Where several rows have the kept id of a component, the one whose text has the least hash stays (of equal texts, any one).
+    """
+    found = written(near_duplicates(docs, doc_id=doc_id, text=text, k=k, percent=percent).select("doc_id", F.col("n_shingles") > 0, "kept").toDF("__id", "words", "kept"), "dedup_found")
+    gone = written(found.where("not kept").select("__id").distinct(), "dedup_gone")
+    twice = written(found.where("kept AND words AND __id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "dedup_twice")
+    one_side = lambda ids: F.broadcast(ids) if few(ids, IDS) else ids
+    kept = docs.join(one_side(gone), docs[doc_id].cast("long") == F.col("__id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    inner = kept.join(one_side(twice), kept[doc_id].cast("long") == F.col("__id"), "left_semi").where(has_words)
+    # A least row is a combinable aggregate, so an id with many rows is no single task.
+    least = inner.groupBy(F.col(doc_id)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("__row")).select("__row.*")
+    rest = kept.join(one_side(twice.withColumn("__many", F.lit(True))), kept[doc_id].cast("long") == F.col("__id"), "left").where(F.col("__many").isNull() | ~has_words).select(docs.columns)
+    return rest.unionByName(least)
