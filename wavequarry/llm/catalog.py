@@ -91,37 +91,35 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-def op6_urls_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_urls with the whole tree, beyond the three levels and labelled branches of its SQL."""
-    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, whole=True)
-
-
 def _op6_sql() -> str:
     def differ(hits: str, n: str) -> str:
         p, q = f"((c_{hits} + 1)::DOUBLE / (c_{n} + 2))", f"((p_{hits} - c_{hits} + 1)::DOUBLE / (p_{n} - c_{n} + 2))"
         return f"abs({p} - {q}) > 2.0 * sqrt({p} * (1 - {p}) / (c_{n} + 2) + {q} * (1 - {q}) / (p_{n} - c_{n} + 2))"
 
-    levels = ""
-    for d in range(3):
-        levels += f"""
-l{d} AS (SELECT *, CASE WHEN regexp_matches(segs[{d + 1}], '[0-9]') THEN '*' || regexp_extract(segs[{d + 1}], '\\.[A-Za-z]{{1,5}}$') ELSE segs[{d + 1}] END AS segment, CASE WHEN len(segs) > {d + 1} THEN n ELSE 0 END AS deeper FROM t{d}),
-n{d} AS (SELECT host, template, segment, sum(n)::BIGINT AS c_n, sum(labelled)::BIGINT AS c_labelled, sum(bad)::BIGINT AS c_bad, sum(deeper)::BIGINT AS c_deeper FROM l{d} WHERE segment IS NOT NULL GROUP BY ALL),
-p{d} AS (SELECT host, template, count(*) AS children, sum(c_n)::BIGINT AS p_n, sum(c_labelled)::BIGINT AS p_labelled, sum(c_bad)::BIGINT AS p_bad, sum(c_deeper)::BIGINT AS p_deeper FROM n{d} GROUP BY ALL),
-k{d} AS (SELECT host, template, segment, CASE WHEN starts_with(segment, '*') THEN segment WHEN children > 20 AND c_n * 20 < p_n THEN '*'
-  WHEN c_labelled > 0 AND p_labelled > c_labelled AND NOT ({differ("bad", "labelled")}) AND NOT ({differ("deeper", "n")}) THEN '~' ELSE segment END AS kind FROM n{d} JOIN p{d} USING (host, template)),
-t{d + 1} AS (SELECT l.host, l.path, n, labelled, bad, segs, CASE WHEN kind IS NULL THEN l.template ELSE l.template || '/' || kind END AS template
-  FROM l{d} l LEFT JOIN k{d} k ON k.host = l.host AND k.template = l.template AND k.segment = l.segment),"""
     rules = [("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"), ("block", "net", "/")]
     cases = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for v, h, p in rules]
     rule, ruled = (" ".join(["CASE", *[f"WHEN {c[0]} THEN '{c[k]}'" for c in cases], "END"]) for k in (1, 2))
-    return f"""WITH b AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    counts = ("n", "labelled", "bad", "deeper", "varied")
+    sums, totals = (", ".join(f"sum({a}{x})::BIGINT AS {b}_{x}" for x in counts) for a, b in (("", "c"), ("c_", "p")))
+    shape = "CASE WHEN c_deeper * 2 > c_n THEN 'd' ELSE '' END || CASE WHEN c_varied * 2 > c_n THEN 'v' ELSE '' END"
+    return rf"""WITH RECURSIVE b AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM b),
-t0 AS (SELECT host, path, count(*) AS n, count(ruled) AS labelled, count(CASE WHEN ruled = 'block' THEN 1 END) AS bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template FROM r GROUP BY host, path),{levels}
-o AS (SELECT (sum(bad)::BIGINT + 1)::DOUBLE / (sum(labelled)::BIGINT + 2) AS overall FROM t3),
-c AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, (sum(bad)::BIGINT + 4.0::DOUBLE * any_value(overall)) / (sum(labelled)::BIGINT + 4.0::DOUBLE) AS bad_share FROM t3, o GROUP BY host, template)
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN c.labelled > 0 AND c.bad_share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, t3.template, c.bad_share
-FROM r JOIN t3 ON r.host = t3.host AND r.path = t3.path JOIN c ON c.host = t3.host AND c.template = t3.template"""
+tree AS (SELECT host, path, count(*)::BIGINT AS n, count(ruled)::BIGINT AS labelled, count(CASE WHEN ruled = 'block' THEN 1 END)::BIGINT AS bad, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, '' AS template, 0::BIGINT AS d FROM r GROUP BY host, path
+UNION ALL SELECT host, path, n, labelled, bad, segs, template, d FROM (
+  WITH l AS (SELECT *, CASE WHEN regexp_matches(segs[d + 1], '[0-9]') THEN '*' || regexp_extract(segs[d + 1], '\.[A-Za-z]{{1,5}}$') ELSE segs[d + 1] END AS segment,
+      CASE WHEN len(segs) > d + 1 THEN n ELSE 0 END AS deeper, CASE WHEN regexp_matches(coalesce(segs[d + 2], ''), '[0-9]') THEN n ELSE 0 END AS varied FROM tree WHERE len(segs) > d),
+  c AS (SELECT *, {shape} AS shape FROM (SELECT host, template, segment, {sums} FROM l GROUP BY ALL)),
+  p AS (SELECT host, template, shape, count(*) AS alike, {totals} FROM c GROUP BY ALL),
+  e AS (SELECT host, template, count(*) AS children, sum(c_n)::BIGINT AS every_n FROM c GROUP BY ALL),
+  k AS (SELECT host, template, segment, CASE WHEN starts_with(segment, '*') THEN segment WHEN children > 20 AND c_n * 20 < every_n THEN '*'
+      WHEN alike > 1 AND NOT ({differ("varied", "n")}) AND NOT ({differ("deeper", "n")}) AND (NOT (c_labelled > 0 AND p_labelled > c_labelled) OR NOT ({differ("bad", "labelled")})) THEN '~' || shape ELSE segment END AS kind
+      FROM c JOIN p USING (host, template, shape) JOIN e USING (host, template))
+  SELECT l.host, l.path, l.n, l.labelled, l.bad, l.segs, l.template || '/' || k.kind AS template, l.d + 1 AS d FROM l JOIN k ON l.host = k.host AND l.template = k.template AND l.segment = k.segment)),
+t AS (SELECT * FROM tree WHERE d = len(segs)),
+o AS (SELECT (sum(bad)::BIGINT + 1)::DOUBLE / (sum(labelled)::BIGINT + 2) AS overall FROM t),
+m AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, (sum(bad)::BIGINT + 4.0::DOUBLE * any_value(overall)) / (sum(labelled)::BIGINT + 4.0::DOUBLE) AS bad_share FROM t, o GROUP BY host, template)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruled, CASE WHEN m.labelled > 0 AND m.bad_share >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, t.template, m.bad_share
+FROM r JOIN t ON r.host = t.host AND r.path = t.path JOIN m ON m.host = t.host AND m.template = t.template"""
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,5 +154,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path=tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op6_urls_whole, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts)}
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts)}
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_top_k": OP5_SQL, "op6_urls": _op6_sql(), "op8_decontamination": OP8_SQL}
