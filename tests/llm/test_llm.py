@@ -76,11 +76,48 @@ def test_quality_holds_out(spark):
     assert quality.score_quality(odd, model).count() == len(ODD)
     assert quality.score_quality(odd, model).where("doc_id in (1, 2, 3)").agg(F.max("score")).first()[0] == 0
     assert quality.keep_quality(odd.limit(0), model).count() == 0
-    with pytest.raises(ValueError, match="needed"):
-        quality.fit_quality(df, labels.limit(0))
-
-
-def test_non_negative_risk_gradient():
+    for none in (quality.fit_quality(df, labels.limit(0)), quality.fit_quality(df.limit(0), labels)):
+        assert {(r["score"], r["predicted"]) for r in quality.score_quality(odd, none).collect()} == {(0.0, 0), (0.5, 1)}
+    many = docs_of(spark, [(1, f"row {i}", "a") for i in range(300)] + rows[:40])
+    pos, unl = quality.sample(many.select("doc_id", "text"), labels.where("quality = 1"), F.lit(True), 10, 5)
+    assert len(pos) == len(unl) == 10
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.99])
+def test_risk_and_gradient_by_differences(prior):
+    rng = np.random.default_rng(1)
+    x, n_pos = rng.normal(0, 1, (60, 4)), 25
+    x[n_pos:] -= 0.2
+    m = quality.Model(x.mean(0), x.std(0), rng.normal(0, 1, (4, 3)), rng.normal(0, 1, 4) * (9 if prior > 0.5 else 1), prior)
+
+    def parts():  # both risks, written out document by document
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        g = [float(np.tanh(np.clip((row - m.mean) / m.spread, -6, 6) @ m.w1) @ m.w2[:-1] + m.w2[-1]) for row in x]
+        unl = sum(loss(-z) for z in g[n_pos:]) / (len(x) - n_pos)
+        return prior * sum(map(loss, g[:n_pos])) / n_pos, unl - prior * sum(loss(-z) for z in g[:n_pos]) / n_pos
+
+    positive, negative, g1, g2 = quality.risk_step(m, x, n_pos)
+    assert np.allclose((positive, negative), parts())
+    aim = (lambda: sum(parts())) if negative >= 0 else (lambda: -parts()[1])
+    for w, grad in ((m.w1, g1), (m.w2, g2)):
+        for at in np.ndindex(w.shape):
+            keep = w[at]
+            w[at] = keep + 1e-6
+            up = aim()
+            w[at] = keep - 1e-6
+            down = aim()
+            w[at] = keep
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-5, (at, negative)
+
+
+def test_negative_risk_below_zero_turns_the_step():
+    x = np.array([[1.0], [1.0], [-1.0]])
+    m = quality.Model(np.zeros(1), np.ones(1), np.array([[1.0]]), np.array([3.0, 0.0]), 0.9)
+    _, negative, _, g2 = quality.risk_step(m, x, 2)
+    assert negative < 0 and g2[0] > 0
+
+
+def test_non_negative_risk_finds_the_prior():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (100, 3))
     unl = np.concatenate([rng.normal(2, 1, (300, 3)), neg])

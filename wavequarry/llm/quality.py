@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Classes of bytes for the shapes: lower-case letters and all of other scripts, upper-case letters, digits, blanks, line ends; every other ASCII sign is a class of its own.
@@ -79,12 +79,26 @@ class Model:
         return h @ self.w2[:-1] + self.w2[-1]
 
 
-def train(pos: np.ndarray, unl: np.ndarray, prior: float, *, seed: int, epochs: int = 60, hidden: int = 24, decay: float = 2e-3, rate: float = 4e-3) -> Model:
-    """Minimise the non-negative unbiased risk with the logistic loss by Adam over mini-batches.
+def risk_step(m: Model, x: np.ndarray, n_pos: int) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The risks of positives and of negatives over rows x, n_pos trusted positives first, and the gradient to step along by w1 and w2.
 
-    Risk: prior * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - prior * E_pos[loss(-g)]). While the part in max() is below 0 the
-    step goes the other way along it, so that the model can't drive the risk of negatives below what a risk can be.
+    Risk with the logistic loss: prior * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - prior * E_pos[loss(-g)]). While the part in
+    max() is below 0, the step goes the other way along it, so that the model can't drive the risk of negatives below what a
+    risk can be.
     """
+    x = np.clip((x - m.mean) / m.spread, -6, 6)
+    h = np.tanh(x @ m.w1)
+    g = h @ m.w2[:-1] + m.w2[-1]
+    gp, gu = g[:n_pos], g[n_pos:]
+    positive = m.prior * softplus(-gp).mean()
+    negative = softplus(gu).mean() - m.prior * softplus(gp).mean()
+    d_pos_neg, d_unl_neg = -m.prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
+    d = np.concatenate([d_pos_neg - m.prior * sigmoid(-gp) / len(gp), d_unl_neg]) if negative >= 0 else -np.concatenate([d_pos_neg, d_unl_neg])
+    return positive, negative, x.T @ (d[:, None] * m.w2[:-1] * (1 - h * h)), np.append(h.T @ d, d.sum())
+
+
+def train(pos: np.ndarray, unl: np.ndarray, prior: float, *, seed: int, epochs: int = 60, hidden: int = 24, decay: float = 2e-3, rate: float = 4e-3) -> Model:
+    """Minimise the non-negative unbiased risk by Adam over mini-batches."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([pos, unl]).astype(np.float64)
     m = Model(both.mean(0), both.std(0) + 0.02, rng.normal(0, 1 / np.sqrt(both.shape[1]), (both.shape[1], hidden)), np.zeros(hidden + 1), prior)
@@ -96,15 +110,8 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float, *, seed: int, epochs:
         for a in range(0, len(unl), size):
             u = unl[order[a : a + size]]
             p = pos[rng.integers(0, len(pos), size)]
-            x = np.clip((np.concatenate([p, u]) - m.mean) / m.spread, -6, 6)
-            h = np.tanh(x @ m.w1)
-            g = h @ m.w2[:-1] + m.w2[-1]
-            gp, gu = g[: len(p)], g[len(p) :]
-            negative = softplus(gu).mean() - prior * softplus(gp).mean()
-            d_pos_neg, d_unl_neg = -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)
-            d = np.concatenate([d_pos_neg - prior * sigmoid(-gp) / len(p), d_unl_neg]) if negative >= 0 else -np.concatenate([d_pos_neg, d_unl_neg])
-            g2 = np.append(h.T @ d, d.sum()) + decay * np.append(m.w2[:-1], 0)
-            g1 = x.T @ (d[:, None] * m.w2[:-1] * (1 - h * h)) + decay * m.w1
+            _, _, g1, g2 = risk_step(m, np.concatenate([p, u]), len(p))
+            g1, g2 = g1 + decay * m.w1, g2 + decay * np.append(m.w2[:-1], 0)
             if step == 0:
                 m.w2[:-1] = rng.normal(0, 0.1, hidden)
             step += 1
@@ -130,9 +137,10 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, *, seed: int = 5) -> Model:
-    """Rank with even weights on one half, estimate the prior on the other, then train on all with it."""
+    """Rank with even weights on one half, estimate the prior on the other, then train on all with it. Without rows of either kind nothing is known, and the model's logit is 0 for all."""
     if not len(pos) or not len(unl):
-        raise ValueError("both trusted positives and unlabelled texts are needed")
+        width = BUCKETS + FIGURES
+        return Model(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(2))
     if len(pos) < 8 or len(unl) < 8:
         return train(pos, unl, 0.5, seed=seed)
     rank = train(pos[::2], unl[::2], 0.5, seed=seed, epochs=25)
@@ -152,8 +160,8 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample(docs: DataFrame, trusted: DataFrame, allowed: Column, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of at most `most` trusted positives and as many other allowed documents: those of least seeded hash.
 
-    The ids are chosen first from the id columns alone; then only the chosen documents' texts are read into features, which
-    is all that reaches the driver: 2 * most rows of 2 kB.
+    The ids are chosen first from the id columns alone; then only the chosen documents' texts are read into features. The rows
+    are limited once more after that, as an id can have any number of them; 2 * most rows of 2 kB reach the driver at most.
     """
     by_hash = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & allowed)
@@ -161,7 +169,8 @@ def sample(docs: DataFrame, trusted: DataFrame, allowed: Column, most: int, seed
     chosen = ids.join(good, "doc_id", "left_semi").orderBy(*by_hash).limit(most).withColumn("good", F.lit(True))
     chosen = chosen.unionByName(ids.join(good, "doc_id", "left_anti").orderBy(*by_hash).limit(most).withColumn("good", F.lit(False)))
     rows = docs.join(F.broadcast(chosen.distinct()), "doc_id").select("doc_id", "good", F.col("text").cast("binary").alias("data"))
-    rows = rows.mapInArrow(scan, "doc_id long, good boolean, x binary").toPandas().sort_values(["good", "doc_id", "x"])
+    rows = rows.mapInArrow(scan, "doc_id long, good boolean, x binary").withColumn("place", F.row_number().over(Window.partitionBy("good").orderBy(*by_hash, F.xxhash64("x"), "x")))
+    rows = rows.where(F.col("place") <= most).drop("place").toPandas().sort_values(["good", "doc_id", "x"])
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]) if len(rows) else np.zeros((0, BUCKETS + FIGURES), np.float32)
     good_rows = rows["good"].to_numpy(bool) if len(rows) else np.zeros(0, bool)
     rng = np.random.default_rng(seed)
@@ -172,8 +181,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
     """A model from trusted positives (labels.quality = 1) and unlabelled texts, both at most `most` rows (a documented bound).
 
     Only ids for which `allowed` holds (a column over doc_id) are used. Labels of 0 aren't used at all: such texts are
-    unlabelled ones like the others. Conflicting or repeated labels: one positive label suffices. Without any positive or any
-    unlabelled text there is nothing to learn, and ValueError is raised.
+    unlabelled ones like the others. Conflicting or repeated labels: one positive label suffices. Rows of a repeated id count
+    each, within the bound. Without any positive or any unlabelled text there is nothing to learn: every text that isn't empty
+    then scores 0.5.
     """
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     trusted = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("doc_id"))
