@@ -195,19 +195,61 @@ def test_toxicity_holds_out(spark):
     # A document's score by plain convolution.
     words = toxicity.WORD.findall(rows[0][1])
     buckets = np.array([toxicity.parts(w) for w in words])
-    e = net.embed(buckets)
+    e = toxicity.embed(net.table, buckets)
     tops = []
     for f in net.filters:
         y = np.stack([np.maximum(sum(e[i + k] @ f[k] for k in range(len(f)) if i + k < len(e)), 0) for i in range(len(e))])
         tops.append(np.stack([y[a : a + toxicity.WINDOW].max(0) for a in range(0, len(y), toxicity.WINDOW)]))
     tops = np.concatenate(tops, axis=1)
-    logit = np.concatenate([tops.max(0), tops.mean(0)]) @ net.head[:-1] + net.head[-1] - net.shift[toxicity.language(words)] + toxicity.CUT
+    tongue = int(np.argmax(sum(net.tongues[b % toxicity.COMMON] for b in buckets[:, 0])))
+    logit = np.concatenate([tops.max(0), tops.mean(0)]) @ net.head[:-1] + net.head[-1] - net.shift[tongue] + toxicity.CUT
     assert abs(got[0]["score"] - quality.sigmoid(logit)) < 1e-4
     odd = toxicity.score_toxicity(docs_of(spark, ODD), net)
     assert odd.count() == len(ODD) and odd.where("doc_id in (1, 2, 3)").agg(F.max("score")).first()[0] == 0
     assert toxicity.score_toxicity(docs_of(spark, ODD).limit(0), net).count() == 0
-    with pytest.raises(ValueError, match="both"):
-        toxicity.fit_toxicity(df, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    for none in (toxicity.fit_toxicity(df, one), toxicity.fit_toxicity(df, one.limit(0)), toxicity.fit_toxicity(df.limit(0), one)):
+        assert {(r["score"], r["predicted"]) for r in toxicity.score_toxicity(df, none).collect()} == {(0.0, 0)}
+
+
+def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
+    """Repeated ids stay within the bound, texts over it are left out, and what arrives are the words."""
+    rows = [(1, f"vile row {i}") for i in range(300)] + [(2, f"fine row {i} and fine") for i in range(300)] + [(3, "vile " * 90), (4, None)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda docs, buckets, toxic, seed: seen.update(docs=docs, buckets=buckets, toxic=toxic))
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels, most=10, longest=300)
+    assert seen["toxic"].sum() == 10 and (~seen["toxic"]).sum() == 20
+    words = {toxicity.parts(w) for w in ("vile", "row", "fine", "and")} | {toxicity.parts(str(i)) for i in range(300)}
+    assert all({tuple(b) for b in seen["buckets"][d]} <= words for d in seen["docs"])
+    assert all((tuple(seen["buckets"][d[0]]) == toxicity.parts("vile")) == t for d, t in zip(seen["docs"], seen["toxic"]) if len(d))
+
+
+def test_toxicity_trains_embeddings_and_tells_languages():
+    rng = random.Random(17)
+    vocabulary = [[f"{stem}{a}{b}" for a in "abcdefghij" for b in "klmnop"] for stem in ("th", "ge", "lo")]
+    texts, toxic = [], []
+    for i in range(360):
+        words = [rng.choice(vocabulary[i % 3]) for _ in range(40)]
+        if i % 4 == 0:  # toxic only as a pair of words that both occur alone elsewhere
+            words[10:12] = ["foo", "bar"]
+        else:
+            words[rng.randrange(39)] = rng.choice(["foo", "bar"])
+        texts.append(words)
+        toxic.append(i % 4 == 0)
+    names = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    buckets = np.array([toxicity.parts(w) for w in names])
+    at, toxic = [np.array([names[w] for w in t]) for t in texts], np.array(toxic)
+    net = toxicity.train(at, buckets, toxic, epochs=20)
+    start = toxicity.log_odds(at, buckets, toxic)
+    changed = np.abs(net.table[:, 0] - start) > 1e-4
+    assert changed[buckets[names["foo"]]].any()
+    tables = toxicity.tables_of(net, buckets)
+    scores = np.array([toxicity.pooled(d, tables) @ net.head[:-1] + net.head[-1] for d in at])
+    assert np.mean((scores > np.median(scores[toxic])) & ~toxic) < 0.05
+    by_word = net.tongues[buckets[:, 0] % toxicity.COMMON]
+    langs = np.array([toxicity.language(d, by_word) for d in at])
+    assert all(len({k for k in langs[j::3]} & {k for k in langs[m::3]}) == 0 for j in range(3) for m in range(j))
 
 
 # 4 Near-duplicates
