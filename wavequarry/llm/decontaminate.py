@@ -13,8 +13,10 @@ from .common import ascii_lower, few, written
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle. Windows of fewer words are one shingle.
 SHINGLE = 3
-#: Most windows broadcast at once; more are joined in blocks of this size.
-WINDOWS = 100_000
+#: Most windows, and most single shingles, to be broadcast (counted); beyond that they are shuffled.
+WINDOWS, TOKENS = 100_000, 1_000_000
+#: Rows of 64 bits in the filter for more shingles than that: 8 MB and their keys.
+BITS = 1 << 20
 #: Stands for a document's end; no word has a blank.
 END = " "
 
@@ -28,12 +30,22 @@ def shingle_at(words: Column, i: Column, size: int) -> Column:
     return F.xxhash64(F.lit(size), *[F.get(words, i + j) for j in range(size)])
 
 
-def windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """Distinct windows of the items with the items that have them: words, items. An item of fewer words is one window."""
+def windows(benchmark: DataFrame, item_id: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows of the items, numbered: window, words; and whose they are: window, item. An item of fewer words is one window."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    each = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words"))
-    return each.groupBy("words").agg(F.collect_set("item").alias("items"))
+    each = written(items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, size))).alias("words")).distinct(), "window_items")
+    found = written(each.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words"), "windows")
+    return found, written(each.where(F.col("item").isNotNull()).join(found, "words").select("window", "item"), "window_owners")
+
+
+def among(places: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The places whose token is one of tokens; where these are over TOKENS, some others too: a token sets one bit of BITS rows."""
+    if few(tokens, TOKENS):
+        return places.join(F.broadcast(tokens), "token", "left_semi")
+    row, bit = F.pmod("token", F.lit(BITS)), F.shiftrightunsigned("token", 58).cast("int")
+    bits = tokens.groupBy(row.alias("row")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(token, 58) AS INT))")).alias("mask"))
+    return places.join(F.broadcast(bits), row == F.col("row")).where(F.bit_get("mask", bit) == 1).drop("row", "mask")
 
 
 def placed(docs: DataFrame, sizes: list[int], with_end: bool) -> DataFrame:
@@ -60,44 +72,49 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
 
     A window must occur whole, so one shingle of it must: its prefix is the one rarest in all documents. The shingle's hash
     joins the documents' places with it; what is left must lie within the document (place and length), and the window's words
-    are compared with the document's. The windows' side is broadcast, in blocks of WINDOWS (counted) if there are more, so
-    documents are read in place and only hits and one row a document are shuffled.
+    are compared with the document's. Up to WINDOWS windows are broadcast, so documents are read in place and only hits and one
+    row a document are shuffled. Beyond that, the places whose shingle a filter of all prefixes lets through are shuffled with
+    the few words around them and joined once; adaptive execution splits a shingle that is at very many places. Either way the
+    documents are read twice or thrice, however many windows there are. Which items have a window is looked up after the hits.
     """
-    found = written(windows(benchmark, item_id, item_text, size), "windows")
+    found, owners = windows(benchmark, item_id, item_text, size)
     sizes = sorted(r[0] for r in found.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("words"))
     shingle = F.least(F.size("words"), F.lit(SHINGLE))
-    every = found.select("words", "items", shingle.alias("s"), F.explode(F.sequence(F.lit(0), F.size("words") - shingle)).alias("offset"))
+    every = found.select("window", "words", shingle.alias("s"), F.explode(F.sequence(F.lit(0), F.size("words") - shingle)).alias("offset"))
     hashed = reduce(lambda c, s: F.when(F.col("s") == s, shingle_at(F.col("words"), F.col("offset"), s)).otherwise(c), sizes, F.lit(None).cast("long"))
-    every = written(every.withColumn("token", hashed), "window_shingles")
-    blocks = 1 if few(found, WINDOWS) else -(-found.count() // WINDOWS)
-    part = F.pmod(F.xxhash64("words"), F.lit(blocks))
-    counts = []
-    for b in range(blocks):
-        vocabulary = every.where(part == b).select("token").distinct()
-        counts.append(placed(base.select("words"), sizes, False).select("token").join(F.broadcast(vocabulary), "token").groupBy("token").count())
-    counts = written(reduce(DataFrame.unionByName, counts).groupBy("token").agg(F.max("count").alias("count")), "window_counts")
-    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "token")).alias("p")
-    prefix = written(every.join(counts, "token", "left").groupBy("words").agg(rarest, F.first("items").alias("items")).select("p.token", "p.offset", F.col("words").alias("window"), "items"), "window_prefixes")
-    end = prefix.sparkSession.range(1).select(F.lit(0).cast("long").alias("token"), F.lit(0).alias("offset"), F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"))
-    hits = []
-    start = F.col("place") - F.col("offset")
-    fits = (start >= 0) & (start + F.size("window") <= F.size("words"))
-    same = F.when(fits, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(F.size("window"), F.lit(0))) == F.col("window"))
-    is_end = F.col("window").isNull() & (F.col("place") == F.size("words"))
-    for b in range(blocks):
-        side = prefix.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        side = side.unionByName(end) if b == 0 else side
-        joined = placed(base, sizes, b == 0).join(F.broadcast(side), "token").where(is_end | same)
-        hits.append(joined.select("doc_id", "text_hash", F.when(is_end, F.size("words")).alias("n_words"), F.when(~is_end, F.struct(start.alias("start"), F.size("window").alias("n"))).alias("hit"), "items"))
-    per_doc = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.count("n_words").cast("int").alias("copies"),
-        F.collect_set("hit").alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_list"),
+    every = written(every.select("window", "words", "offset", hashed.alias("token")), "window_shingles")
+    vocabulary = written(every.select("token").distinct(), "window_tokens")
+    counts = written(among(placed(base.select("words"), sizes, False).select("token"), vocabulary).groupBy("token").count(), "window_counts")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "token", "words")).alias("p")
+    prefix = written(every.join(counts, "token", "left").groupBy("window").agg(rarest).select("p.token", "p.offset", "window", F.col("p.words").alias("item_words")), "window_prefixes")
+    start, n = F.col("place") - F.col("offset"), F.size("item_words")
+    hit = F.struct(start.alias("start"), n.alias("n"))
+    no_hit, no_size = F.lit(None).cast("struct<start:int,n:int>"), F.lit(None).cast("int")
+    if few(prefix, WINDOWS):
+        end = prefix.sparkSession.range(1).select(F.lit(0).cast("long").alias("token"), F.lit(0).alias("offset"), F.lit(None).cast("long").alias("window"), F.lit(None).cast("array<string>").alias("item_words"))
+        fits = (start >= 0) & (start + n <= F.size("words"))
+        same = F.when(fits, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.greatest(n, F.lit(0))) == F.col("item_words"))
+        is_end = F.col("item_words").isNull() & (F.col("place") == F.size("words"))
+        joined = placed(base, sizes, True).join(F.broadcast(prefix.unionByName(end)), "token").where(is_end | same)
+        hits = joined.select("doc_id", "text_hash", F.when(is_end, F.size("words")).otherwise(no_size).alias("n_words"), F.when(~is_end, hit).otherwise(no_hit).alias("hit"), "window")
+    else:
+        first = F.greatest(F.col("place") - size, F.lit(0))
+        near = among(placed(base, sizes, False), prefix.select("token").distinct()).select("doc_id", "text_hash", "token", "place", first.alias("first"), F.slice("words", first + 1, 2 * size + 1).alias("around"))
+        same = F.when(start >= F.col("first"), F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, n) == F.col("item_words"))
+        hits = near.join(prefix, "token").where(same).select("doc_id", "text_hash", no_size.alias("n_words"), hit.alias("hit"), "window")
+        hits = hits.unionByName(base.select("doc_id", "text_hash", F.size("words").alias("n_words"), no_hit.alias("hit"), F.lit(None).cast("long").alias("window")))
+    per_doc = hits.groupBy("doc_id", "text_hash").agg(
+        F.max("n_words").cast("long").alias("n_words"), F.count("n_words").cast("int").alias("copies"), F.collect_set("hit").alias("hits"), F.collect_set("window").alias("windows")
     )
     spots = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
-    out = per_doc.withColumn("n_hit", F.size(spots).cast("long")).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    per_doc = written(per_doc.select("doc_id", "text_hash", "n_words", "copies", F.size(spots).cast("long").alias("n_hit"), "windows"), "window_hits")
+    owners = F.broadcast(owners) if few(owners, WINDOWS) else owners
+    listed = per_doc.where("n_hit > 0").withColumn("window", F.explode("windows")).join(owners, "window", "left").groupBy("doc_id", "text_hash").agg(
+        F.first("n_words").alias("n_words"), F.first("copies").alias("copies"), F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("item_list")
+    )
+    out = per_doc.where("n_hit = 0").select("doc_id", "text_hash", "n_words", "copies", "n_hit", F.array().cast("array<string>").alias("item_list")).unionByName(listed)
+    out = out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_list").cast("long").alias("n_items"), F.sha2(F.array_join("item_list", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_hash")
 
 
