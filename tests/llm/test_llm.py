@@ -348,6 +348,18 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_values(spark):
+    """No sum wraps: scores are exact as far as 64 bits go and held at their ends beyond."""
+    big = {50: [1e18], 1: [-1.0], 2: [1.0], 3: [1e18], 4: [-1e30], 5: [2e307], 6: [1e12], 100: [2.0**40, -(2.0**40)], 7: [2.0**40, 2.0**40 + 1], 8: [0.3, -0.7]}
+    got = defaultdict(dict)
+    for r in topk.top_k(spark.createDataFrame(list(big.items()), "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=20).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in big.items() if i != 5}
+    for q in (50, 100):
+        exact = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        assert got[q] == {i: min(max(x, -(1 << 63)), (1 << 63) - 1) for i, x in exact.items()}
+
+
 def test_top_k_over_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 8)]) for i in range(300)], "vec_id long, embedding array<double>")

@@ -13,36 +13,47 @@ CANDIDATES, QUERIES = 4096, 2048
 
 
 def quantised(vec: Column) -> Column:
-    """floor(256 * x) of each component as double. Null for vectors that are null or hold null or non-finite components."""
-    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(ok, F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    """floor(256 * x) of each component as double, which holds it exactly. Null for vectors that are null or hold a component that is null or, times 256, not finite."""
+    ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * SCALE) < float("inf")))
+    # Through decimals or longs large values would be cut, so the floor is taken where there can be a fraction.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    return F.when(ok, F.transform(vec, lambda x: floor(x.cast("double") * SCALE)))
 
 
-def rows_of(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and weight of each component that isn't zero; rows are sparse and may differ in length."""
+def rows_of(vectors: pa.ChunkedArray, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of each component that isn't zero; rows are sparse and may differ in length. Weights as 64-bit whole numbers, or as Python's if exact."""
     lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     lengths = np.diff(lists.offsets.to_numpy())
-    weight = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = lists.flatten().to_numpy(zero_copy_only=False)
+    weight = np.array([int(x) for x in weight], object) if exact else weight.astype(np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     term = np.arange(len(weight)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep = weight != 0
     return row[keep], term[keep], weight[keep]
 
 
+def greatest(vectors: pa.ChunkedArray) -> float:
+    """The greatest magnitude of a vector's components, times its length."""
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    all_of = lists.flatten().to_numpy(zero_copy_only=False)
+    return float(np.abs(all_of).max()) * float(np.diff(lists.offsets.to_numpy()).max()) if len(all_of) else 0.0
+
+
 def accumulate(queries: pa.ChunkedArray, candidates: pa.ChunkedArray) -> np.ndarray:
-    """Scores of all queries (rows) against all candidates: for each term, its postings times the queries' weights are scattered into the dense scores."""
-    row, term, weight = rows_of(candidates)
+    """Scores of all queries (rows) against all candidates: for each term, its postings times the queries' weights are scattered into the dense scores. Where a sum could leave 64 bits, it is worked out in whole numbers of any size and held at their ends."""
+    exact = greatest(candidates) * greatest(queries) >= float(1 << 62)
+    row, term, weight = rows_of(candidates, exact)
     order = np.argsort(term, kind="stable")
     row, term, weight = row[order], term[order], weight[order]
     starts = np.searchsorted(term, np.arange(int(term[-1]) + 2)) if len(term) else np.zeros(1, np.int64)
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for q, t, w in zip(*rows_of(queries), strict=True):
+    scores = np.full((len(queries), len(candidates)), 0, object if exact else np.int64)
+    for q, t, w in zip(*rows_of(queries, exact), strict=True):
         if t + 1 < len(starts) and (a := starts[t]) < (b := starts[t + 1]):
             if b - a == scores.shape[1]:  # a full posting list has each row once, in order
                 scores[q] += weight[a:b] * w
             else:
                 scores[q, row[a:b]] += weight[a:b] * w
-    return scores
+    return np.clip(scores, -(1 << 63), (1 << 63) - 1).astype(np.int64) if exact else scores
 
 
 def best(names: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -67,7 +78,8 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vec: s
     """The k candidates of highest integer inner product for each query: query_id, rank (from 1), vec_id, score.
 
     queries says which rows are queries; candidates are all rows but those of the query's own id. Rows with a null id, a null
-    vector or null or non-finite components take no part. Scores are 64-bit whole numbers. Shorter vectors count as zero
+    vector or null or non-finite components take no part, nor do those with a component that isn't finite times 256. Scores are
+    64-bit whole numbers; one beyond their range is held at its end, and such scores tie. Shorter vectors count as zero
     beyond their end. Ties go to the smaller id; rows of one id that tie all count. Empty tables, or no other rows, give no rows.
 
     Candidates are dealt into blocks by a hash of id and vector, queries into blocks likewise; each pair of blocks is scored in
