@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,8 +32,9 @@ WORD, KNOWN = 3, 2.5
 LETTERS = 0.75
 
 
+@functools.cache
 def vocabulary(path: str):
-    """A tiktoken encoding from a file of base64 tokens and ranks."""
+    """A tiktoken encoding from a file of base64 tokens and ranks; one a Python worker, for all its tasks."""
     import tiktoken
 
     with open(path, "rb") as f:
