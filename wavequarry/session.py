@@ -45,9 +45,14 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset (local runs)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark runs in this process alone, /tmp/checkpoints. A cluster without the setting is an error."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/{context.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
