@@ -71,15 +71,14 @@ def bytes_of(data: Column) -> Column:
 
 
 def crc16(data: Column, start: int = 0) -> Column:
-    """CRC with the polynomial 0x1021, each row from the same start."""
+    """CRC with the polynomial 0x1021, each row from the same start, bit by bit from the highest of each byte."""
+    bits = F.flatten(F.transform(bytes_of(data), lambda b: F.array(*[F.shiftright(b, 7 - i).bitwiseAND(F.lit(1)) for i in range(8)])))
 
-    def step(crc, byte):
-        x = crc.bitwiseXOR(F.shiftleft(byte, 8))
-        for _ in range(8):
-            x = F.when(x.bitwiseAND(F.lit(0x8000)) != 0, F.shiftleft(x, 1).bitwiseXOR(F.lit(0x1021))).otherwise(F.shiftleft(x, 1)).bitwiseAND(F.lit(0xFFFF))
-        return x
+    def step(crc, bit):
+        poly = F.when(F.shiftright(crc, 15) != bit, 0x1021).otherwise(0)
+        return F.shiftleft(crc, 1).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(poly)
 
-    return F.aggregate(bytes_of(data), F.lit(start), step)
+    return F.aggregate(bits, F.lit(start), step)
 
 
 def from_base32(c: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..model import BLOCK, running_sum
+from ..session import few
 from . import lookup, spectral, windows
 
 
@@ -98,21 +102,80 @@ def quantised(s: DataFrame, offset: float = 1.0, scale: float = 32767.0) -> Data
 
 
 def poly_filtered(s: DataFrame, order: int = 5) -> DataFrame:
-    """The polynomial that fits the whole trace best; the trace must fit in a task."""
-    f = spectral.poly_filtered(spectral.whole(s), order)
-    return f.select("trace", F.posexplode("samples").alias("idx", "out")).withColumn("idx", F.col("idx").cast("long"))
-
-
-#: Most taps that a trace may have as a kernel.
+    """The polynomial that fits the whole trace best, at each sample: trace, idx, out.
+
+    One aggregate of sums of Chebyshev polynomials of the place (from -1 to 1 over the trace), their products with each other and
+    with the values; a small system of equations a trace; then each sample is worked out from its trace's coefficients. A trace
+    with fewer samples than coefficients gets the smallest solution, which meets its samples.
+    """
+    n = s.groupBy("trace").agg(F.max("idx").alias("top"))
+    rows = s.join(F.broadcast(n) if few(n) else n, "trace").withColumn("u", F.when(F.col("top") == 0, 0.0).otherwise(2.0 * F.col("idx") / F.col("top") - 1.0))
+    basis = lambda u: [F.lit(1.0), u] + [F.cos(k * F.acos(F.greatest(F.least(u, F.lit(1.0)), F.lit(-1.0)))) for k in range(2, order + 1)]
+    t = basis(F.col("u"))[: order + 1]
+    size = order + 1
+    sums = [F.sum(t[i] * t[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i + 1)] + [F.sum(t[i] * F.col("value")).alias(f"b{i}") for i in range(size)]
+    names = [f"g{max(i, j)}_{min(i, j)}" for i in range(size) for j in range(size)] + [f"b{i}" for i in range(size)]
+    packed = rows.groupBy("trace").agg(*sums).select("trace", F.array(*names).alias("sums"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.linalg.lstsq((v := a.values.to_numpy())[: size * size].reshape(size, size), v[size * size :], rcond=1e-12)[0] for a in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tolist() for c in x], pa.list_(pa.float64()))], names=["trace", "c"])
+
+    fits = packed.mapInArrow(solve, "trace string, c array<double>")
+    out = t[0] * F.col("c")[0]
+    for k in range(1, size):
+        out = out + t[k] * F.col("c")[k]
+    return rows.join(F.broadcast(fits) if few(n) else fits, "trace").select("trace", "idx", out.alias("out"))
+
+
+#: Most taps that are held as a list; a longer kernel is a table.
 KERNEL = 4096
 
 
-def fir_by_trace(s: DataFrame, a: str, b: str) -> DataFrame:
-    """Trace a through the centred filter whose taps are trace b, of at most KERNEL samples."""
-    taps = [r[0] for r in s.where(F.col("trace") == b).orderBy("idx").select("value").limit(KERNEL + 1).collect()]
-    if len(taps) > KERNEL:
-        raise ValueError(f"a kernel has at most {KERNEL} taps")
-    return windows.centred_fir(s.where(F.col("trace") == a), taps).select("idx", "out")
+def fir_by_trace(s: DataFrame, a: str, b: str, size: int = BLOCK) -> DataFrame:
+    """Trace a through the centred filter whose taps are trace b, of any length."""
+    kernel = s.where(F.col("trace") == b)
+    taps = [r[0] for r in kernel.orderBy("idx").select("value").limit(KERNEL + 1).collect()]
+    if len(taps) <= KERNEL:
+        return windows.centred_fir(s.where(F.col("trace") == a), taps, size=size).select("idx", "out")
+    return convolved(s.where(F.col("trace") == a), kernel, size)
+
+
+def convolved(s: DataFrame, kernel: DataFrame, size: int = BLOCK) -> DataFrame:
+    """windows.centred_fir() with the samples of a trace as taps, for any number of both.
+
+    Each block of samples meets each block of taps; what a pair adds to the samples it reaches is summed up. Before its start
+    and after its end the trace keeps its first and last value, whose shares are sums over the taps beyond.
+    """
+    n, m = s.count(), kernel.count()
+    half = m // 2
+    ahead = m - 1 - half
+    if n < half:
+        return s.select("idx", F.lit(0.0).alias("out"))
+    parts = -(-m // size)
+    xs = spectral.frames(s, size, short=True).select(F.col("frame").alias("at"), F.col("samples").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("frame"))
+    pairs = xs.join(spectral.frames(kernel, size, short=True).select("frame", F.col("samples").alias("h")), "frame").select("at", "frame", "x", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, frame, x, h in zip(*(batch.column(i) for i in range(4)), strict=True):
+                x, h = x.values.to_numpy(zero_copy_only=False), h.values.to_numpy(zero_copy_only=False)
+                width = len(x) + len(h) - 1
+                y = np.fft.irfft(np.fft.rfft(x, width) * np.fft.rfft(h[::-1], width), width)
+                idx = np.arange(width) + (at.as_py() - frame.as_py()) * size - (len(h) - 1) + ahead
+                keep = (idx >= 0) & (idx < n)
+                yield pa.RecordBatch.from_pydict({"idx": pa.array(idx[keep]), "v": pa.array(y[keep])})
+
+    inner = pairs.mapInArrow(run, "idx long, v double")
+    sums = running_sum(kernel.select("trace", "idx", "value"), F.col("value"), "upto", size)
+    total = kernel.agg(F.sum("value")).first()[0]
+    ends = dict(s.where(F.col("idx").isin(0, n - 1)).select("idx", "value").collect())
+    # A sample i before `ahead` has taps up to ahead - i - 1 over the start; one within `half` of the end has those over the end.
+    left = sums.where(F.col("idx") < ahead).select((ahead - 1 - F.col("idx")).alias("idx"), (F.lit(ends[0]) * F.col("upto")).alias("v"))
+    right = sums.where(F.col("idx") >= m - 1 - half).select((n - 1 + ahead - F.col("idx")).alias("idx"), (F.lit(ends[n - 1]) * (total - F.col("upto"))).alias("v"))
+    every = inner.unionByName(left.where(F.col("idx") < n)).unionByName(right.where((F.col("idx") >= 0) & (F.col("idx") < n)))
+    return every.groupBy("idx").agg(F.sum("v").alias("out"))
 
 
 #: Calculations of a single trace by name, with their parameters' defaults.

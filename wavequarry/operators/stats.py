@@ -1,10 +1,12 @@
-"""Aggregates over traces. All are combinable or two passes; none gathers a trace in one task but the exact medians."""
+"""Aggregates over traces. All are combinable or two passes; none gathers a trace in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import few, written
+
 
 def trace_stats(s: DataFrame) -> DataFrame:
     """count (all samples); of the finite values min, max, range, sum, sum_square, mean, rms, variance (0 where flat), std, and last by idx."""
@@ -29,11 +31,45 @@ def linear_regression(s: DataFrame) -> DataFrame:
     return s.groupBy("trace").agg(F.regr_slope("value", "idx").alias("slope"), F.regr_intercept("value", "idx").alias("intercept"), F.regr_r2("value", "idx").alias("r_squared"))
 
 
+def middles(s: DataFrame, value: str, bins: int = 4096) -> DataFrame:
+    """trace and median: the exact median of a column, NaN and null left out.
+
+    Values are counted by bins of even width between the trace's least and greatest, a bin is searched for the middle, and what
+    lies in it is cut into bins again, until it has few values, or one only; so no task gets more than a bin's rows and counts
+    are combined before they are shuffled. The number of values of a trace may be odd or even: both middle ranks are followed.
+    """
+    x = s.where(F.col(value).isNotNull() & ~F.isnan(value)).select("trace", F.col(value).alias("x"))
+    ends = x.groupBy("trace").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    ranks = F.array_distinct(F.array(F.expr("(n - 1) DIV 2"), F.expr("n DIV 2")))
+    left = written(ends.select("trace", "lo", "hi", "n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("passed")), "medians")
+    done = []
+    while not left.isEmpty():
+        # Flat ranges and single values are found; others go on.
+        done.append(left.where("lo = hi").select("trace", "rank", F.col("lo").alias("x")))
+        more = left.where("lo < hi")
+        side = F.broadcast(more.alias("m")) if few(more) else more.alias("m")
+        inside = x.alias("v").join(side, F.col("v.trace") == F.col("m.trace")).where((F.col("v.x") >= F.col("m.lo")) & (F.col("v.x") <= F.col("m.hi")))
+        # The place in the range, by halves so that no difference leaves the range of doubles.
+        place = (F.col("v.x") / 2 - F.col("m.lo") / 2) / (F.col("m.hi") / 2 - F.col("m.lo") / 2)
+        at = F.least(F.floor(place * bins), F.lit(bins - 1))
+        counts = inside.groupBy("m.trace", "m.rank", at.alias("bin")).agg(F.count("*").alias("k"), F.min("v.x").alias("lo"), F.max("v.x").alias("hi"), F.first("m.passed").alias("passed"))
+        upto = F.col("passed") + F.sum("k").over(Window.partitionBy("trace", "rank").orderBy("bin"))
+        found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("k") <= F.col("rank")))
+        left = written(found.select("trace", "lo", "hi", F.col("k").alias("n"), "rank", (F.col("upto") - F.col("k")).alias("passed")), "medians")
+    if not done:
+        return ends.select("trace", F.lit(None).cast("double").alias("median"))
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    return every.groupBy("trace").agg(F.avg("x").alias("median"))
+
+
 def medians(s: DataFrame) -> DataFrame:
     """Exact median, and mean and median of the absolute deviations from mean and median."""
-    m = s.groupBy("trace").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
-    d = s.join(F.broadcast(m) if m.limit(10_001).count() <= 10_000 else m, "trace")
-    return d.groupBy("trace").agg(F.first("median").alias("median"), F.avg(F.abs(F.col("value") - F.col("mean"))).alias("mad_mean"), F.median(F.abs(F.col("value") - F.col("median"))).alias("mad_median"))
+    side = lambda df: F.broadcast(df) if few(df) else df
+    m = written(s.groupBy("trace").agg(F.avg("value").alias("mean")).join(middles(s, "value"), "trace", "left"), "medians")
+    d = s.join(side(m), "trace").select("trace", "mean", F.abs(F.col("value") - F.col("mean")).alias("from_mean"), F.abs(F.col("value") - F.col("median")).alias("from_median"))
+    return m.join(d.groupBy("trace").agg(F.avg("from_mean").alias("mad_mean")), "trace").join(middles(d, "from_median").withColumnRenamed("median", "mad_median"), "trace", "left").drop("mean")
 
 
 def products(s: DataFrame) -> DataFrame:

@@ -222,13 +222,16 @@ def medians(spark, sf_dir):
     return stats.medians(event_samples(spark, sf_dir)).select("trace", *[r(c).alias(c) for c in ("median", "mad_mean", "mad_median")])
 
 
-@query(f"{S} SELECT trace, round(product(value / 50), 9) AS product, round(sqrt(sum(value / 50 * value / 50)), 6) AS magnitude FROM s WHERE idx < 10 GROUP BY trace")
+@query("SELECT user_id::VARCHAR AS trace, round(product(value / 50), 9) AS product, round(sqrt(sum(value / 50 * value / 50)), 6) AS magnitude FROM events GROUP BY user_id")
 def product_and_norm(spark, sf_dir):
-    s = event_samples(spark, sf_dir).where("idx < 10").withColumn("value", F.col("value") / 50)
-    return stats.products(s).select("trace", r("product", 9).alias("product"), r("magnitude").alias("magnitude"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("trace"), (F.col("value") / 50).alias("value"))
+    return stats.products(e).select("trace", r("product", 9).alias("product"), r("magnitude").alias("magnitude"))
 
 
-@query()
+@query(
+    f"""{S} SELECT trace, CASE WHEN min(abs(value)) = 0 THEN 0 WHEN count(*) FILTER (value < 0) % 2 = 1 THEN -1 ELSE 1 END::INTEGER AS sign, CASE WHEN min(abs(value)) > 0 THEN round(sum(log10(abs(value) / 50)), 6) END AS log10,
+round(sqrt(sum(value / 50 * value / 50)), 6) AS magnitude FROM s GROUP BY trace"""
+)
 def product_and_norm_whole(spark, sf_dir):
     s = event_samples(spark, sf_dir).withColumn("value", F.col("value") / 50)
     return stats.log_products(s).select("trace", "sign", r("log10").alias("log10"), r("magnitude").alias("magnitude"))
@@ -367,20 +370,19 @@ def calc_polyfilter(spark, sf_dir):
 
 
 @query(
-    f"""{S}, k AS (SELECT idx, value FROM s WHERE trace = 'view' AND idx < 3), c AS (SELECT * FROM s WHERE trace = 'click'),
-p AS (SELECT idx, value, coalesce(lag(value) OVER w, value) AS a, coalesce(lead(value) OVER w, value) AS b FROM c WINDOW w AS (ORDER BY idx))
-SELECT idx, round(a * (SELECT value FROM k WHERE idx = 0) + value * (SELECT value FROM k WHERE idx = 1) + b * (SELECT value FROM k WHERE idx = 2), 6) AS out FROM p"""
+    f"""{S}, k AS (SELECT idx AS k, value AS tap, count(*) OVER () AS m FROM s WHERE trace = 'view'), c AS (SELECT idx, value, count(*) OVER () AS n FROM s WHERE trace = 'click')
+SELECT c.idx, round(CASE WHEN any_value(c.n) < any_value(c.m) // 2 THEN 0 ELSE sum(tap * x.value) END, 4) AS out
+FROM (SELECT c.idx, n, m, tap, greatest(0, least(n - 1, c.idx + k - (m - 1 - m // 2))) AS place FROM c, k) c JOIN c x ON x.idx = c.place GROUP BY c.idx"""
 )
 def calc_fir(spark, sf_dir):
-    s = event_samples(spark, sf_dir).where("trace = 'click' OR (trace = 'view' AND idx < 3)")
-    return calc.calculate("FIR", s, ["click", "view"]).withColumn("out", r("out"))
+    return calc.calculate("FIR", event_samples(spark, sf_dir), ["click", "view"]).select("idx", r("out", 4).alias("out"))
 
 
 @query()
 def named_filters(spark, sf_dir):
     s, parts = event_samples(spark, sf_dir).select("trace", "idx", "value"), None
     for name in ("Box 10", "Delay 5", "Lpf 0.1", "Hpf 0.1", "Notch 0.1", "SG 10/3", "RMS 100", "A 48k", "Bessel"):
-        p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", r("out").alias("out"))
+        p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", r("out", 4 if name == "Bessel" else 9).alias("out"))
         parts = p if parts is None else parts.unionByName(p)
     return parts
 
@@ -554,72 +556,42 @@ def view_pipeline(spark, sf_dir):
 
 
 def recursive_sql(first: str, step: str) -> str:
-    return f"""{S.replace("WITH", "WITH RECURSIVE")}, q AS (SELECT * FROM s WHERE idx < 200), f AS (SELECT trace, idx, value, {first} AS state FROM q WHERE idx = 0 UNION ALL SELECT q.trace, q.idx, q.value, {step} FROM f JOIN q ON q.trace = f.trace AND q.idx = f.idx + 1)
+    return f"""{S.replace("WITH", "WITH RECURSIVE")}, q AS MATERIALIZED (SELECT * FROM s), f AS (SELECT trace, idx, value, {first} AS state FROM q WHERE idx = 0 UNION ALL SELECT q.trace, q.idx, q.value, {step} FROM f JOIN q ON q.trace = f.trace AND q.idx = f.idx + 1)
 SELECT trace, idx, round(state, 6) AS out FROM f"""
 
 
-def early(spark, sf_dir) -> DataFrame:
-    """As far as the recursive SQL goes; the queries ..._whole take every sample and have no SQL."""
-    return event_samples(spark, sf_dir).where("idx < 200").select("trace", "idx", "value")
-
-
-def state(df: DataFrame) -> DataFrame:
-    return df.select("trace", "idx", r("out").alias("out"))
+def state(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("trace", "idx", r("out", digits).alias("out"))
 
 
 @query(recursive_sql("value", "f.state + (q.value - f.state) * 0.2371"))
 def rc_low_pass(spark, sf_dir):
-    return state(sequential.linear_filter(early(spark, sf_dir), sequential.rc(0.2371)))
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rc(0.2371)))
 
 
 @query(recursive_sql("value", "f.state + (q.value - f.state) * 0.2371").replace("round(state, 6)", "round(value - state, 6)"))
 def cr_high_pass(spark, sf_dir):
-    return state(sequential.linear_filter(early(spark, sf_dir), sequential.cr(0.2371)))
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.cr(0.2371)))
 
 
 @query(recursive_sql("value", "greatest(q.value, f.state + (q.value - f.state) * 0.2371)"))
 def drc_envelope(spark, sf_dir):
-    return state(sequential.sequential(early(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, drc=True)))
+    return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, drc=True)))
 
 
 @query(recursive_sql("value / 3", "(f.state * 2 + q.value) / 3"))
 def rolling_average(spark, sf_dir):
-    return state(sequential.linear_filter(early(spark, sf_dir), sequential.rolling_average(3)))
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rolling_average(3)))
 
 
 @query(recursive_sql("value", "f.state + greatest(least(q.value - f.state, 10), -10) * 0.2371"))
 def rc_slew_limited(spark, sf_dir):
-    return state(sequential.sequential(early(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, 10.0)))
-
-
-@query()
-def rc_low_pass_whole(spark, sf_dir):
-    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rc(0.2371)))
-
-
-@query()
-def cr_high_pass_whole(spark, sf_dir):
-    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.cr(0.2371)))
-
-
-@query()
-def drc_envelope_whole(spark, sf_dir):
-    return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, drc=True)))
-
-
-@query()
-def rolling_average_whole(spark, sf_dir):
-    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.rolling_average(3)))
-
-
-@query()
-def rc_slew_limited_whole(spark, sf_dir):
     return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, 10.0)))
 
 
 @query()
 def iir_band_pass(spark, sf_dir):
-    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.bessel_band_pass()))
+    return state(sequential.linear_filter(event_samples(spark, sf_dir), sequential.bessel_band_pass()), 4)
 
 
 def two(spark, sf_dir) -> DataFrame:
@@ -636,7 +608,7 @@ def nlms(spark, sf_dir):
 
 @query()
 def rls(spark, sf_dir):
-    return state(sequential.sequential(two(spark, sf_dir), ["value", "wanted"], lambda: sequential.Rls(8, 1.0, 0.02)))
+    return state(sequential.sequential(two(spark, sf_dir), ["value", "wanted"], lambda: sequential.Rls(8, 1.0, 0.02)), 4)
 
 
 @query()
@@ -664,29 +636,24 @@ def vectors(spark, sf_dir) -> DataFrame:
     return e.select(F.col("vec_id").cast("string").alias("trace"), F.lit(0).cast("long").alias("frame"), F.col("embedding").cast("array<double>").alias("samples"))
 
 
-def few_vectors(spark, sf_dir) -> DataFrame:
-    """Those under id 40, as far as the transform's SQL goes; the queries ..._whole take all and have no SQL."""
-    return vectors(spark, sf_dir).where("CAST(trace AS LONG) < 40")
-
-
-DFT = """WITH e AS (SELECT vec_id::VARCHAR AS trace, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE vec_id < 40),
+DFT = """WITH e AS (SELECT vec_id::VARCHAR AS trace, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 z AS (SELECT trace, k, sum(v * cos(-2 * pi() * i * k / 64)) / 64 AS re, sum(v * sin(-2 * pi() * i * k / 64)) / 64 AS im FROM e, (SELECT unnest(range(33)) AS k) GROUP BY trace, k)"""
 
 
 @query(f"{DFT} SELECT trace, k::INTEGER AS bin, round(sqrt(re * re + im * im), 6) AS magnitude FROM z")
 def fft_magnitude(spark, sf_dir):
-    return spectral.spectrum(few_vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
+    return spectral.spectrum(vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
 
 
-@query("SELECT vec_id::VARCHAR AS trace, unnest(range(64))::INTEGER AS idx, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings WHERE vec_id < 40")
+@query("SELECT vec_id::VARCHAR AS trace, unnest(range(64))::INTEGER AS idx, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
 def fft_round_trip(spark, sf_dir):
-    back = spectral.to_time(spectral.spectrum(few_vectors(spark, sf_dir)), 64)
+    back = spectral.to_time(spectral.spectrum(vectors(spark, sf_dir)), 64)
     return back.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
 
 
 @query(f"{DFT}, b AS (SELECT trace, k, 20 * log10(sqrt(re * re + im * im)) AS db FROM z) SELECT trace, k::INTEGER AS bin, round(db, 4) AS db FROM b")
 def fft_decibel(spark, sf_dir):
-    z = spectral.spectrum(few_vectors(spark, sf_dir))
+    z = spectral.spectrum(vectors(spark, sf_dir))
     return spectral.decibel(z, "magnitude").select("trace", "bin", r("out", 4).alias("db"))
 
 
@@ -695,29 +662,6 @@ def fft_decibel(spark, sf_dir):
 SELECT trace, i::INTEGER AS idx, round(value, 6) AS value FROM t"""
 )
 def fft_band_pass(spark, sf_dir):
-    f = spectral.filtered(few_vectors(spark, sf_dir), lambda n: spectral.band_pass(n, 4, 12))
-    return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
-
-
-@query()
-def fft_magnitude_whole(spark, sf_dir):
-    return spectral.spectrum(vectors(spark, sf_dir)).select("trace", "bin", r("magnitude").alias("magnitude"))
-
-
-@query()
-def fft_round_trip_whole(spark, sf_dir):
-    back = spectral.to_time(spectral.spectrum(vectors(spark, sf_dir)), 64)
-    return back.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
-
-
-@query()
-def fft_decibel_whole(spark, sf_dir):
-    z = spectral.spectrum(vectors(spark, sf_dir))
-    return spectral.decibel(z, "magnitude").select("trace", "bin", r("out", 4).alias("db"))
-
-
-@query()
-def fft_band_pass_whole(spark, sf_dir):
     f = spectral.filtered(vectors(spark, sf_dir), lambda n: spectral.band_pass(n, 4, 12))
     return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
 
@@ -905,19 +849,13 @@ def graph_reachable(spark, sf_dir):
 
 
 def arrays(spark, sf_dir) -> DataFrame:
-    """a: the first 8 components times 10; b: the next 8. The element-wise and reducing queries ..._whole take the two halves."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return e.select("vec_id", F.transform(F.slice("v", 1, 8), lambda x: x * 10).alias("a"), F.transform(F.slice("v", 9, 8), lambda x: x * 10).alias("b"))
-
-
-def halves(spark, sf_dir) -> DataFrame:
     """a and b: the two halves of all components times 10."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 10).alias("v"))
     n = F.floor(F.size("v") / 2).cast("int")
     return e.select("vec_id", F.slice("v", F.lit(1), n).alias("a"), F.slice("v", n + 1, n).alias("b"))
 
 
-A = "WITH e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE * 10) AS a, list_transform(embedding[9:16], lambda x: x::DOUBLE * 10) AS b FROM embeddings)"
+A = "WITH e AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE * 10) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE * 10) AS b FROM embeddings)"
 
 
 def places(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -926,64 +864,37 @@ def places(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return made.select("vec_id", F.posexplode(F.arrays_zip(*columns)).alias("i", "z")).select("vec_id", "i", *[r(F.col(f"z.{k}").cast("double")).alias(k) for k in columns])
 
 
-def places_sql(columns: dict[str, str], end: int = 9) -> str:
+def places_sql(columns: dict[str, str], end: int = 33) -> str:
     cols = ", ".join(f"round(({c})::DOUBLE, 6) AS {k}" for k, c in columns.items())
     return f"{A} SELECT vec_id, (i - 1)::INTEGER AS i, {cols} FROM e, (SELECT unnest(range(1, {end})) AS i)"
 
 
 @query(
-    places_sql({"abs": "abs(a[i])", "ceil": "ceil(a[i])", "floor": "floor(a[i])", "trunc": "trunc(a[i])", "sqrt": "sqrt(abs(a[i]))", "neg": "-a[i]", "square": "a[i] * a[i]", "complement": "1 - a[i]", "reversed": "a[9 - i]", "rotated": "a[(i + 1) % 8 + 1]", "diff": "CASE WHEN i = 1 THEN 0 ELSE a[i] - a[i - 1] END", "wrapped": "a[i] - 2 * round(a[i] / 2)", "sorted": "list_sort(a)[i]", "quantised": "round((least(greatest(a[i], -1), 1) + 1) / 0.5) * 0.5 - 1"})
+    places_sql({"abs": "abs(a[i])", "ceil": "ceil(a[i])", "floor": "floor(a[i])", "trunc": "trunc(a[i])", "sqrt": "sqrt(abs(a[i]))", "neg": "-a[i]", "square": "a[i] * a[i]", "complement": "1 - a[i]", "reversed": "a[33 - i]", "rotated": "a[(i + 1) % 32 + 1]", "diff": "CASE WHEN i = 1 THEN 0 ELSE a[i] - a[i - 1] END", "wrapped": "a[i] - 2 * round(a[i] / 2)", "sorted": "list_sort(a)[i]", "quantised": "round((least(greatest(a[i], -1), 1) + 1) / 0.5) * 0.5 - 1"})
 )
 def vector_unary(spark, sf_dir):
-    return unary(arrays(spark, sf_dir))
-
-
-@query()
-def vector_unary_whole(spark, sf_dir):
-    return unary(halves(spark, sf_dir))
-
-
-def unary(e: DataFrame) -> DataFrame:
     a = F.col("a")
-    return places(e, {
+    return places(arrays(spark, sf_dir), {
         "abs": vector.absolute(a), "ceil": vector.ceil(a), "floor": vector.floor(a), "trunc": vector.trunc(a), "sqrt": vector.sqrt(vector.absolute(a)), "neg": vector.negated(a), "square": vector.power(a, 2), "complement": vector.complement(a),
         "reversed": F.reverse(a), "rotated": vector.rotated(a, 2), "diff": vector.differentiated(a), "wrapped": vector.wrapped(a, 1.0), "sorted": F.array_sort(a), "quantised": vector.quantised(a, -1.0, 1.0, 5),
     })
 
 
-@query(places_sql({"plus": "a[i] + b[i]", "minus": "a[i] - b[i]", "times": "a[i] * b[i]", "over": "a[i] / b[i]", "plus_2": "a[i] + 2", "integral": "list_sum(a[1:i])", "mean_3": "list_avg(a[greatest(i - 1, 1):least(i + 1, 8)])", "rescaled": "(a[i] - list_min(a)) / (list_max(a) - list_min(a))", "unit": "a[i] / sqrt(list_sum(list_transform(a, lambda x: x * x)))"}))
+@query(places_sql({"plus": "a[i] + b[i]", "minus": "a[i] - b[i]", "times": "a[i] * b[i]", "over": "a[i] / b[i]", "plus_2": "a[i] + 2", "integral": "list_sum(a[1:i])", "mean_3": "list_avg(a[greatest(i - 1, 1):least(i + 1, 32)])", "rescaled": "(a[i] - list_min(a)) / (list_max(a) - list_min(a))", "unit": "a[i] / sqrt(list_sum(list_transform(a, lambda x: x * x)))"}))
 def vector_binary(spark, sf_dir):
-    return binary(arrays(spark, sf_dir))
-
-
-@query()
-def vector_binary_whole(spark, sf_dir):
-    return binary(halves(spark, sf_dir))
-
-
-def binary(e: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return places(e, {
+    return places(arrays(spark, sf_dir), {
         "plus": vector.add(a, b), "minus": vector.subtract(a, b), "times": vector.multiply(a, b), "over": vector.divide(a, b), "plus_2": vector.add(a, 2), "integral": vector.integrated(a), "mean_3": vector.rolling(a, 3, vector.mean), "rescaled": vector.rescaled(a), "unit": vector.normalised(a),
     })
 
 
 @query(
     f"""{A}, m AS (SELECT *, list_avg(a) AS mean, list_median(a) AS med, list_sum(list_transform(a, lambda x: x * x)) AS sq FROM e)
-SELECT vec_id, round(list_sum(a), 6) AS sum, round(sq, 6) AS sum_square, round(list_product(a), 6) AS product, round(mean, 6) AS mean, round(med, 6) AS median, round(sqrt(sq / 8), 6) AS rms, round(sq / 8 - mean * mean, 5) AS variance,
+SELECT vec_id, round(list_sum(a), 6) AS sum, round(sq, 6) AS sum_square, round(list_product(a), 6) AS product, round(mean, 6) AS mean, round(med, 6) AS median, round(sqrt(sq / 32), 6) AS rms, round(sq / 32 - mean * mean, 5) AS variance,
 round(list_avg(list_transform(a, lambda x: abs(x - mean))), 6) AS mad_mean, round(list_median(list_transform(a, lambda x: abs(x - med))), 6) AS mad_median, round(list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])), 6) AS dot, round(sqrt(sq), 6) AS norm FROM m"""
 )
 def vector_reduce(spark, sf_dir):
-    return reduced(arrays(spark, sf_dir))
-
-
-@query()
-def vector_reduce_whole(spark, sf_dir):
-    return reduced(halves(spark, sf_dir))
-
-
-def reduced(e: DataFrame) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
+    e, a, b = arrays(spark, sf_dir), F.col("a"), F.col("b")
     cols = {"sum": vector.total(a), "sum_square": vector.sum_square(a), "product": vector.product(a), "mean": vector.mean(a), "median": vector.median(a), "rms": vector.rms(a), "variance": vector.variance(a), "mad_mean": vector.mad_mean(a), "mad_median": vector.mad_median(a), "dot": vector.dot(a, b), "norm": vector.magnitude(a)}
     return e.select("vec_id", *[r(c, 5 if k == "variance" else 6).alias(k) for k, c in cols.items()])
 
