@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from wavequarry.model import event_samples
-from wavequarry.operators import sequential, spectral, stats
+from wavequarry.operators import calc, sequential, spectral, stats
 from wavequarry.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -57,7 +57,7 @@ LOOPS = {
 @pytest.mark.parametrize("name", list(LOOPS))
 def test_recursive_filters_take_every_sample(spark, events, name):
     assert max(map(len, events.values())) > 200
-    same(by_trace(catalog.QUERIES[f"{name}_whole"](spark, DIR)), {t: loop(x, *LOOPS[name]) for t, x in events.items()})
+    same(by_trace(catalog.QUERIES[name](spark, DIR)), {t: loop(x, *LOOPS[name]) for t, x in events.items()})
 
 
 @tables
@@ -66,6 +66,12 @@ def test_states_are_carried_over_small_blocks(spark, events, name, f):
     same(by_trace(sequential.linear_filter(event_samples(spark, DIR), f, 16)), {t: loop(x, *LOOPS[name]) for t, x in events.items()}, 1e-8)
 
 
+@tables
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_envelope_is_carried_over_small_blocks(spark, events, size):
+    same(by_trace(sequential.drc(event_samples(spark, DIR), K, size)), {t: loop(x, *LOOPS["drc_envelope"]) for t, x in events.items()}, 1e-8)
+
+
 @tables
 def test_named_filters_take_every_sample(spark, events, monkeypatch):
     long = {"a": np.sin(np.arange(700.0)), "b": np.cos(np.arange(350.0) / 3)}
@@ -103,11 +109,11 @@ def test_transforms_take_every_vector(spark, embeddings):
     n = np.arange(64)
     dft = np.exp(-2j * np.pi * np.outer(np.arange(33), n) / 64) / 64
     spectra = {k: dft @ x for k, x in embeddings.items()}
-    same(arrays(run("fft_magnitude_whole"), "trace", "bin", "magnitude"), {k: np.abs(z) for k, z in spectra.items()})
-    same(arrays(run("fft_decibel_whole"), "trace", "bin", "db"), {k: 20 * np.log10(np.abs(z)) for k, z in spectra.items()}, 2e-4)
-    same(arrays(run("fft_round_trip_whole"), "trace", "idx", "value"), embeddings)
+    same(arrays(run("fft_magnitude"), "trace", "bin", "magnitude"), {k: np.abs(z) for k, z in spectra.items()})
+    same(arrays(run("fft_decibel"), "trace", "bin", "db"), {k: 20 * np.log10(np.abs(z)) for k, z in spectra.items()}, 2e-4)
+    same(arrays(run("fft_round_trip"), "trace", "idx", "value"), embeddings)
     back = lambda z: sum(2 * (z[k] * np.exp(2j * np.pi * n * k / 64)).real for k in range(4, 13))
-    same(arrays(run("fft_band_pass_whole"), "trace", "idx", "value"), {k: back(z) for k, z in spectra.items()})
+    same(arrays(run("fft_band_pass"), "trace", "idx", "value"), {k: back(z) for k, z in spectra.items()})
     shaped = run("fft_shaped_filters").groupBy("shape").count().collect()
     assert {r[1] for r in shaped} == {64 * len(embeddings)} and len(shaped) == 6
 
@@ -115,12 +121,12 @@ def test_transforms_take_every_vector(spark, embeddings):
 @tables
 def test_vector_queries_take_both_halves(spark, embeddings):
     a, b = {k: x[:32] * 10 for k, x in embeddings.items()}, {k: x[32:] * 10 for k, x in embeddings.items()}
-    unary, binary = catalog.QUERIES["vector_unary_whole"](spark, DIR).cache(), catalog.QUERIES["vector_binary_whole"](spark, DIR).cache()
+    unary, binary = catalog.QUERIES["vector_unary"](spark, DIR).cache(), catalog.QUERIES["vector_binary"](spark, DIR).cache()
     for name, f in {"abs": np.abs, "reversed": lambda x: x[::-1], "rotated": lambda x: np.roll(x, -2), "diff": lambda x: np.diff(x, prepend=x[0]), "sorted": np.sort}.items():
         same(arrays(unary, "vec_id", "i", name), {k: f(x) for k, x in a.items()})
     for name, f in {"plus": lambda x, y: x + y, "times": lambda x, y: x * y, "integral": lambda x, _: np.cumsum(x), "unit": lambda x, _: x / np.sqrt((x * x).sum())}.items():
         same(arrays(binary, "vec_id", "i", name), {k: f(a[k], b[k]) for k in a})
-    reduced = catalog.QUERIES["vector_reduce_whole"](spark, DIR).toPandas().set_index("vec_id")
+    reduced = catalog.QUERIES["vector_reduce"](spark, DIR).toPandas().set_index("vec_id")
     for name, f in {"sum": lambda x, _: x.sum(), "median": lambda x, _: np.median(x), "rms": lambda x, _: np.sqrt((x * x).mean()), "dot": lambda x, y: x @ y, "norm": lambda x, _: np.sqrt((x * x).sum())}.items():
         np.testing.assert_allclose(reduced[name].loc[list(a)], [f(a[k], b[k]) for k in a], rtol=0, atol=2e-6)
 
@@ -159,3 +165,41 @@ def test_products_keep_sign_and_zero(spark):
     rows = [("a", 1e200), ("a", -1e200), ("b", 0.0), ("b", -2.0), ("c", -2.0), ("c", -50.0)]
     s = spark.createDataFrame([(t, i, v) for i, (t, v) in enumerate(rows)], "trace string, idx long, value double")
     assert {r["trace"]: (r["sign"], r["log10"]) for r in stats.log_products(s).collect()} == {"a": (-1, 400.0), "b": (0, None), "c": (1, 2.0)}
+
+
+# Kernels, fits and medians
+
+
+@pytest.mark.parametrize(("n", "m"), [(50, 20), (50, 21), (20, 39), (20, 41), (20, 42), (7, 3), (100, 1), (5, 10), (64, 64)])
+def test_kernels_of_any_length(spark, monkeypatch, n, m):
+    rng = np.random.default_rng(n * 100 + m)
+    x, h = rng.normal(0, 1, n), rng.normal(0, 1, m)
+    s = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate(x)] + [("h", i, float(v)) for i, v in enumerate(h)], "trace string, idx long, value double")
+    half = m // 2
+    want = np.array([sum(h[k] * x[min(max(i + k - (m - 1 - half), 0), n - 1)] for k in range(m)) for i in range(n)]) if n >= half else np.zeros(n)
+    for most in (4096, 0):  # as a list of taps, and by blocks
+        monkeypatch.setattr(calc, "KERNEL", most)
+        got = calc.fir_by_trace(s, "x", "h", 64 if most else 8).orderBy("idx").collect()
+        np.testing.assert_allclose([r["out"] for r in got], want, rtol=0, atol=1e-9)
+
+
+def test_medians_by_ranges(spark):
+    rng = np.random.default_rng(8)
+    traces = {"odd": rng.normal(0, 1, 501), "even": np.exp(rng.normal(0, 20, 400)), "one": [3.0], "flat": [7.0] * 9, "wide": [1e308, -1e308, 5.0, 6.0], "hot": [2.0] * 300 + [1.0, 5.0], "signs": [-0.0, 0.0, -1.0, 1.0]}
+    s = spark.createDataFrame([(t, i, float(v)) for t, x in traces.items() for i, v in enumerate(x)] + [("nan", 0, float("nan")), ("null", 0, None)], "trace string, idx long, value double")
+    for bins in (2, 4096):
+        got = {r["trace"]: r["median"] for r in stats.middles(s, "value", bins).collect()}
+        assert got == {t: float(np.median(x)) for t, x in traces.items()}
+    got = {r["trace"]: r for r in stats.medians(s).collect()}
+    assert set(got) == {*traces, "nan", "null"} and got["null"]["median"] is None
+    for t in ("odd", "one", "flat", "hot"):
+        x = np.array(traces[t])
+        want = [np.median(x), np.abs(x - x.mean()).mean(), np.median(np.abs(x - np.median(x)))]
+        np.testing.assert_allclose([got[t][c] for c in ("median", "mad_mean", "mad_median")], want, rtol=0, atol=1e-12)
+    assert stats.medians(s.limit(0)).count() == 0
+
+
+def test_fits_of_short_traces_meet_their_samples(spark):
+    traces = {"a": [3.0], "b": [1.0, 2.0], "c": [5.0, -1.0, 4.0, 4.0], "d": np.polyval([2.0, -1.0, 0.5, 3.0], np.linspace(-1, 1, 90)).tolist()}
+    s = spark.createDataFrame([(t, i, v) for t, x in traces.items() for i, v in enumerate(x)], "trace string, idx long, value double")
+    same(by_trace(calc.poly_filtered(s, 5)), {t: np.array(x) for t, x in traces.items()}, 1e-9)

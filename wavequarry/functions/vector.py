@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,12 +132,17 @@ def stdev(a: Column) -> Column:
     return F.sqrt(variance(a))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once a row: inside a lambda it would be worked out for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def mad_mean(a: Column) -> Column:
-    return mean(each(a, lambda x: F.abs(x - mean(a))))
+    return bound(mean(a), lambda m: mean(each(a, lambda x: F.abs(x - m))))
 
 
 def mad_median(a: Column) -> Column:
-    return median(each(a, lambda x: F.abs(x - median(a))))
+    return bound(median(a), lambda m: bound(each(a, lambda x: F.abs(x - m)), median))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -147,12 +150,15 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    return each(a, lambda x: x / magnitude(a))
+    return bound(magnitude(a), lambda m: each(a, lambda x: x / m))
 
 
 def rescaled(a: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    lo, hi = F.array_min(a), F.array_max(a)
-    return each(a, lambda x: F.when(lo == hi, low).otherwise((x - lo) / F.when(lo != hi, hi - lo) * (high - low) + low))
+    def scaled(ends):
+        lo, hi = ends["lo"], ends["hi"]
+        return each(a, lambda x: F.when(lo == hi, low).otherwise((x - lo) / F.when(lo != hi, hi - lo) * (high - low) + low))
+
+    return bound(F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi")), scaled)
 
 
 def quantised(a: Column, low: float, high: float, levels: int) -> Column:
@@ -165,9 +171,58 @@ def differentiated(a: Column) -> Column:
     return F.transform(a, lambda x, i: F.when(i == 0, 0.0).otherwise(x - F.get(a, i - 1)))
 
 
+#: Values summed at once by integrated().
+RUN = 64
+
+
 def integrated(a: Column) -> Column:
-    grown = F.aggregate(a, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0.0)) + x)))
-    return grown
+    """Sums up to each value: runs of RUN values, whose sums are added up and carried, so the work isn't quadratic in the length but in RUN and the number of runs."""
+    def sums(v: Column) -> Column:
+        return F.transform(v, lambda _, i: total(F.slice(v, F.lit(1), i + 1)))
+
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / RUN).cast("int"), F.lit(0))), lambda k: F.slice(a, k * RUN + 1, F.lit(RUN)))
+    carried = lambda r: bound(F.transform(r, total), lambda t: F.transform(r, lambda v, k: bound(total(F.slice(t, F.lit(1), k)), lambda c: each(sums(v), lambda y: y + c))))
+    return F.when(F.size(a) == 0, a).otherwise(F.flatten(bound(runs, carried)))
+
+
+def appended(a: Column, b: Column) -> Column:
+    return F.concat(a, b)
+
+
+def rounded(a: Column, decimals: int = 0, even: bool = True) -> Column:
+    """Halves to the even neighbour, or away from zero."""
+    return each(a, lambda x: (F.bround if even else F.round)(x, decimals))
+
+
+def to_degrees(a: Column) -> Column:
+    return each(a, F.degrees)
+
+
+def to_radians(a: Column) -> Column:
+    return each(a, F.radians)
+
+
+def null_to(a: Column, default: float = 0.0) -> Column:
+    """Null elements as a default."""
+    return each(a, lambda x: F.coalesce(x, F.lit(default)))
+
+
+def moved(a: Column, start: int, to: int) -> Column:
+    """The element at start taken out and put in at place to of the rest; places outside change nothing."""
+    rest = F.concat(F.slice(a, 1, start), F.slice(a, start + 2, F.greatest(F.size(a) - start - 1, F.lit(0))))
+    put = F.concat(F.slice(rest, 1, to), F.slice(a, start + 1, 1), F.slice(rest, to + 1, F.greatest(F.size(rest) - to, F.lit(0))))
+    return F.when((F.lit(max(start, to)) < F.size(a)) & F.lit(min(start, to) >= 0), put).otherwise(a)
+
+
+def dequeued(a: Column, count: int) -> Column:
+    """A struct of taken, the first count elements (all, if fewer), and left."""
+    return F.struct(F.slice(a, 1, count).alias("taken"), F.slice(a, count + 1, F.greatest(F.size(a) - count, F.lit(0))).alias("left"))
+
+
+def convolved(a: Column, b: Column) -> Column:
+    """The product of two polynomials: sums of a[i] b[k - i]."""
+    terms = lambda k: F.filter(F.transform(a, lambda x, i: x * F.get(b, k - i)), lambda x: x.isNotNull())
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.transform(F.sequence(F.lit(0), F.size(a) + F.size(b) - 2), lambda k: total(terms(k)))).otherwise(F.array().cast("array<double>"))
 
 
 def rolling(a: Column, count: int, f) -> Column:
@@ -255,15 +310,23 @@ def determinant_2(m: Column) -> Column:
 
 
 def inverted(m: Column) -> Column:
-    """Inverse of square matrices by NumPy on Arrow batches; null for singular ones."""
-    @F.pandas_udf("array<array<double>>")
-    def invert(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return np.linalg.inv(np.array([np.asarray(r, float) for r in x])).tolist()
-            except (np.linalg.LinAlgError, TypeError):
-                return None
-
-        return s.map(one)
-
-    return invert(m)
+    """Inverse of square matrices of any size by elimination, the pivot of each step being the row with the greatest element; null for singular ones."""
+    g = lambda row, j: F.get(row, j)
+    n = F.size(m)
+    wide = F.transform(m, lambda row, i: F.concat(row, F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(i == j, 1.0).otherwise(0.0))))
+
+    def step(state: Column, k: Column) -> Column:
+        below = F.transform(F.sequence(k, n - 1), lambda i: F.struct(F.abs(g(g(state, i), k)).alias("v"), (-i).alias("i")))
+        at = -F.array_max(below)["i"]
+
+        def swept(pivot: Column) -> Column:
+            # Singular where the pivot is 0: division by null makes the whole null.
+            top = bound(F.nullif(g(pivot, k), F.lit(0.0)), lambda p: each(pivot, lambda x: x / p))
+            rest = lambda t: F.transform(state, lambda row, i: F.when(i == k, t).otherwise(bound(F.when(i == at, g(state, k)).otherwise(row), lambda r: F.zip_with(r, t, lambda x, y: x - g(r, k) * y))))
+            return bound(top, rest)
+
+        return bound(g(state, at), swept)
+
+    done = F.aggregate(F.sequence(F.lit(0), n - 1), wide, step)
+    out = F.transform(done, lambda row: F.slice(row, n + 1, n))
+    return F.when(F.forall(F.flatten(out), lambda x: x.isNotNull()), out)

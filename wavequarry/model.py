@@ -93,3 +93,18 @@ def lagged_time(samples: DataFrame, size: int = BLOCK) -> DataFrame:
     """Adds before: the time of the sample before, null at the start."""
     rows = blocks(samples, before=1, size=size)
     return rows.withColumn("before", F.lag("t").over(Window.partitionBy("trace", "block").orderBy("idx"))).where("own").drop("block", "own")
+
+
+def updated(values: DataFrame, times: DataFrame | None = None, sps: float | None = None) -> DataFrame:
+    """New samples of traces: trace, idx, value, t, sps, from values (trace, idx, value) and times (trace, idx, t).
+
+    Times of a trace that are more or fewer than its values are left out; a trace with times but without a finite rate has the
+    rate 0, which says that its times count.
+    """
+    rate = F.lit(sps if sps is not None and abs(sps) != float("inf") and sps == sps else None).cast("double")
+    rows = values.select("trace", "idx", "value")
+    if times is None:
+        return rows.select("*", F.lit(None).cast("double").alias("t"), rate.alias("sps"))
+    n = rows.groupBy("trace").agg(F.count("*").alias("n")).join(times.groupBy("trace").agg(F.count("*").alias("k")), "trace").where("n = k").select("trace", F.lit(True).alias("timed"))
+    joined = rows.join(times.select("trace", "idx", "t"), ["trace", "idx"], "left").join(n, "trace", "left")
+    return joined.select("trace", "idx", "value", F.when(F.col("timed"), F.col("t")).alias("t"), F.when(F.col("timed"), F.coalesce(rate, F.lit(0.0))).otherwise(rate).alias("sps"))

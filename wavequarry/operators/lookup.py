@@ -152,3 +152,19 @@ def match_names(saved: DataFrame, live: DataFrame, strip) -> DataFrame:
     rest = saved.join(live.select("name").distinct(), "name", "left_anti")
     loose = rest.select(F.col("name").alias("saved"), strip(F.col("name")).alias("s")).join(live.select(F.col("name").alias("live"), strip(F.col("name")).alias("s")), "s")
     return exact.unionByName(loose.select("saved", "live"))
+
+
+def shared_window(modes: DataFrame, zoom: float, pan: float) -> DataFrame:
+    """axis_modes() with the range of ValueAlign groups cut to zoom of its span from pan on; both are clamped so that the window stays inside."""
+    zoom = min(max(zoom, 0.0), 1.0)
+    pan = min(max(pan, 0.0), 1.0 - zoom)
+    span, aligned = F.col("right") - F.col("left"), F.col("mode") == "ValueAlign"
+    lo = F.when(aligned, F.col("left") + span * pan).otherwise(F.col("left"))
+    return modes.select("group", "mode", lo.alias("left"), F.when(aligned, lo + span * zoom).otherwise(F.col("right")).alias("right"), "unit")
+
+
+def sub_window(members: DataFrame, pane_left: float, pane_width: float) -> DataFrame:
+    """Adds x and width: where a member's range (left, right) lies on a pane that shows h_left to h_right; a flat range gets the whole pane."""
+    scale = pane_width / F.when(F.col("h_right") != F.col("h_left"), F.col("h_right") - F.col("h_left"))
+    x = F.coalesce(pane_left + (F.col("left") - F.col("h_left")) * scale, F.lit(pane_left))
+    return members.withColumn("x", x).withColumn("width", F.coalesce((F.col("right") - F.col("left")) * scale, F.lit(pane_width)))

@@ -186,6 +186,55 @@ class Rc:
         return out
 
 
+def decayed_max(x: np.ndarray, decay: float, start: float) -> np.ndarray:
+    """y[i] = max(x[i], decay * y[i - 1]) from a start before the first: steps over 1, 2, 4... places, as the greatest of decayed values doesn't depend on the order."""
+    y, d = np.concatenate([[start], x]), 1
+    while d < len(y) and decay**d > 0:
+        y[d:] = np.maximum(y[d:], decay**d * y[:-d])
+        d *= 2
+    return y[1:]
+
+
+def drc(s: DataFrame, k: float, size: int = BLOCK) -> DataFrame:
+    """Adds out: an envelope that follows the value at once upwards and as the low pass rc(k) downwards.
+
+    Its distance from the low pass is the greatest of the value's own distances, each decayed by 1 - k a sample. So both run by
+    blocks: a block's greatest decayed distance at its end, the same over one row a block, then the blocks' outputs.
+    """
+    low = linear_filter(s, rc(k), size).select("trace", "idx", F.col("value").alias("v"), F.col("out").alias("low"))
+    rows = blocks(low.withColumn("d", F.col("v") - F.col("low")), size=size)
+    decay = 1.0 - k
+
+    def end(t: pa.Table) -> pa.Table:
+        x = t.sort_by("idx")["d"].to_numpy()
+        return pa.table({"trace": t["trace"][:1], "idx": t["block"][:1], "n": pa.array([len(x)]), "end": pa.array([float(decayed_max(x, decay, -np.inf)[-1])])})
+
+    ends = rows.groupBy("trace", "block").applyInArrow(end, "trace string, idx long, n long, end double")
+
+    class Carry:
+        """The distance before each block."""
+
+        def __init__(self):
+            self.state = -np.inf
+
+        def __call__(self, n, end):
+            out = []
+            for m, e in zip(n, end, strict=True):
+                out.append(float(self.state))
+                self.state = max(float(e), decay ** int(m) * self.state if self.state > -np.inf else -np.inf)
+            return out
+
+    starts = sequential(ends, ["n", "end"], Carry).select("trace", F.col("idx").alias("block"), F.col("out").alias("state"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("idx")
+        y = decayed_max(t["d"].to_numpy(), decay, t["state"][0].as_py())
+        return pa.table({"trace": t["trace"], "idx": t["idx"], "value": t["v"], "out": pa.array(t["low"].to_numpy() + y)})
+
+    joined = rows.join(F.broadcast(starts) if few(starts) else starts, ["trace", "block"])
+    return joined.groupBy("trace", "block").applyInArrow(run, "trace string, idx long, value double, out double")
+
+
 class Adaptive:
     """Taps over the last values, oldest first, all equal to the first value at the start."""
 

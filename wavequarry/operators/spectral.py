@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -268,6 +268,23 @@ def spectrogram(s: DataFrame, width: int) -> DataFrame:
     return z.select("trace", "frame", "bin", F.least(F.greatest(db, F.lit(-200.0)), F.lit(100.0)).alias("db"))
 
 
+def spurious_tones(spectra: DataFrame, hz: float, over: float = 2.0, most: int = 10) -> DataFrame:
+    """The first `most` tones of each frame, by frequency: trace, frame, tone (from 1), bin, hz, db.
+
+    A tone is a bin above 0 that is greater than its neighbours and over so many times the frame's mean magnitude; its frequency
+    is the centre of the three bins. A frame is one row a bin, so its window is small.
+    """
+    w = Window.partitionBy("trace", "frame").orderBy("bin")
+    side = lambda f: F.coalesce(f("magnitude").over(w), F.lit(0.0))
+    rows = spectra.withColumn("before", side(F.lag)).withColumn("after", side(F.lead)).withColumn("mean", F.avg("magnitude").over(Window.partitionBy("trace", "frame")))
+    peaks = rows.where((F.col("bin") > 0) & (F.col("magnitude") > F.col("before")) & (F.col("magnitude") >= F.col("after")) & (F.col("magnitude") > over * F.col("mean")))
+    k, m = F.col("bin"), F.col("magnitude")
+    first = F.when(k > 1, F.col("before")).otherwise(0.0)
+    centre = ((k - 1) * first + k * m + (k + 1) * F.col("after")) / (first + m + F.col("after")) * hz
+    out = peaks.select("trace", "frame", F.row_number().over(w).alias("tone"), "bin", centre.alias("hz"), (20 * F.log10(m)).alias("db"))
+    return out.where(F.col("tone") <= most)
+
+
 def moment(m: np.ndarray, left: int, right: int, hz: float) -> float:
     """Centre of the magnitudes from left to right, bin 0 left out."""
     k = np.arange(max(1, left), min(len(m) - 1, right) + 1)

@@ -140,3 +140,15 @@ def auto_range(s: DataFrame, digits: int = 2) -> DataFrame:
 def between_times(s: DataFrame, left: float, right: float) -> DataFrame:
     """Statistics of the samples whose time is in [left, right)."""
     return trace_stats(s.where((F.col("t") >= left) & (F.col("t") < right)))
+
+
+def drop_empty(traces: DataFrame, s: DataFrame) -> DataFrame:
+    """The rows of a table of traces that have samples and, if it has a column visible, are visible."""
+    shown = traces.where("visible") if "visible" in traces.columns else traces
+    return shown.join(s.select("trace").distinct(), "trace", "left_semi")
+
+
+def smoothed_pixels(p: DataFrame, half: int) -> DataFrame:
+    """Low and high of each pixel as means over half a width on either side; the window shrinks at the ends. Traces have few pixels."""
+    w = Window.partitionBy("trace").orderBy("pixel").rowsBetween(-half, half)
+    return p.withColumn("low", F.avg("low").over(w)).withColumn("high", F.avg("high").over(w))

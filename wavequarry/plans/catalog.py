@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, vector
@@ -14,7 +14,7 @@ from ..operators import calc, lookup, registry, sequential, spectral, stats, tri
 from ..session import shared_dir, shipped
 from ..sources import datasource, files, generators
 from ..streaming import live
-from .grid import Grid, reachable
+from .grid import Grid, placed, reachable
 from .view import View, offset_and_length, set_range
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,7 +576,7 @@ def cr_high_pass(spark, sf_dir):
 
 @query(recursive_sql("value", "greatest(q.value, f.state + (q.value - f.state) * 0.2371)"))
 def drc_envelope(spark, sf_dir):
-    return state(sequential.sequential(event_samples(spark, sf_dir), ["value"], lambda: sequential.Rc(0.2371, drc=True)))
+    return state(sequential.drc(event_samples(spark, sf_dir), 0.2371))
 
 
 @query(recursive_sql("value / 3", "(f.state * 2 + q.value) / 3"))
@@ -939,8 +939,9 @@ SELECT c_custkey, coalesce(try_cast(substr(c_name, 10) AS DOUBLE), 0) AS number,
 )
 def text_values(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    natural = F.row_number().over(Window.orderBy(scalar.natural_key(F.concat(F.lit("n"), F.regexp_replace(F.substring("c_name", 10, 9), "^0+(?=.)", "")))))
-    return c.select("c_custkey", scalar.to_double(F.substring("c_name", 10, 9)).alias("number"), scalar.to_int(F.col("c_mktsegment")).alias("nothing"), scalar.to_bool(F.col("c_mktsegment")).alias("flag"), scalar.hex_to_uint32(F.substring(F.hex("c_name"), -8, 8)).alias("bytes"), natural.cast("long").alias("rank"))
+    key = scalar.natural_key(F.concat(F.lit("n"), F.regexp_replace(F.substring("c_name", 10, 9), "^0+(?=.)", "")))
+    c = placed(c.withColumn("key", key), [F.asc("key")], "place")
+    return c.select("c_custkey", scalar.to_double(F.substring("c_name", 10, 9)).alias("number"), scalar.to_int(F.col("c_mktsegment")).alias("nothing"), scalar.to_bool(F.col("c_mktsegment")).alias("flag"), scalar.hex_to_uint32(F.substring(F.hex("c_name"), -8, 8)).alias("bytes"), (F.col("place") + 1).alias("rank"))
 
 
 @query("SELECT c_custkey, (ascii(c_name[1]) * 16 + ascii(c_name[2]) // 16)::BIGINT AS twelve, (ascii(c_name[1]) // 16 - CASE WHEN ascii(c_name[1]) >= 128 THEN 16 ELSE 0 END)::BIGINT AS four FROM customer")

@@ -46,12 +46,20 @@ def regex(name: str, pattern: str) -> Column:
     return cell(name).rlike("(?i)" + pattern)
 
 
-def hide_rows(df: DataFrame, indexes: list[int]) -> DataFrame:
-    return df.where(~F.col("_index").isin(indexes))
+def selected(df: DataFrame, indexes: list[int] | DataFrame, how: str) -> DataFrame:
+    """The rows whose _index is (left_semi) or isn't (left_anti) in a short list, or in a table with a column _index."""
+    if isinstance(indexes, DataFrame):
+        return df.join(indexes.select("_index"), "_index", how).select(df.columns)
+    hit = F.col("_index").isin(indexes)
+    return df.where(hit if how == "left_semi" else ~hit)
 
 
-def hide_others(df: DataFrame, indexes: list[int]) -> DataFrame:
-    return df.where(F.col("_index").isin(indexes))
+def hide_rows(df: DataFrame, indexes: list[int] | DataFrame) -> DataFrame:
+    return selected(df, indexes, "left_anti")
+
+
+def hide_others(df: DataFrame, indexes: list[int] | DataFrame) -> DataFrame:
+    return selected(df, indexes, "left_semi")
 
 
 def hide_above(df: DataFrame, pos: int) -> DataFrame:
@@ -99,26 +107,44 @@ def unique_count(df: DataFrame, column: str) -> DataFrame:
     return out.select(*df.columns[: at + 1], F.col("__n").alias(name), *df.columns[at + 1 :])
 
 
-def sort_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Numbers by value (NaN last), texts in natural order with case ignored. Ties keep the order shown, turned round if descending.
+def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds a column with each row's place from 0 in an order.
 
-    Rows are dealt by ranges of the key and numbered within each range, after what comes before it. The ranges are drawn from a
-    sample, so they are written before anything is counted on them.
+    Rows are dealt by ranges of the order's columns and numbered within each range, after what comes before it. The ranges are
+    drawn from a sample, so they are written before anything is counted on them.
     """
+    ranged = written(rows.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "grid_sort")
+    starts = ranged.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__s"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
+    return ranged.withColumn("__at", at).join(starts, "__b").withColumn(name, F.col("__s") + F.col("__at") - 1).drop("__b", "__at", "__s", "__n")
+
+
+def sort_by(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Numbers by value (NaN last), texts in natural order with case ignored. Ties keep the order shown, turned round if descending."""
     numeric = dict(df.dtypes)[column] in ("double", "float", "int", "bigint", "smallint", "tinyint")
     key = F.col(column) if numeric else natural_key(F.col(column))
     rows = df.withColumn("__k", key)
     order = [F.desc_nulls_last("__k"), F.desc("_pos")] if descending else [F.asc_nulls_first("__k"), F.asc("_pos")]
-    ranged = written(rows.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "grid_sort")
-    starts = ranged.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__s"))
-    at = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return ranged.withColumn("__at", at).join(starts, "__b").withColumn("_pos", F.col("__s") + F.col("__at") - 1).drop("__b", "__at", "__s", "__k")
+    return placed(rows, order, "_pos").drop("__k")
+
+
+def shuffled(df: DataFrame, seed: int) -> DataFrame:
+    """The rows in an order that a seed and their places in the base fix."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_index").cast("string")))
+    return placed(df.withColumn("__k", key), [F.asc("__k"), F.asc("_index")], "_pos").drop("__k")
+
+
+def show_text(df: DataFrame, column: str, text: str, name: str = "match") -> DataFrame:
+    """Adds whether the cell holds a text, case ignored; an empty text marks nothing."""
+    return df.withColumn(name, F.contains(F.lower(cell(column)), F.lit(text.lower())) & F.lit(bool(text)))
 
 
-def add_column(df: DataFrame, name: str, values: list, at: int | None = None) -> DataFrame:
-    """A column of values by place shown (null where there are no more), at the right or at an ordinal."""
-    spark = df.sparkSession
-    side = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"__p long, `{name}` {'double' if values and isinstance(values[0], float) else 'string'}")
+def add_column(df: DataFrame, name: str, values: list | DataFrame, at: int | None = None) -> DataFrame:
+    """A column of values by place shown (null where there are no more), at the right or at an ordinal: a short list, or a table with columns place and value."""
+    if isinstance(values, DataFrame):
+        side = values.select(F.col("place").cast("long").alias("__p"), F.col("value").alias(name))
+    else:
+        side = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(values)], f"__p long, `{name}` {'double' if values and isinstance(values[0], float) else 'string'}")
     joined = renumbered(df).join(side, F.col("_pos") == F.col("__p"), "left").drop("__p")
     shown = [c for c in df.columns if c not in HIDDEN]
     shown.insert(len(shown) if at is None else at, name)
@@ -175,7 +201,7 @@ def transpose(df: DataFrame) -> DataFrame:
     return wide.select("headers", *[F.col(str(i)).alias(f"row {i + 1}") for i in range(n)], at.alias("_index"), at.alias("_pos"))
 
 
-OPERATIONS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (hide_rows, hide_others, hide_above, hide_below, hide_matching, keep_matching, show_regex, hide_regex, decimate, unique_count, sort_by, add_column, remove_column, move_column, split_column, append_rows, transpose)}
+OPERATIONS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (hide_rows, hide_others, hide_above, hide_below, hide_matching, keep_matching, show_regex, hide_regex, decimate, unique_count, sort_by, shuffled, show_text, add_column, remove_column, move_column, split_column, append_rows, transpose)}
 FILTERS = {"hide_rows", "hide_others", "hide_above", "hide_below", "hide_matching", "keep_matching", "show_regex", "hide_regex", "decimate", "unique_count"}
 
 

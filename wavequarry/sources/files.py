@@ -18,13 +18,23 @@ from ..functions.vector import transposed  # noqa: F401  (re-exported for matrix
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
 
 
-def read_table(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """A CSV file as texts, split over tasks where no cell has a line end: short rows are padded, missing cells are "". Spark's reader drops blank lines; read_table_exact keeps them."""
-    df = spark.read.csv(path, sep=separator, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
-    kept = [c for c in df.columns if not re.fullmatch(r"_c\d+", c)]
+def read_table(spark: SparkSession, path: str, separator: str = ",", line_ends: bool = False) -> DataFrame:
+    """A CSV file as texts: short rows are padded, missing cells are "". Spark's reader drops blank lines; read_table_exact keeps them.
+
+    Large files are split over tasks. line_ends says that cells may hold line ends, which takes a file a task. A column whose
+    header is empty is left out.
+    """
+    df = spark.read.csv(path, sep=separator, header=True, multiLine=line_ends, escape='"', mode="PERMISSIVE")
+    named = [(i, c) for i, c in enumerate(df.columns)]
+    kept = [c for i, c in named if c != f"_c{i}"]  # Spark's name for a column without a header
     return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in kept])
 
 
+def columns_or(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """The columns of those names; a default for those that the table lacks and for null cells."""
+    return df.select([F.coalesce(F.col(f"`{c}`"), F.lit(d)).alias(c) if c in df.columns else F.lit(d).alias(c) for c, d in defaults.items()])
+
+
 def read_table_exact(spark: SparkSession, path: str, columns: list[str], separator: str = ",") -> DataFrame:
     """Rows of whole files, a file a task: file, row, then the columns; blank lines are rows of "", short rows padded, long ones cut; a doubled quote is one quote."""
 
@@ -93,6 +103,12 @@ def export_columns(s: DataFrame, timed: bool) -> DataFrame:
 LOG = "time double, level string, source string, thread string, type string, name string, text string, value double, file string, line long, data binary"
 
 
+def filter_log(log: DataFrame, types: list[str] | None = None, pattern: str = "") -> DataFrame:
+    """Entries of those types in whose name, source or text the pattern finds something, case ignored."""
+    kept = log if types is None else log.where(F.col("type").isin(types))
+    return kept.where(F.concat_ws("\n", "name", "source", "text").rlike("(?i)" + pattern)) if pattern else kept
+
+
 def write_log(entries: DataFrame, path: str, compression: str | None = None) -> None:
     """Log entries (LOG) as CSV, bytes as hexadecimal digits."""
     write_table(entries.withColumn("data", F.hex("data")), path, compression)
@@ -194,9 +210,16 @@ def read_features(spark: SparkSession, path: str, sps: float) -> DataFrame:
     return lines.where(at.isNotNull()).select((at * sps).cast("long").alias("idx"), at.alias("t"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON files as a table of texts: objects by the union of their keys (nested values as JSON), other values in a column value."""
-    df = spark.read.json(path, multiLine=True, primitivesAsString=True)
+def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """JSON files as a table of texts: objects by the union of their keys (nested values as JSON), other values in a column value.
+
+    lines says that each line is an object, so that a file is split over tasks; otherwise a file is one value, an array of rows
+    or an object. Unless it is given, the first line tells: whether it is an object by itself.
+    """
+    if lines is None:
+        first = spark.read.text(path).where("trim(value) <> ''").limit(1).select(F.expr("from_json(value, 'map<string,string>')").alias("m"), F.col("value").rlike(r"^\s*\{.*\}\s*$").alias("one")).first()
+        lines = first is not None and bool(first["one"]) and first["m"] is not None
+    df = spark.read.json(path, multiLine=not lines, primitivesAsString=True)
     nested = lambda f: f.dataType.simpleString().startswith(("struct", "array"))
     return df.select([(F.to_json(f.name) if nested(f) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in df.schema.fields])
 

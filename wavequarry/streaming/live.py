@@ -51,20 +51,55 @@ def mixed(stream: DataFrame, gains: dict[str, float]) -> DataFrame:
     return stream.where(F.col("trace").isin(list(gains))).groupBy("idx").agg(F.sum(F.col("value") * gain).alias("value"), F.count("*").alias("sources"))
 
 
-def last_samples(stream: DataFrame, length: int) -> DataFrame:
-    """The last `length` samples of each trace after each batch: trace, place (0 is the oldest), value. A new trace counts as if its first sample had filled it."""
+def last_samples(stream: DataFrame, length: int, underflow: str = "First") -> DataFrame:
+    """The last `length` samples of each trace after each batch: trace, place (0 is the oldest), value.
+
+    While a trace has had fewer: First counts as if its first sample had filled it, Zeros fills with 0 on the left, Available
+    gives those there are, Null nothing. A batch is read frame by frame, and no more than length samples are kept of it.
+    """
+    if underflow not in ("First", "Zeros", "Available", "Null"):
+        raise ValueError(f"no underflow {underflow}")
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = np.array(state.get[0]) if state.exists else None
-        x = pd.concat(list(frames)).sort_values("idx")["value"].to_numpy()
-        ring = np.full(length, x[0]) if ring is None else ring
+        ring = np.array(state.get[0]) if state.exists else np.zeros(0)
+        idx, x, head = np.zeros(0), np.zeros(0), None
+        for f in frames:
+            if len(f):
+                first = f["idx"].to_numpy().argmin()
+                head = min([h for h in (head, (f["idx"].iloc[first], f["value"].iloc[first])) if h is not None])
+                idx, x = np.concatenate([idx, f["idx"].to_numpy()]), np.concatenate([x, f["value"].to_numpy()])
+                order = np.argsort(idx, kind="stable")[-length:]
+                idx, x = idx[order], x[order]
+        if underflow == "First" and not len(ring):
+            ring = np.full(length, head[1])
         ring = np.concatenate([ring, x])[-length:]
         state.update((ring.tolist(),))
-        yield pd.DataFrame({"trace": key[0], "place": np.arange(length), "value": ring})
+        if underflow == "Zeros":
+            ring = np.concatenate([np.zeros(length - len(ring)), ring])
+        if underflow == "Null" and len(ring) < length:
+            ring = ring[:0]
+        yield pd.DataFrame({"trace": pd.Series([key[0]] * len(ring), dtype=object), "place": np.arange(len(ring)), "value": ring})
 
     return stream.groupBy("trace").applyInPandasWithState(step, "trace string, place long, value double", "ring array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def recent(stream: DataFrame, age: float) -> DataFrame:
+    """The samples of each trace that are at most age seconds older than its latest, after each batch: trace, place, t, value. State grows with a trace's rate times age."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t, x = (np.array(v) for v in state.get) if state.exists else (np.zeros(0), np.zeros(0))
+        for f in frames:
+            t, x = np.concatenate([t, f["t"].to_numpy()]), np.concatenate([x, f["value"].to_numpy()])
+            kept = t >= t.max() - age if len(t) else np.zeros(0, bool)
+            t, x = t[kept], x[kept]
+        order = np.lexsort((x, t))
+        t, x = t[order], x[order]
+        state.update((t.tolist(), x.tolist()))
+        yield pd.DataFrame({"trace": pd.Series([key[0]] * len(t), dtype=object), "place": np.arange(len(t)), "t": t, "value": x})
+
+    return stream.groupBy("trace").applyInPandasWithState(step, "trace string, place long, t double, value double", "t array<double>, value array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 def recursive(stream: DataFrame, advance: Callable[[list[float], np.ndarray], tuple[np.ndarray, list[float]]]) -> DataFrame:
     """A filter that goes on from batch to batch: advance(state, values) returns the outputs and the new state; the state is [] at first."""
 
