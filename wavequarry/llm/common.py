@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, few, release, shared_dir, written
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "few", "join_few", "release", "remainder", "shared_dir", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "few", "join_few", "kept_or_written", "release", "remainder", "shared_dir", "table", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copies of the small side in a salted join.
@@ -34,3 +36,11 @@ def join_few(df: DataFrame, small: DataFrame, on: Column, how: str, salt: Column
         return df.join(F.broadcast(small), on, how)
     small = small.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
     return df.withColumn("__at", F.pmod(F.hash(salt), F.lit(SALTS))).join(small, on & (F.col("__at") == F.col("__salt")), how).drop("__salt", "__at")
+
+
+def kept_or_written(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at path if it was written to its end, else what make() returns, written there."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
