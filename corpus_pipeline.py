@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wavequarry.llm import stages
-from wavequarry.llm.common import written
+from wavequarry.llm.common import kept_or_written, written
 
 #: (name, function of (spark, docs, sf_dir)).
 STAGES = [
@@ -19,8 +19,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The last stage's rows over the documents of sf_dir.
+
+    With a folder, each stage's result is written there under its name, and one that is there complete is read instead of made
+    again, so that a run that was stopped goes on where it was. Without one, results go to the shared folder of this application.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+        if folder:
+            docs = kept_or_written(spark, f"{folder}/{name}", lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        else:
+            docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
