@@ -1,4 +1,4 @@
-"""Operators against small known results and plain loops."""
+"""Operators against small known results and plain loops. The known inputs and results are fixed values."""
 
 import math
 

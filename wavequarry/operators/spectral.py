@@ -49,7 +49,7 @@ def bins(n: int) -> int:
 
 
 def window_value(x: Column | float, kind: str, m=F):
-    """Window of that kind at x from 0 to 1; m is the module of functions (Spark's or NumPy)."""
+    """Window of that kind at x from 0 to 1; m is the module of functions (Spark's or NumPy). The formulas and their constants are fixed values."""
     pi = math.pi
     if kind == "Blackman":
         return 0.42 - 0.5 * m.cos(x * pi * 2) + 0.08 * m.cos(x * pi * 4)
@@ -142,6 +142,20 @@ def phase_shifted(f: DataFrame, radians: float) -> DataFrame:
     return on_frames(f, kernel, "samples array<double>")
 
 
+def smoothed(f: DataFrame, taps: list[float]) -> DataFrame:
+    """Frames whose magnitudes and unwrapped phases are run through centred taps (sum of taps times neighbours, the ends repeated)."""
+    n, h = len(taps), np.asarray(taps, float)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        return np.correlate(np.concatenate([np.full(n - 1 - n // 2, x[0]), x, np.full(n // 2, x[-1])]), h, "valid")
+
+    def kernel(x: np.ndarray) -> dict:
+        z = np.fft.rfft(x)
+        return {"samples": np.fft.irfft(run(np.abs(z)) * np.exp(1j * run(np.unwrap(np.angle(z)))), len(x))}
+
+    return on_frames(f, kernel, "samples array<double>")
+
+
 def overlap_added(s: DataFrame, width: int, response: Callable[[int], np.ndarray], kind: str = "RaisedCosine") -> DataFrame:
     """Samples filtered in frames that overlap by half, windowed and added up again: any length, no trace in one task. Every sample has an output; beyond the ends there are zeros."""
     shape = np.sqrt(np.maximum(window_value(np.arange(width) / width, kind, np), 0))

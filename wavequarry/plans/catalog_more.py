@@ -350,6 +350,18 @@ def regulator(spark, sf_dir):
     return arrays(spark, sf_dir).select("vec_id", r(-vector.dot(k, F.slice("a", 1, 2))).alias("control"))
 
 
+@query(
+    f"""{DFT}, p AS (SELECT trace, k, sqrt(re * re + im * im) AS m, atan2(im, re) AS a FROM z), j AS (SELECT *, a - lag(a) OVER (PARTITION BY trace ORDER BY k) AS d FROM p),
+u AS (SELECT trace, k, m, a + sum(CASE WHEN d > pi() THEN -2 * pi() WHEN d < -pi() THEN 2 * pi() ELSE 0.0 END) OVER (PARTITION BY trace ORDER BY k) AS a FROM j),
+s AS (SELECT trace, k, 0.25 * coalesce(lag(m) OVER w, m) + 0.5 * m + 0.25 * coalesce(lead(m) OVER w, m) AS m, 0.25 * coalesce(lag(a) OVER w, a) + 0.5 * a + 0.25 * coalesce(lead(a) OVER w, a) AS a FROM u WINDOW w AS (PARTITION BY trace ORDER BY k)),
+t AS (SELECT trace, i, sum(CASE WHEN k IN (0, 32) THEN m * cos(a) * cos(2 * pi() * i * k / 64) ELSE 2 * m * cos(a + 2 * pi() * i * k / 64) END) AS value FROM s, (SELECT unnest(range(64)) AS i) GROUP BY trace, i)
+SELECT trace, i::INTEGER AS idx, round(value, 6) AS value FROM t"""
+)
+def fft_smoothed(spark, sf_dir):
+    f = spectral.smoothed(vectors(spark, sf_dir), [0.25, 0.5, 0.25])
+    return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
+
+
 # Live history
 
 
