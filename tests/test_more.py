@@ -130,3 +130,19 @@ def test_places_over_ranges(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)] + [(5,)] * 40, "v long")
     got = grid.placed(df.repartition(7), [F.desc("v")], "place").orderBy("place").collect()
     assert [r["place"] for r in got] == list(range(141)) and [r["v"] for r in got] == sorted((r["v"] for r in got), reverse=True)
+
+
+def test_polynomials_of_known_values(spark):
+    got = one(spark, vector.polyfit(arr(1, 3, 4, 4, 5), 3))
+    np.testing.assert_allclose(got, np.polyfit(range(5), [1, 3, 4, 4, 5], 3), atol=1e-9)
+    assert one(spark, vector.polyfit(arr(1, 2), 2)) is None
+
+
+def test_bits_are_written_and_read(spark):
+    start = F.array(*[F.lit(x) for x in (0xAB, 0xCD, 0xEF)])
+    for offset, count, value in ((0, 8, 0x12), (4, 12, 0x345), (7, 1, 0), (3, 18, 0x2AAAA), (0, 24, 0xFFFFFF), (5, 2, 7)):
+        old = 0xABCDEF
+        mask = ((1 << count) - 1) << (24 - offset - count)
+        want = old & ~mask | (value & ((1 << count) - 1)) << (24 - offset - count)
+        assert one(spark, scalar.write_bits(start, offset, count, F.lit(value))) == list(want.to_bytes(3)), (offset, count)
+    assert one(spark, scalar.write_bits(start, 3, 0, F.lit(1))) == [0xAB, 0xCD, 0xEF]

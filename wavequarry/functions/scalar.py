@@ -108,3 +108,29 @@ def unique_name(name: str, taken: set[str]) -> str:
     while out in taken:
         out, i = f"{name}_{i}", i + 1
     return out
+
+
+def write_bits(bits: Column, offset: int, count: int, value: Column) -> Column:
+    """An array of byte values with count bits from offset on, first bit highest, replaced by a whole number's lowest bits."""
+
+    def byte(old: Column, j: Column) -> Column:
+        out = old
+        for k in range(offset // 8, (offset + count - 1) // 8 + 1):
+            inside = [i for i in range(8 * k, 8 * k + 8) if offset <= i < offset + count]
+            mask = sum(1 << (7 - i % 8) for i in inside)
+            up = 7 - inside[-1] % 8  # how far the number's bits stand above the byte's lowest
+            part = F.shiftleft(F.shiftright(value.cast("long"), offset + count - 1 - inside[-1]).bitwiseAND(F.lit((1 << len(inside)) - 1)), up)
+            out = F.when(j == k, old.cast("long").bitwiseAND(F.lit(255 - mask)).bitwiseOR(part).cast("int")).otherwise(out)
+        return out
+
+    return F.transform(bits, byte) if count else bits
+
+
+def linear(x: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """The line through two points at x; y0 where both have the same place."""
+    return F.when(x0 == x1, y0).otherwise(y0 + (y1 - y0) * (x - x0) / F.when(x0 != x1, x1 - x0))
+
+
+def bilinear(x: Column, y: Column, x0: Column, x1: Column, y0: Column, y1: Column, v00: Column, v10: Column, v01: Column, v11: Column) -> Column:
+    """Between the four corners' values: along x at both ends of y, then along y."""
+    return linear(y, y0, y1, linear(x, x0, x1, v00, v10), linear(x, x0, x1, v01, v11))

@@ -330,3 +330,18 @@ def inverted(m: Column) -> Column:
     done = F.aggregate(F.sequence(F.lit(0), n - 1), wide, step)
     out = F.transform(done, lambda row: F.slice(row, n + 1, n))
     return F.when(F.forall(F.flatten(out), lambda x: x.isNotNull()), out)
+
+
+def polyfit(a: Column, order: int) -> Column:
+    """Coefficients, highest power first, of the polynomial of places 0, 1, 2... that fits the values best; null for fewer values than coefficients. For short vectors and low orders, by the normal equations."""
+    n, size = F.size(a), order + 1
+    power = lambda p: F.transform(a, lambda _, i: F.pow(i.cast("double"), F.lit(float(p))))
+    powers = [power(p) for p in range(2 * order + 1)]
+    sums = F.array(*[total(p) for p in powers])
+    right = F.array(*[F.array(dot(powers[order - i], a)) for i in range(size)])
+
+    def solved(g: Column) -> Column:
+        left = F.array(*[F.array(*[F.get(g, F.lit(2 * order - i - j)) for j in range(size)]) for i in range(size)])
+        return F.flatten(matrix_product(inverted(left), right))
+
+    return F.when(n >= size, bound(sums, solved))

@@ -61,6 +61,12 @@ def xy(s: DataFrame, a: str, b: str) -> DataFrame:
     return both(s, a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))).select("idx", "out.x", "out.y")
 
 
+def xyz(s: DataFrame, a: str, b: str, c: str) -> DataFrame:
+    """Points in space, at each idx that all three traces have."""
+    part = lambda t, n: s.where(F.col("trace") == t).select("idx", F.col("value").alias(n))
+    return part(a, "x").join(part(b, "y"), "idx").join(part(c, "z"), "idx")
+
+
 def spread(s: DataFrame, f: Callable[[], list[Column]]) -> DataFrame:
     """Samples with aggregates of their whole trace (a row a trace, joined back)."""
     return s.join(s.groupBy("trace").agg(*f()), "trace")

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vector
+from ..functions import scalar, vector
 from ..model import event_samples, from_arrays, from_wide, seconds, updated
-from ..operators import features, lookup, registry, sequential, spectral, stats
+from ..operators import calc, features, lookup, registry, sequential, spectral, stats
 from ..sources import files
 from ..streaming import live
 from . import grid
@@ -362,6 +362,38 @@ def fft_smoothed(spark, sf_dir):
     return f.select("trace", F.posexplode("samples").alias("idx", "value")).withColumn("value", r("value"))
 
 
+@query(f"{S} SELECT a.idx AS idx, a.value AS x, b.value AS y, c.value AS z FROM s a JOIN s b ON a.idx = b.idx AND a.trace = 'click' AND b.trace = 'view' JOIN s c ON c.idx = a.idx AND c.trace = 'error'")
+def xyz_points(spark, sf_dir):
+    return calc.xyz(event_samples(spark, sf_dir), "click", "view", "error")
+
+
+@query(f"{A}, x AS (SELECT vec_id, unnest(a) AS y, unnest(range(32))::DOUBLE AS x FROM e) SELECT vec_id, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM x GROUP BY vec_id")
+def vector_fit(spark, sf_dir):
+    return arrays(spark, sf_dir).select("vec_id", vector.polyfit(F.col("a"), 1).alias("c")).select("vec_id", r(F.col("c")[0]).alias("slope"), r(F.col("c")[1]).alias("intercept"))
+
+
+@query("SELECT c_custkey, (c_custkey % 4096)::BIGINT AS back, (ascii(c_name[1]) // 16 * 16 + (c_custkey % 4096) // 256)::INTEGER AS first FROM customer")
+def bits_written(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("b", scalar.write_bits(scalar.bytes_of(F.col("c_name").cast("binary")), 4, 12, F.col("c_custkey") % 4096))
+    return c.select("c_custkey", scalar.read_bits(F.col("b"), 4, 12).alias("back"), F.col("b")[0].alias("first"))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation")
+def xml_round_trip(spark, sf_dir):
+    text = table(spark, sf_dir, "nation").select(F.to_xml(F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))).alias("x"))
+    return text.select(F.from_xml("x", "key int, name string").alias("v")).select("v.*")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(l_tax + (l_discount - l_tax) * (l_quantity - 1) / 49, 9) AS linear,
+round((10 + 20 * (l_quantity - 1) / 49) + ((30 - 15 * (l_quantity - 1) / 49) - (10 + 20 * (l_quantity - 1) / 49)) * l_discount / 0.1, 6) AS bilinear FROM lineitem"""
+)
+def interpolated(spark, sf_dir):
+    li, f = table(spark, sf_dir, "lineitem"), lambda x: F.lit(float(x))
+    x, y = F.col("l_quantity"), F.col("l_discount")
+    return li.select("l_orderkey", "l_linenumber", r(scalar.linear(x, f(1), f(50), F.col("l_tax"), y), 9).alias("linear"), r(scalar.bilinear(x, y, f(1), f(50), f(0), f(0.1), f(10), f(30), f(30), f(15))).alias("bilinear"))
+
+
 # Live history
 
 
