@@ -1053,4 +1053,4 @@ def stream_last_samples(spark, sf_dir):
 def stream_low_pass(spark, sf_dir):
     path = scratch(spark)
     live.run(live.recursive(live_events(spark, sf_dir), live.low_pass(0.25)), "append", f"{path}/out", f"{path}/state")
-    return spark.read.parquet(f"{path}/out").withColumn("out", r("out"))
+    return spark.read.parquet(f"{path}/out").withColumn("out", r("out", 9))

@@ -157,7 +157,7 @@ list_reduce(list_concat([0::BIGINT], down), lambda c, b: xor((c << 1) & 65535, C
 
 STREAM_LOW_PASS = """WITH RECURSIVE q AS MATERIALIZED (SELECT event_type AS trace, event_id AS idx, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
 f AS (SELECT trace, idx, k, value, value AS out FROM q WHERE k = 1 UNION ALL SELECT q.trace, q.idx, q.k, q.value, f.out + (q.value - f.out) * 0.25 FROM f JOIN q ON q.trace = f.trace AND q.k = f.k + 1)
-SELECT trace, idx, value, round(out, 6) AS out FROM f"""
+SELECT trace, idx, value, round(out, 9) AS out FROM f"""
 
 ORACLE_SQL |= {
     "auto_range": _auto_range(), "to_uniform": TO_UNIFORM, "iir_band_pass": IIR, "named_filters": _named_filters(), "nlms": NLMS, "echo_cancel": ECHO, "rls": RLS, "kalman": _kalman(), "pid": PID, "fft_shaped_filters": _shaped(), "overlap_add": OVERLAP,
