@@ -38,7 +38,7 @@ class Words(dict):
     """Hashes of words, each computed once; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 bands.append(b)
                 sketches.append(sk)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("data"))
     return narrow.mapInArrow(scan, "doc_id long, n long, print binary, bands array<long>, sketch array<long>")

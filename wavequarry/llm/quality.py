@@ -225,6 +225,7 @@ def keep_quality(docs: DataFrame, model: Model, *, text: str = "text", cut: floa
                 texts = [t.as_py() or b"" for t in part.columns[-1]]
                 good = sigmoid(model.logit(np.stack([features(t) for t in texts]))) >= cut
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(good & [bool(t.strip()) for t in texts])], names=[*part.schema.names[:-1], "good"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     schema = StructType([*inner.schema.fields, StructField("good", BooleanType())])
     return data.mapInArrow(choose, schema).where("good").drop("good").toDF(*docs.columns)

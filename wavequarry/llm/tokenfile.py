@@ -145,13 +145,13 @@ class Memory:
     addressing; a longer one in a dict. Where MOST units are held, the half that was met most often stays.
     """
 
-    MOST, BITS = 600_000, 21
+    MOST, BITS = 300_000, 20
 
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]]):
         self.encode, self.long = encode, {}
         self.count, self.flat_end = 0, 0
-        self.k1, self.k2, self.hits = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
-        self.at, self.n, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.k1, self.k2, self.hits = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int32)
+        self.at, self.n, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.slots = np.full(1 << self.BITS, -1, np.int32)
 
     def home(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -185,10 +185,10 @@ class Memory:
         n = np.array([len(x) for x in ids], np.int64)
         a, b, e = self.count, self.count + len(units), self.flat_end + int(n.sum())
         if b > len(self.n):
-            grow = max(b, 2 * len(self.n)) - len(self.n)
+            grow = max(b, len(self.n) * 5 // 4) - len(self.n)
             self.k1, self.k2, self.hits, self.at, self.n = (np.concatenate([x, np.zeros(grow, x.dtype)]) for x in (self.k1, self.k2, self.hits, self.at, self.n))
         if e > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(e, 2 * len(self.flat)) - len(self.flat), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(e, len(self.flat) * 5 // 4) - len(self.flat), np.uint32)])
         if e > self.flat_end:
             self.flat[self.flat_end : e] = np.concatenate(ids)
         self.n[a:b], self.at[a:b], self.hits[a:b] = n, self.flat_end + np.cumsum(n) - n, 0
@@ -202,7 +202,7 @@ class Memory:
         flat = self.gather(kept)
         n = self.n[kept]
         self.flat, self.flat_end, self.count = flat, len(flat), len(kept)
-        self.at, self.n, self.k1, self.k2, self.hits = np.cumsum(n) - n, n, self.k1[kept], self.k2[kept], self.hits[kept] // 2
+        self.at, self.n, self.k1, self.k2, self.hits = np.cumsum(n, dtype=np.int32) - n, n, self.k1[kept], self.k2[kept], self.hits[kept] // 2
         self.long = {u: int(new[i]) for u, i in self.long.items() if new[i] >= 0}
         self.slots[:] = -1
         self.place(np.flatnonzero(self.k2 > 0))
@@ -248,7 +248,7 @@ class Memory:
             self.k1[numbers], self.k2[numbers] = k1[heads], k2[heads]
             self.place(numbers)
             out[order] = numbers[np.cumsum(first) - 1]
-        self.hits[: self.count] += np.bincount(out, minlength=self.count)
+        np.add.at(self.hits, out, np.int32(1))
         return out
 
 
@@ -288,7 +288,7 @@ class Encoder:
     """
 
     #: Bytes worked on at once.
-    CHUNK = 1 << 21
+    CHUNK = 1 << 18
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -311,7 +311,7 @@ class Encoder:
         for a in range(0, len(units), 1000):
             some = units[a : a + 1000]
             if single:
-                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
                 cuts = np.flatnonzero(self.last[ids]) + 1
                 if len(cuts) == len(some):
                     out += np.split(ids, cuts[:-1])
@@ -416,8 +416,8 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
             return row
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                some = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 128):
+                some = batch.slice(a, 128)
                 for name, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
                     if held >= block_tokens:
                         yield close()
@@ -426,6 +426,7 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
                     held += len(ids)
         if names:
             yield close()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     hashed = narrow.withColumn("hash", F.xxhash64("text"))
     dealt = hashed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
