@@ -187,8 +187,8 @@ def test_medians_by_ranges(spark):
     rng = np.random.default_rng(8)
     traces = {"odd": rng.normal(0, 1, 501), "even": np.exp(rng.normal(0, 20, 400)), "one": [3.0], "flat": [7.0] * 9, "wide": [1e308, -1e308, 5.0, 6.0], "hot": [2.0] * 300 + [1.0, 5.0], "signs": [-0.0, 0.0, -1.0, 1.0]}
     s = spark.createDataFrame([(t, i, float(v)) for t, x in traces.items() for i, v in enumerate(x)] + [("nan", 0, float("nan")), ("null", 0, None)], "trace string, idx long, value double")
-    for bins in (2, 4096):
-        got = {r["trace"]: r["median"] for r in stats.middles(s, "value", bins).collect()}
+    for bins, small in ((3, 0), (3, 2), (4096, 50), (4096, 10_000)):
+        got = {r["trace"]: r["median"] for r in stats.middles(s, "value", bins, small).collect()}
         assert got == {t: float(np.median(x)) for t, x in traces.items()}
     got = {r["trace"]: r for r in stats.medians(s).collect()}
     assert set(got) == {*traces, "nan", "null"} and got["null"]["median"] is None

@@ -31,12 +31,18 @@ def linear_regression(s: DataFrame) -> DataFrame:
     return s.groupBy("trace").agg(F.regr_slope("value", "idx").alias("slope"), F.regr_intercept("value", "idx").alias("intercept"), F.regr_r2("value", "idx").alias("r_squared"))
 
 
-def middles(s: DataFrame, value: str, bins: int = 4096) -> DataFrame:
+def within(x: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows v (trace, x) that lie in the ranges m (trace, lo, hi) of their trace."""
+    side = F.broadcast(ranges.alias("m")) if few(ranges) else ranges.alias("m")
+    return x.alias("v").join(side, F.col("v.trace") == F.col("m.trace")).where((F.col("v.x") >= F.col("m.lo")) & (F.col("v.x") <= F.col("m.hi")))
+
+
+def middles(s: DataFrame, value: str, bins: int = 4096, small: int = 10_000) -> DataFrame:
     """trace and median: the exact median of a column, NaN and null left out.
 
     Values are counted by bins of even width between the trace's least and greatest, a bin is searched for the middle, and what
-    lies in it is cut into bins again, until it has few values, or one only; so no task gets more than a bin's rows and counts
-    are combined before they are shuffled. The number of values of a trace may be odd or even: both middle ranks are followed.
+    lies in it is cut into bins again, until it has at most `small` rows, which are ranked, or one value only; so no task gets
+    more than that and counts are combined before they are shuffled. s is read in each round. The number of values of a trace may be odd or even: both middle ranks are followed.
     """
     x = s.where(F.col(value).isNotNull() & ~F.isnan(value)).select("trace", F.col(value).alias("x"))
     ends = x.groupBy("trace").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
@@ -44,11 +50,14 @@ def middles(s: DataFrame, value: str, bins: int = 4096) -> DataFrame:
     left = written(ends.select("trace", "lo", "hi", "n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("passed")), "medians")
     done = []
     while not left.isEmpty():
-        # Flat ranges and single values are found; others go on.
-        done.append(left.where("lo = hi").select("trace", "rank", F.col("lo").alias("x")))
-        more = left.where("lo < hi")
-        side = F.broadcast(more.alias("m")) if few(more) else more.alias("m")
-        inside = x.alias("v").join(side, F.col("v.trace") == F.col("m.trace")).where((F.col("v.x") >= F.col("m.lo")) & (F.col("v.x") <= F.col("m.hi")))
+        # Flat ranges are found, short ones ranked; others go on.
+        done.append(left.where("lo = hi").select("trace", F.col("lo").alias("x")))
+        at = F.col("passed") + F.row_number().over(Window.partitionBy("m.trace", "m.rank").orderBy("v.x")) - 1
+        done.append(within(x, left.where(f"lo < hi AND n <= {small}")).select("m.trace", "m.rank", "v.x", at.alias("at")).where("at = rank").select("trace", "x"))
+        more = left.where(f"lo < hi AND n > {small}")
+        if more.isEmpty():
+            break
+        inside = within(x, more)
         # The place in the range, by halves so that no difference leaves the range of doubles.
         place = (F.col("v.x") / 2 - F.col("m.lo") / 2) / (F.col("m.hi") / 2 - F.col("m.lo") / 2)
         at = F.least(F.floor(place * bins), F.lit(bins - 1))
@@ -67,6 +76,7 @@ def middles(s: DataFrame, value: str, bins: int = 4096) -> DataFrame:
 def medians(s: DataFrame) -> DataFrame:
     """Exact median, and mean and median of the absolute deviations from mean and median."""
     side = lambda df: F.broadcast(df) if few(df) else df
+    s = written(s.select("trace", "value"), "medians_of")
     m = written(s.groupBy("trace").agg(F.avg("value").alias("mean")).join(middles(s, "value"), "trace", "left"), "medians")
     d = s.join(side(m), "trace").select("trace", "mean", F.abs(F.col("value") - F.col("mean")).alias("from_mean"), F.abs(F.col("value") - F.col("median")).alias("from_median"))
     return m.join(d.groupBy("trace").agg(F.avg("from_mean").alias("mad_mean")), "trace").join(middles(d, "from_median").withColumnRenamed("median", "mad_median"), "trace", "left").drop("mean")
