@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shipped
-from . import decontaminate, dedup, mixing, quality, secrets, tokencount, tokenfile, topk, toxicity, urls
+from . import decontaminate, dedup, divergence, manifest, mixing, phrases, quality, secrets, tokencount, tokenfile, topk, toxicity, urls
 from .common import remainder, table
 
 
@@ -154,5 +154,63 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path=tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts)}
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_top_k": OP5_SQL, "op6_urls": _op6_sql(), "op8_decontamination": OP8_SQL}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+def _op11_sql() -> str:
+    def leaf(text: str) -> str:
+        each = [f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+        return f"sha256({' || '.join(each)})"
+
+    # crc32 bit by bit over the bytes of the id's digits, which are ASCII.
+    byte = "list_reduce(list_prepend(xor(c, ascii(id[i])::BIGINT), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, range(1, len(id) + 1)), lambda c, i: {byte}), 4294967295)"
+    climb = "SELECT l + 1, g, r // 8, sha256(string_agg(h, '' ORDER BY r)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {0}) WHERE n > 1 GROUP BY l, g, r // 8"
+    return f"""WITH RECURSIVE d AS (SELECT *, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other,
+  CASE WHEN lang IS NULL THEN '-' ELSE ':' || lang END AS g FROM (SELECT *, doc_id::VARCHAR AS id FROM documents)),
+x AS (SELECT doc_id, leaf, other, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+tree AS (SELECT 0 AS l, g, r, leaf AS h FROM x UNION ALL {climb.format("tree")}),
+sub AS (SELECT g, arg_max(h, l) AS subroot, max(l) AS height FROM tree GROUP BY g),
+lang AS (SELECT *, row_number() OVER (ORDER BY g) - 1 AS r FROM sub),
+top AS (SELECT 0 AS l, '' AS g, r, subroot AS h FROM lang UNION ALL {climb.format("top")}),
+root AS (SELECT arg_max(h, l) AS root, max(l) AS height FROM top),
+steps AS (SELECT x.g, x.r, t.l, string_agg(t.h, '' ORDER BY t.r) FILTER (t.r < x.r // (8 ** t.l)::BIGINT) AS a, string_agg(t.h, '' ORDER BY t.r) FILTER (t.r > x.r // (8 ** t.l)::BIGINT) AS b
+    FROM x JOIN sub USING (g) JOIN tree t ON t.g = x.g AND t.l < sub.height AND t.r // 8 = x.r // (8 ** (t.l + 1))::BIGINT GROUP BY ALL
+  UNION ALL SELECT x.g, x.r, sub.height + t.l, string_agg(t.h, '' ORDER BY t.r) FILTER (t.r < lang.r // (8 ** t.l)::BIGINT), string_agg(t.h, '' ORDER BY t.r) FILTER (t.r > lang.r // (8 ** t.l)::BIGINT)
+    FROM x JOIN sub USING (g) JOIN lang USING (g) JOIN root ON true JOIN top t ON t.l < root.height AND t.r // 8 = lang.r // (8 ** (t.l + 1))::BIGINT GROUP BY ALL),
+proof AS (SELECT g, r, string_agg(coalesce(a, '') || coalesce(b, ''), '' ORDER BY l) AS p FROM steps GROUP BY g, r),
+fold AS (SELECT g, r, 0 AS l, coalesce(other, leaf) AS h FROM x UNION ALL SELECT f.g, f.r, f.l + 1, sha256(coalesce(s.a, '') || f.h || coalesce(s.b, '')) FROM fold f JOIN steps s ON s.g = f.g AND s.r = f.r AND s.l = f.l),
+folded AS (SELECT g, r, arg_max(h, l) AS folded_root FROM fold GROUP BY g, r)
+SELECT x.doc_id, x.leaf, sub.subroot, root.root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root.root AS verified
+FROM x JOIN sub USING (g) JOIN root ON true JOIN folded USING (g, r) LEFT JOIN proof USING (g, r)"""
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(term)::HUGEINT AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+lt AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM c GROUP BY lang, term),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + v.v) AS p, 1 + (1000000000 * (lt.n + 1)) // (lt.total + v.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term JOIN lt ON lt.lang = g.lang AND lt.term = k.term),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pv.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts, op11_manifest, op12_divergence, op13_phrases)}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_top_k": OP5_SQL, "op6_urls": _op6_sql(), "op8_decontamination": OP8_SQL, "op11_manifest": _op11_sql(), "op12_divergence": OP12_SQL}
