@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..model import BLOCK, blocks
-from ..session import few
+from ..session import few, written
 
 
 def sequential(s: DataFrame, inputs: list[str], kernel: Callable[[], Callable], width: int = 0) -> DataFrame:
@@ -107,6 +107,7 @@ def linear_filter(s: DataFrame, f: Linear, size: int = BLOCK) -> DataFrame:
             return out
 
     starts = sequential(ends, ["n", "first", "end"], Carry, width=len(f.b)).select("trace", F.col("idx").alias("block"), F.col("out").alias("state"))
+    starts = written(starts, "linear_starts")  # else the first pass would run again with the second
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
@@ -202,6 +203,7 @@ def drc(s: DataFrame, k: float, size: int = BLOCK) -> DataFrame:
     blocks: a block's greatest decayed distance at its end, the same over one row a block, then the blocks' outputs.
     """
     low = linear_filter(s, rc(k), size).select("trace", "idx", F.col("value").alias("v"), F.col("out").alias("low"))
+    low = written(low, "envelope_low")
     rows = blocks(low.withColumn("d", F.col("v") - F.col("low")), size=size)
     decay = 1.0 - k
 
@@ -225,6 +227,7 @@ def drc(s: DataFrame, k: float, size: int = BLOCK) -> DataFrame:
             return out
 
     starts = sequential(ends, ["n", "end"], Carry).select("trace", F.col("idx").alias("block"), F.col("out").alias("state"))
+    starts = written(starts, "envelope_starts")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
