@@ -11,10 +11,10 @@ FANOUT = 8
 #: A chunk is a subtree of so many levels, worked out within one row.
 LEVELS = 3
 CHUNK = FANOUT**LEVELS
-#: Digits of an id, 16 bits each, from the first; the histogram of the third counts the ids that share all but their last digit.
-SHIFTS = (48, 32, 16)
+#: Digits of an id, of 16 bits and then of 12, from the first; the last histogram counts the ids that share all but their last digit.
+SHIFTS = (48, 36, 24, 12)
 #: Most different rows that may share all digits but the last before two more digits are told apart: the last, and one of the leaf.
-BUCKET = 1 << 20
+BUCKET = 1 << 16
 
 
 def encoded(value: Column) -> Column:
@@ -36,7 +36,7 @@ def group_key(lang: Column) -> Column:
 def digits(deep: bool) -> dict[str, Column]:
     """The digits by which rows are counted. A null id comes before all others. deep: two more, so that one id's rows are told apart by their leaf."""
     out = {f"d{k}": F.coalesce(F.shiftright("id", s), F.lit(-32769 if k == 0 else 0)) for k, s in enumerate(SHIFTS)}
-    return out | ({"d3": F.coalesce("id", F.lit(0)), "d4": F.substring("leaf", 1, 4)} if deep else {})
+    return out | ({f"d{len(SHIFTS)}": F.coalesce("id", F.lit(0)), f"d{len(SHIFTS) + 1}": F.substring("leaf", 1, 4)} if deep else {})
 
 
 def digit_starts(counts: DataFrame, keys: list[str]) -> DataFrame:
