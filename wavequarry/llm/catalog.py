@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped
 from . import decontaminate, dedup, divergence, manifest, mixing, phrases, quality, secrets, tokencount, tokenfile, topk, toxicity, urls
-from .common import remainder, table
+from .common import prepared, remainder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -212,5 +211,5 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: shipped(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts, op11_manifest, op12_divergence, op13_phrases)}
+QUERIES = {f.__name__: prepared(f) for f in (op1_quality, op2_mixing, op3_toxicity, op4_near_duplicates, op5_top_k, op6_urls, op7_secrets, op8_decontamination, op9_tokens, op10_token_counts, op11_manifest, op12_divergence, op13_phrases)}
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_top_k": OP5_SQL, "op6_urls": _op6_sql(), "op8_decontamination": OP8_SQL, "op11_manifest": _op11_sql(), "op12_divergence": OP12_SQL}

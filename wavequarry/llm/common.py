@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, few, release, shared_dir, written
+from ..session import BROADCAST_ROWS, few, release, shared_dir, shipped, written
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "few", "join_few", "kept_or_written", "release", "remainder", "shared_dir", "table", "written"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "ascii_lower", "few", "join_few", "kept_or_written", "prepared", "release", "remainder", "shared_dir", "table", "tidy", "written"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Copies of the small side in a salted join.
 SALTS = 64
+#: Bytes of texts that go to or come from Python at once, where the session has Spark's default. Rows are as long as texts are, so a
+#: number of rows doesn't bound a batch, and each task holds some batches on both sides.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +51,23 @@ def kept_or_written(spark: SparkSession, path: str, make: Callable[[], DataFrame
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def prepared(query: Callable) -> Callable:
+    """A query or stage (spark, ...) that ships the package and bounds batches of texts first."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **kwargs):
+        if spark.conf.get(BATCH, "64m").lower().rstrip("b") in ("67108864", "64m"):
+            spark.conf.set(BATCH, BATCH_BYTES)
+        return query(spark, *args, **kwargs)
+
+    return shipped(run)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system at a task's end: the worker lives on beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, written
+from .common import few, tidy, written
 
 #: Bands of three permutations; each permutation gives its minimum and its maximum, so a band has six values and 144
 #: permutations give 288. A pair at similarity 0.8 misses all 48 bands with a probability of (1 - 0.8 ** 6) ** 48 < 5e-7 in
@@ -19,6 +19,8 @@ BANDS, PER_BAND = 48, 3
 PERMS = BANDS * PER_BAND
 #: One bit of each of 256 values. At similarity 0.8, 25.6 of them differ on average, with a deviation of 4.8; more than 48 do with a probability under 1e-5.
 SKETCH, MOST_DIFFERENT = 4, 48
+#: Members of a hub that one task compares with it, about.
+TOGETHER = 256
 #: Most candidate ids to be broadcast (8 bytes each).
 IDS = 1_000_000
 
@@ -97,31 +99,42 @@ def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 bands.append(b)
                 sketches.append(sk)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "print": pa.array(prints, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("data"))
     return narrow.mapInArrow(scan, "doc_id long, n long, print binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union holds for the full sets."""
+    """The pairs (a, b) of which 100 * intersection >= percent * union holds for the full sets.
+
+    Of the members that an a has, TOGETHER at most go to one task, with one copy of its text ahead of theirs. So a hub's text
+    isn't sent once a pair, its members are spread over tasks, and a task holds one set and compares it with one at a time.
+    """
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, of_last = Words(), None, None
+        words, at, hubs = Words(), None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                y = y.as_py()
-                if y != last:
-                    last, of_last = y, shingles(y, k, words)
-                s = shingles(x.as_py(), k, words)
-                both = len(np.intersect1d(s, of_last, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(of_last) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("doc_id").alias("a"), F.col("data").alias("x"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("data").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+            found: list[tuple[int, int]] = []
+            for a, part, b, data in zip(*(batch.column(i) for i in range(4)), strict=True):
+                a, part, b, s = a.as_py(), part.as_py(), b.as_py(), shingles(data.as_py(), k, words)
+                if (a, part) != at:
+                    at, hubs = (a, part), []
+                if b is None:  # an id can have several texts
+                    hubs.append(s)
+                    continue
+                both = [(len(np.intersect1d(s, h, assume_unique=True)), len(s) + len(h)) for h in hubs]
+                if any(100 * n >= percent * (size - n) for n, size in both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+        tidy()
+
+    pairs = written(pairs, "dedup_pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    members = dealt.join(texts.select(F.col("doc_id").alias("b"), "data"), "b").select("a", "part", "b", "data")
+    hubs = dealt.select("a", "part").distinct().join(texts.select(F.col("doc_id").alias("a"), "data"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "data")
+    both = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
 

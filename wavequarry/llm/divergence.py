@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 SCALE = 1_000_000_000
 #: Terms of a shard of a lang's vocabulary, about; with it a resident, a visitor and the heap of a meeting are bounded.
@@ -51,7 +51,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield from out()
                     size = 0
         yield from out()
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     found = docs.mapInArrow(count, "lang string, source string, term string, n long, df long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 #: Hashes that a fingerprint keeps, of 32 bits each.
 KEPT = 128
@@ -201,7 +201,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if ends:
             empty = {f: pa.array([ends[-1][0] if f == "doc_id" else None], kind) for f, kind in FIELDS}
             yield pa.RecordBatch.from_pydict({**empty, "range": pa.array([at], pa.int32()), "first": pa.array([ends[0][1]], pa.string()), "last": pa.array([ends[-1][1]], pa.string())})
-        pa.default_memory_pool().release_unused()
+        tidy()
 
     parts = written(dealt.mapInArrow(scan, f"{SCHEMA}, range int, first string, last string"), "phrase_ranges")
     names = [f for f, _ in FIELDS]

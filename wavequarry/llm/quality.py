@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Classes of bytes for the shapes: lower-case letters and all of other scripts, upper-case letters, digits, blanks, line ends; every other ASCII sign is a class of its own.
 SHAPE = np.arange(256, dtype=np.uint32)
 SHAPE[ord("a") : ord("z") + 1] = ord("a")
@@ -155,6 +157,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, 256)
             x = np.stack([features(t.as_py() or b"") for t in part.columns[-1]])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([v.tobytes() for v in x], pa.binary())], names=[*part.schema.names[:-1], "x"])
+    tidy()
 
 
 def sample(docs: DataFrame, trusted: DataFrame, allowed: Column, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,6 +207,7 @@ def score_quality(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text
                 texts = [t.as_py() or b"" for t in batch.column(1).slice(a, 256)]
                 out[a : a + 256] = sigmoid(model.logit(np.stack([features(t) for t in texts]))) * [bool(t.strip()) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(out), "predicted": pa.array((out >= cut).astype(np.int32))})
+        tidy()
 
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("data"))
     return narrow.mapInArrow(score, "doc_id long, score double, predicted int")
@@ -225,7 +229,7 @@ def keep_quality(docs: DataFrame, model: Model, *, text: str = "text", cut: floa
                 texts = [t.as_py() or b"" for t in part.columns[-1]]
                 good = sigmoid(model.logit(np.stack([features(t) for t in texts]))) >= cut
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(good & [bool(t.strip()) for t in texts])], names=[*part.schema.names[:-1], "good"])
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     schema = StructType([*inner.schema.fields, StructField("good", BooleanType())])
     return data.mapInArrow(choose, schema).where("good").drop("good").toDF(*docs.columns)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, few, shared_dir
+from .common import BROADCAST_ROWS, few, shared_dir, tidy
 
 MAGIC = b"EFTK1\0\0\0"
 #: Set bits between two entries of the select table.
@@ -426,7 +426,7 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
                     held += len(ids)
         if names:
             yield close()
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        tidy()
 
     hashed = narrow.withColumn("hash", F.xxhash64("text"))
     dealt = hashed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
