@@ -16,7 +16,7 @@ from .common import tidy, written
 
 SCALE = 1_000_000_000
 #: Terms of a shard of a lang's vocabulary, about; with it a resident, a visitor and the heap of a meeting are bounded.
-SHARD = 1 << 16
+SHARD = 1 << 14
 #: Different terms that a task counts before it hands its counts on.
 HELD = 200_000
 #: Bytes of visiting vectors that one lap of rounds sends, about. More rounds than that go into further laps.
