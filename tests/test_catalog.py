@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wavequarry.plans import catalog, catalog_more, catalog_sql, catalog_zoom  # noqa: F401
+from wavequarry.plans import catalog, catalog_live, catalog_more, catalog_sql, catalog_zoom  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
