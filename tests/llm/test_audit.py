@@ -199,13 +199,13 @@ def plain_fingerprints(rows, kept):
         yield i, len(text), sha(edited), name(a), name(b), alike(a, b), alike(a, c)
 
 
-@pytest.mark.parametrize("partitions", [1, 23])
-def test_fingerprints(spark, partitions):
+@pytest.mark.parametrize(("partitions", "copies"), [(1, 1000), (7, 30)])
+def test_fingerprints(spark, monkeypatch, partitions, copies):
     ship(spark)
     rnd = random.Random(2)
     rows = [(i * 7 - 40, " ".join(rnd.choice(["the", "née", "of", "Σ", "data", "\U0001f600"]) for _ in range(rnd.randint(0, 60)))) for i in range(60)]
     rows += [(None, None), (1000, "a" * 3000), (1001, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).select("*", *[F.lit(1).alias(c) for c in ("tie", "row", "range", "first")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).select("*", *[F.lit(1).alias(c) for c in ("tie", "n", "range", "first", "to")])
     ordered = [(i, t or "") for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
@@ -216,6 +216,7 @@ def test_fingerprints(spark, partitions):
         assert phrases.fingerprints(docs.limit(0)).collect() == []
         one = docs.where("doc_id = 1000")
         same(phrases.fingerprints(one, kept=32).collect(), plain_fingerprints([(1000, "a" * 3000)], 32))
+        monkeypatch.setattr(phrases, "COPIES", copies)
         # One id on all rows, most of them equal: no range holds them all, and the copies but the last are like their next.
         hot = spark.createDataFrame([(3, "same text as ever")] * 400 + [(3, chr(97 + i) * 20) for i in range(20)], "doc_id long, text string").repartition(4)
         found = phrases.fingerprints(hot, kept=32).collect()

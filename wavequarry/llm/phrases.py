@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, written
+from .common import join_few, tidy, written
 
 #: Hashes that a fingerprint keeps, of 32 bits each.
 KEPT = 128
+#: Ranges of ids for each partition of a shuffle, so that ranges are dealt evenly.
+PER_TASK = 4
+#: More rows than these that are equal in id and text are counted and worked out once.
+COPIES = 1000
 #: Phrases that are hashed at a time.
 AT_ONCE = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -162,59 +168,66 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A null text is the empty text, with an empty fingerprint. Equal texts have equal fingerprints, wherever they stand. A
     single row is its own next one. No rows give no rows; extra columns are ignored.
 
-    Texts are shuffled once, by ranges of the order, whose ties are broken by text and place in the input, so neither a
-    repeated id nor equal rows meet in one task. A task goes through its range with two texts at a time. What it can't know is
-    the document after its last one; for this the ends of all ranges are kept and looked up afterwards, two texts a range.
+    The ids and hashes alone are dealt into ranges first, PER_TASK for each partition of a shuffle; the first of each range, a
+    pair of numbers, is known to all tasks. Then texts are shuffled once, by range, and the first text of each range also goes to
+    the range before it, whose last document it follows. A task goes through its ranges with two texts at a time. Rows of one
+    id are dealt by their texts; more than COPIES equal rows are one row with a number.
     """
-    slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    slim = slim.withColumn("tie", F.xxhash64("text")).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
-    order = [F.desc_nulls_last("doc_id"), F.desc("tie"), F.desc("row")]
-    dealt = slim.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    spark = docs.sparkSession
+    slim = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
+    n_ranges = PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = slim.groupBy("doc_id", "tie").agg(F.count("*").alias("n")).repartitionByRange(n_ranges, *order).withColumn("range", F.spark_partition_id())
+    keys = written(keys, "phrase_keys")
+    # A pair a range: as many as the shuffle has partitions, times PER_TASK.
+    firsts = keys.groupBy("range").agg(F.max(F.struct("doc_id", "tie")).alias("f")).orderBy("range").select("f.*").collect()
+    heads = [(f["doc_id"] is None, ~(f["doc_id"] or 0), ~f["tie"]) for f in firsts]
+    many = keys.where(F.col("n") > COPIES).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "n")
+    hot = not many.isEmpty()
+    rows = slim.withColumn("n", F.lit(1).cast("long"))
+    if hot:
+        met = join_few(slim, many, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tie") == F.col("__tie")), "left", F.col("text")).drop("__id", "__tie")
+        rows = met.where("n IS NULL").withColumn("n", F.lit(1).cast("long")).unionByName(met.where("n IS NOT NULL").groupBy("doc_id", "text", "tie").agg(F.count("*").alias("n")))
+
+    @F.pandas_udf("range int, first boolean")
+    def ranged(null: pd.Series, i: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        each = list(zip(null.tolist(), (~i).tolist(), (~tie).tolist(), strict=True))
+        at = [bisect.bisect_right(heads, k) - 1 for k in each]
+        return pd.DataFrame({"range": at, "first": [heads[r] == k for r, k in zip(at, each, strict=True)]})
+
+    at = ranged(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("long")), "tie")
+    own = F.struct(F.col("at.range").alias("range"), F.lit(False).alias("guest"))
+    guest = F.when(F.col("at.first"), F.struct(F.pmod(F.col("at.range") - 1, F.lit(max(len(heads), 1))).alias("range"), F.lit(True).alias("guest")))
+    goes = rows.withColumn("at", at).withColumn("to", F.explode(F.filter(F.array(own, guest), lambda x: x.isNotNull())))
+    dealt = goes.select("to.range", "to.guest", "doc_id", "tie", "n", "text").repartition("range").sortWithinPartitions("range", "guest", *order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
-        ends: list[tuple[int | None, str]] = []
-
         def rows() -> Iterator[tuple]:
-            held = None
+            held, where = None, None
             for batch in batches:
-                for i, t in zip(batch.column(0), batch.column(1), strict=True):
+                for part, guest, i, n, t in zip(*(batch.column(c) for c in range(5)), strict=True):
+                    part, guest, n, t = part.as_py(), guest.as_py(), n.as_py(), t.as_py()
                     if held is not None:
-                        yield (*held, None)
-                    held = (i.as_py(), t.as_py())
-                    if not ends:
-                        ends.append(held)
-            if held is not None:
-                ends.append(held)
-                yield (*held, "")  # its own result comes later; this one is left out
-
-        def whole(found: Iterator[tuple]) -> Iterator[tuple]:
-            last = None
-            for r in found:
-                if last is not None:
-                    yield last
-                last = r
-
-        for columns in batches_of(whole(results(rows(), kept))):
-            n = len(columns["doc_id"])
-            yield pa.RecordBatch.from_pydict({**{f: pa.array(columns[f], kind) for f, kind in FIELDS}, "range": pa.array([at] * n, pa.int32()), "first": pa.array([None] * n, pa.string()), "last": pa.array([None] * n, pa.string())})
-        if ends:
-            empty = {f: pa.array([ends[-1][0] if f == "doc_id" else None], kind) for f, kind in FIELDS}
-            yield pa.RecordBatch.from_pydict({**empty, "range": pa.array([at], pa.int32()), "first": pa.array([ends[0][1]], pa.string()), "last": pa.array([ends[-1][1]], pa.string())})
+                        yield (*held, t if guest else None)
+                        held = None
+                    assert not guest or part == where
+                    if not guest:
+                        i, where = i.as_py(), part
+                        times.extend([n - 1, 1] if n > 1 else [1])
+                        if n > 1:
+                            yield i, t, t
+                        held = (i, t)
+
+        times: deque[int] = deque()
+        for columns in batches_of(results(rows(), kept)):
+            k = len(columns["doc_id"])
+            yield pa.RecordBatch.from_pydict({**{f: pa.array(columns[f], kind) for f, kind in FIELDS}, "times": pa.array([times.popleft() for _ in range(k)], pa.int64())})
         tidy()
 
-    parts = written(dealt.mapInArrow(scan, f"{SCHEMA}, range int, first string, last string"), "phrase_ranges")
-    names = [f for f, _ in FIELDS]
-    ends = parts.where(F.col("last").isNotNull())
-    # One number a range: as many rows as the shuffle has partitions.
-    ranges = Window.orderBy("range")
-    after = ends.select("range", F.lead("range").over(ranges).alias("after"), F.min("range").over(Window.partitionBy()).alias("least")).select("range", F.coalesce("after", "least").alias("after"))
-    firsts = ends.select(F.col("range").alias("after"), "first")
-    pairs = ends.select("range", "doc_id", "last").join(after, "range").join(firsts, "after").select("doc_id", "last", "first")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i.as_py(), t.as_py(), f.as_py()) for b in batches for i, t, f in zip(b.column(0), b.column(1), b.column(2), strict=True))
-        for columns in batches_of(results(rows, kept)):
-            yield pa.RecordBatch.from_pydict({f: pa.array(columns[f], kind) for f, kind in FIELDS})
-
-    return parts.where(F.col("last").isNull()).select(names).unionByName(pairs.mapInArrow(finish, SCHEMA))
+    out = dealt.select("range", "guest", "doc_id", "n", "text").mapInArrow(scan, f"{SCHEMA}, times long")
+    if hot:
+        out = written(out, "phrase_results")
+        again = out.where("times > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / COPIES)))).repartition("doc_id", "part")
+        again = again.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(COPIES).cast("long"), F.col("times") - F.col("part") * COPIES).cast("int"))))
+        out = out.where("times = 1").unionByName(again.drop("part", "copy"))
+    return out.drop("times")
