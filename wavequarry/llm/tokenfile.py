@@ -393,8 +393,9 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
     Documents are dealt by ranges of doc_id and a hash of the text (no task gets more than its range, however long), sorted and encoded in one
     stream a task; a block closes at block_tokens ids, so memory is bounded by one block and the documents of a few MB. Rows:
     part, block, n_docs, n_tokens, payload (a self-contained block). Null ids sort first; rows of one id follow each other in
-    the order of their texts' hashes, so many rows of one id, or without any, are dealt over several tasks too; null and empty
-    texts have only the end id. Empty tables give no blocks. Any file of the tokenizers library will do as tokenizer.
+    the order of their texts' hashes, and equal rows in that of their places in the input, which must be files or a written
+    table, so many rows of one id, or without any, are dealt over several tasks too, equal or not; null and empty texts have
+    only the end id. Empty tables give no blocks. Any file of the tokenizers library will do as tokenizer.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -428,8 +429,8 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, end_id: int = 2,
             yield close()
         tidy()
 
-    hashed = narrow.withColumn("hash", F.xxhash64("text"))
-    dealt = hashed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    hashed = narrow.withColumn("hash", F.xxhash64("text")).withColumn("row", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = hashed.repartitionByRange(parts, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     dealt.mapInArrow(blocks, "part int, block int, n_docs long, n_tokens long, payload binary").write.parquet(out)
 
 
