@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vec: s
     64-bit whole numbers; one beyond their range is held at its end, and such scores tie. Shorter vectors count as zero
     beyond their end. Ties go to the smaller id; rows of one id that tie all count. Empty tables, or no other rows, give no rows.
 
-    Candidates are dealt into blocks by a hash of id and vector, queries into blocks likewise; each pair of blocks is scored in
+    Candidates are dealt into blocks by a hash of their places in the input, so that equal rows are dealt too, queries into blocks likewise; each pair of blocks is scored in
     one task that holds CANDIDATES + QUERIES rows and the scores of a few queries at a time, and returns k rows a query. All rows
     meet all queries, which is the exhaustive search asked for; nothing passes through the driver but two counts.
     """
@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vec: s
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), q.alias("v"), queries.alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     n, n_queries = vectors.agg(F.count("*"), F.count(F.when(queries, 1))).first()
     n_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-    at = F.xxhash64("vec_id", "v")
+    at = F.xxhash64(F.monotonically_increasing_id())
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = rows.select("vec_id", "v", F.pmod(at, F.lit(n_blocks)).cast("int").alias("block"), every(q_blocks).alias("of"))
     asked = rows.where("is_query").select("vec_id", "v", every(n_blocks).alias("block"), F.pmod(at, F.lit(q_blocks)).cast("int").alias("of"))
