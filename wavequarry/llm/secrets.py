@@ -19,8 +19,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Runs that may be random strings.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Least length of a run that may be a random string, unless another is given: shorter ones are told from words and names no longer.
+RUN = 12
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Hexadecimal lengths of known digests: MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
@@ -28,8 +28,14 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: A word has so many letters at least, and so many to a token: what a vocabulary knows is told from random letters by that.
 WORD, KNOWN = 3, 2.5
-#: Letters alone are random under this share of the ratio, as rare and foreign words take many tokens too.
-LETTERS = 0.75
+#: Letters of one case alone are random under this share of the ratio, as rare and foreign words take many tokens too. From SURE
+#: letters on the whole ratio counts: words of that length are compounds of known parts.
+LETTERS, SURE = 0.75, 20
+
+
+@functools.cache
+def run_pattern(least: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}")
 
 
 @functools.cache
@@ -66,21 +72,21 @@ def is_random(run: str, encoding, ratio: float) -> bool:
     """At under ratio characters a token, less for letters of one case alone, and neither a number, a digest nor an identifier."""
     classes = any(c.isdigit() for c in run) + any(c.islower() for c in run) + any(c.isupper() for c in run[1:])
     letters = any(c.isalpha() for c in run)
-    most = ratio if classes >= 2 else ratio * LETTERS
+    most = ratio if classes >= 2 or len(run) >= SURE else ratio * LETTERS
     return letters and len(run) < most * len(encoding.encode_ordinary(run)) and not is_digest(run) and not is_identifier(run, encoding)
 
 
-def find(text: str, encoding, ratio: float) -> list[tuple[int, int, str]]:
+def find(text: str, encoding, ratio: float, least: int = RUN) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets in code points, by start, then kind as listed."""
     low, base = text.lower(), []
     if any(k in low for k in KEYS):
         base += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         base += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    runs = [m for m in RUN.finditer(text)]
+    runs = list(run_pattern(min(least, LEAST["hex"])).finditer(text))
     # A run of hexadecimal digits that is long enough lies within a run of the wider class.
     base += [(r.start() + h.start(), r.start() + h.end(), "hex") for r in runs for h in HEX.finditer(r[0]) if len(h[0]) >= LEAST["hex"]]
-    free = [r for r in runs if not any(s < r.end() and r.start() < e for s, e, _ in base)]
+    free = [r for r in runs if len(r[0]) >= least and not any(s < r.end() and r.start() < e for s, e, _ in base)]
     found = base + [(*r.span(), "token") for r in free if is_random(r[0], encoding, ratio)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -89,12 +95,12 @@ def spell(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def scan_secrets(docs: DataFrame, *, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", ratio: float = 2.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, vocabulary_path: str, doc_id: str = "doc_id", text: str = "text", ratio: float = 2.0, least: int = RUN) -> DataFrame:
     """Secrets in every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token, values.
 
     A narrow pass over the texts, no shuffle. The base kinds match leftmost and without overlap within their kind; matches
-    that are too short are dropped but use up their characters. The token kind adds runs of 16 or more characters that take
-    more than one token for each `ratio` characters, unless they overlap a base span or are digests or identifiers.
+    that are too short are dropped but use up their characters. The token kind adds runs of `least` or more characters that take
+    more than one token for each `ratio` characters (letters of one case alone: LETTERS of it, under SURE of them), unless they overlap a base span or are digests or identifiers.
     values holds the matched texts. Null and empty texts have no spans (the digest of the empty text, an empty list);
     null ids stay null; repeated rows are scanned each; empty tables give no rows; other columns are ignored.
     """
@@ -102,7 +108,7 @@ def scan_secrets(docs: DataFrame, *, vocabulary_path: str, doc_id: str = "doc_id
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(vocabulary_path)
         for batch in batches:
-            rows = [find(t.as_py() or "", encoding, ratio) for t in batch.column(1)]
+            rows = [find(t.as_py() or "", encoding, ratio, least) for t in batch.column(1)]
             base = [[x for x in r if x[2] != "token"] for r in rows]
             count = lambda kind: pa.array([sum(x[2] == kind for x in r) for r in rows], pa.int64())
             yield pa.RecordBatch.from_pydict({
