@@ -139,11 +139,11 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
 
 
 def fit(pos: np.ndarray, unl: np.ndarray, *, seed: int = 5) -> Model:
-    """Rank with even weights on one half, estimate the prior on the other, then train on all with it. Without rows of either kind nothing is known, and the model's logit is 0 for all."""
+    """Rank with even weights on one half, estimate the prior on the other, then train on all with it. A single row of a kind can't be halved, and the prior is then 0.5. Without rows of either kind nothing is known, and the model's logit is 0 for all."""
     if not len(pos) or not len(unl):
         width = BUCKETS + FIGURES
         return Model(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(2))
-    if len(pos) < 8 or len(unl) < 8:
+    if min(len(pos), len(unl)) < 2:  # no half to rank with and none to look at
         return train(pos, unl, 0.5, seed=seed)
     rank = train(pos[::2], unl[::2], 0.5, seed=seed, epochs=25)
     prior = estimate_prior(rank.logit(pos[1::2]), rank.logit(unl[1::2]))
@@ -185,7 +185,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", t
 
     Only ids for which `allowed` holds (a column over doc_id) are used. Labels of 0 aren't used at all: such texts are
     unlabelled ones like the others. Conflicting or repeated labels: one positive label suffices. Rows of a repeated id count
-    each, within the bound. Without any positive or any unlabelled text there is nothing to learn: every text that isn't empty
+    each, within the bound. The class prior is estimated from half of both kinds, however few; of a single positive or a single
+    unlabelled text there is no half, and the prior is 0.5. Without any positive or any unlabelled text there is nothing to learn: every text that isn't empty
     then scores 0.5.
     """
     narrow = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
