@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wavequarry.operators import spectral
 from wavequarry.session import ship
-from wavequarry.sources import livesource
+from wavequarry.sources import files, livesource, rawsource
 from wavequarry.streaming import graph, live
 
 SCHEMA = "channel string, trace string, idx long, value double"
@@ -119,3 +119,44 @@ def test_live_table_over_files(spark, tmp_path):
         run(spark, tmp_path, stream(count), "t")
     got = spark.read.parquet(str(tmp_path / "t-out")).collect()
     assert sorted(map(tuple, got)) == [(i, v) for i, _, v in rows]
+
+
+@pytest.mark.parametrize("run_of", [1, 7, 1000])
+def test_wav_by_byte_ranges(spark, tmp_path, run_of):
+    import struct
+
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-1, 1, (2, 50))
+    (tmp_path / "a.wav").write_bytes(files.encode_wav(x, 8000))
+    raw24 = b"".join(struct.pack("<i", int(v * (1 << 23)))[:3] for v in x[0])
+    chunk = b"LIST" + struct.pack("<I", 3) + b"abc\0"  # an odd chunk ahead of the samples is padded
+    (tmp_path / "b.wav").write_bytes(b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 100, 300, 3, 24) + chunk + b"data" + struct.pack("<I", len(raw24) + 30) + raw24)
+    (tmp_path / "c.wav").write_bytes(b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 3, 1, 100, 400, 4, 32) + b"data" + struct.pack("<I", 200) + x[1].astype("<f4").tobytes())
+    got = rawsource.read_samples(spark, str(tmp_path), "wav", frames=run_of).toPandas()
+    want = {"a.wav:0": np.trunc(x[0] * 32767) / 32767, "a.wav:1": np.trunc(x[1] * 32767) / 32767, "b.wav:0": np.trunc(x[0] * (1 << 23)) / (1 << 23), "c.wav:0": x[1].astype("<f4")}
+    assert {t.rsplit("/", 1)[1] for t in got["trace"]} == set(want)
+    for t, g in got.groupby("trace"):
+        g = g.sort_values("idx")
+        assert g["idx"].tolist() == list(range(50)) and np.allclose(g["value"], want[t.rsplit("/", 1)[1]], atol=1e-12)
+    assert set(got["sps"]) == {8000.0, 100.0}
+    whole = files.read_wav(spark, f"file:{tmp_path}/a.wav").toPandas()
+    assert np.array_equal(whole[whole.trace.str.endswith(":1")].sort_values("idx")["value"], got[got.trace.str.endswith("a.wav:1")].sort_values("idx")["value"])
+
+
+def test_raw_files_and_what_is_no_file(spark, tmp_path):
+    rows = [("a", i, float(i * 300 - 20_000)) for i in range(200)] + [("b/c", 0, 7.9)]
+    s = spark.createDataFrame(rows, "trace string, idx long, value double").repartition(4)
+    rawsource.write_samples(s, str(tmp_path / "raw"), "i16")
+    (tmp_path / "raw" / "part-00000-left.i16").write_bytes(b"\1\0" * 9)  # what a task left that didn't count
+    got = sorted(map(tuple, rawsource.read_samples(spark, str(tmp_path / "raw"), "i16", frames=13, sps=50).collect()))
+    assert got == sorted((t, i, float(np.clip(np.trunc(v), -32768, 32767)), 50.0) for t, i, v in rows)
+    (tmp_path / "two.u8").write_bytes(bytes(range(10)))
+    assert [r["value"] for r in rawsource.read_samples(spark, str(tmp_path / "two.u8"), "u8", channels=2).where("trace LIKE '%:1'").orderBy("idx").collect()] == [1.0, 3.0, 5.0, 7.0, 9.0]
+    for bad in ({"path": "x", "kind": "mp3"}, {"path": "x", "frames": "0"}):
+        with pytest.raises(ValueError):
+            rawsource.SampleReader(bad)
+    (tmp_path / "no.wav").write_bytes(b"nothing of the kind")
+    with pytest.raises(ValueError):
+        rawsource.SampleReader({"path": str(tmp_path / "no.wav")}).layouts()
+    rawsource.write_samples(s.limit(0), str(tmp_path / "none"))
+    assert rawsource.read_samples(spark, str(tmp_path / "none")).collect() == []

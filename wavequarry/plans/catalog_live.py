@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import event_samples
 from ..operators import spectral
-from ..sources import livesource
+from ..sources import livesource, rawsource
 from ..streaming import graph, live
 from .catalog import S, live_events, query, r, scratch
 from .catalog_sql import OVERLAP
@@ -54,3 +55,19 @@ def live_source(spark, sf_dir):
         rows = spark.readStream.format("live").schema("event_id bigint, event_type string, value double").options(**options, **more).load()
         live.run(rows, "append", f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out")
+
+
+@query(f"{S} SELECT trace, idx, value FROM s")
+def raw_files(spark, sf_dir):
+    """All samples as raw files and back by byte ranges."""
+    path = scratch(spark)
+    rawsource.write_samples(event_samples(spark, sf_dir), path)
+    return rawsource.read_samples(spark, path, frames=1000).drop("sps")
+
+
+@query(f"{S} SELECT trace || ' bit ' || k AS trace, idx, ((floor(value)::BIGINT % 256 >> k) & 1)::DOUBLE AS value FROM s, (SELECT unnest(range(8)) AS k)")
+def bit_files(spark, sf_dir):
+    """Samples as bytes in files, read as eight traces of bits."""
+    path = scratch(spark)
+    rawsource.write_samples(event_samples(spark, sf_dir).withColumn("value", F.floor("value") % 256), path, "u8")
+    return rawsource.read_samples(spark, path, "bits", frames=700).drop("sps")
