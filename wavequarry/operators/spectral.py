@@ -13,6 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..model import framed
 
 
 def frames(s: DataFrame, width: int, stride: int | None = None, short: bool = False) -> DataFrame:
@@ -33,13 +37,15 @@ def whole(s: DataFrame) -> DataFrame:
 
 def on_frames(f: DataFrame, kernel: Callable[[np.ndarray], dict[str, object]], schema: str) -> DataFrame:
     """trace, frame and what the kernel makes of each frame's samples: a dictionary with the schema's columns."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    kinds = dict(zip(arrow.names, arrow.types, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [kernel(x.values.to_numpy(zero_copy_only=False)) for x in batch.column(2)]
             made = {k: [r[k] for r in rows] for k in (rows[0] if rows else {})}
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v) for v in made.values()]], names=["trace", "frame", *made])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, kinds.get(k)) for k, v in made.items()]], names=["trace", "frame", *made])
 
     return f.select("trace", "frame", "samples").mapInArrow(run, f"trace string, frame long, {schema}")
 
@@ -306,46 +312,107 @@ def moment(m: np.ndarray, left: int, right: int, hz: float) -> float:
     return float((k * m[k]).sum() * hz / w) if w else 0.0
 
 
+def _db(p: float) -> float:
+    return 10 * math.log10(p) if p > 0 else -math.inf
+
+
+def figures(m: np.ndarray, hz: float) -> dict[str, float]:
+    """What a frame's magnitudes say of its strongest tone: its place, distortion by ten harmonics, noise, and what follows from them."""
+    top = 1 + int(np.argmax(m[1:])) if len(m) > 1 else 0
+    centre = moment(m, top - 2, top + 2, hz)
+    tones = {top}
+    harmonic = 0.0
+    for k in range(2, 11):
+        b = int(centre * k / hz + 0.4999)
+        if b >= len(m):
+            break
+        harmonic += m[b] ** 2
+        tones.add(b)
+    rest = np.array([b for b in range(len(m)) if b not in tones], int)
+    noise = float((m[rest[rest > 0]] ** 2).sum())
+    power, spur = float(m[top] ** 2), float(m[rest].max() ** 2) if len(rest) else 0.0
+    share = lambda a, b: a / b if b else 1e9
+    sinad = _db(share(power, noise + harmonic))
+    return {
+        "fundamental_hz": centre, "thd_db": _db(harmonic / power if power else 0.0), "thd_n_db": _db((harmonic + noise) / power if power else 0.0), "snr_db": _db(share(power, noise)), "sinad_db": sinad,
+        "enob": (sinad - 1.76) / 6.02, "sfdr_db": _db(share(power, spur)), "noise_floor_db": _db(float((m[rest] ** 2).mean())) if len(rest) and (m[rest] > 0).any() else -200.0,
+    }
+
+
+FIGURES = "fundamental_hz thd_db thd_n_db snr_db sinad_db enob sfdr_db noise_floor_db".split()
+
+
+def frame_magnitudes(x: np.ndarray, kind: str) -> np.ndarray:
+    """Magnitudes of windowed samples without their mean."""
+    shaped = x * window(len(x), kind)
+    return np.abs(np.fft.rfft(shaped - shaped.mean())) / len(x)
+
+
 def analyse(f: DataFrame, sps: float, kind: str = "RaisedCosine") -> DataFrame:
     """Figures of each frame: dc, peak, rms, dbfs, dbfs_a, dbfs_c, crest, fundamental_hz, thd_db, thd_n_db, snr_db, sinad_db, enob, sfdr_db, noise_floor_db."""
 
-    def db(p: float) -> float:
-        return 10 * math.log10(p) if p > 0 else -math.inf
-
     def kernel(x: np.ndarray) -> dict:
         n, dc = len(x), float(x.mean())
-        hz = hz_per_bin(n, sps)
-        shaped = x * window(n, kind)
-        m = np.abs(np.fft.rfft(shaped - shaped.mean())) / n
         freq = np.fft.rfftfreq(n, 1 / sps)
         rms = float(np.sqrt(((x - dc) ** 2).mean()))
         weighted_rms = {k: float(np.std(np.fft.irfft(np.fft.rfft(x) * weighting(k, freq), n))) for k in "AC"}
         peak = float(np.abs(x - dc).max())
-        top = 1 + int(np.argmax(m[1:])) if len(m) > 1 else 0
-        centre = moment(m, top - 2, top + 2, hz)
-        tones = {top}
-        harmonic = 0.0
-        for k in range(2, 11):
-            b = int(centre * k / hz + 0.4999)
-            if b >= len(m):
-                break
-            harmonic += m[b] ** 2
-            tones.add(b)
-        rest = np.array([b for b in range(len(m)) if b not in tones], int)
-        noise = float((m[rest[rest > 0]] ** 2).sum())
-        power, spur = float(m[top] ** 2), float(m[rest].max() ** 2) if len(rest) else 0.0
-        share = lambda a, b: a / b if b else 1e9
-        sinad = db(share(power, noise + harmonic))
-        return {
-            "dc": dc, "peak": peak, "rms": rms, "dbfs": 2 * db(rms), "dbfs_a": 2 * db(weighted_rms["A"]), "dbfs_c": 2 * db(weighted_rms["C"]), "crest": peak / rms if rms else 0.0, "fundamental_hz": centre,
-            "thd_db": db(harmonic / power if power else 0.0), "thd_n_db": db((harmonic + noise) / power if power else 0.0), "snr_db": db(share(power, noise)), "sinad_db": sinad, "enob": (sinad - 1.76) / 6.02,
-            "sfdr_db": db(share(power, spur)), "noise_floor_db": db(float((m[rest] ** 2).mean())) if len(rest) and (m[rest] > 0).any() else -200.0,
-        }
-
-    names = "dc peak rms dbfs dbfs_a dbfs_c crest fundamental_hz thd_db thd_n_db snr_db sinad_db enob sfdr_db noise_floor_db".split()
+        level = {"dc": dc, "peak": peak, "rms": rms, "dbfs": 2 * _db(rms), "dbfs_a": 2 * _db(weighted_rms["A"]), "dbfs_c": 2 * _db(weighted_rms["C"]), "crest": peak / rms if rms else 0.0}
+        return level | figures(frame_magnitudes(x, kind), hz_per_bin(n, sps))
+
+    names = ["dc", "peak", "rms", "dbfs", "dbfs_a", "dbfs_c", "crest", *FIGURES]
     return on_frames(f, kernel, ", ".join(f"{n} double" for n in names))
 
 
+def averaged(f: DataFrame, k: int, kind: str = "RaisedCosine", size: int = 1 << 10) -> DataFrame:
+    """trace, frame, magnitudes: the mean magnitudes of each frame and the k - 1 before it (as many as there are). Frames run in blocks of `size` with copies of the k - 1 before, so a trace is many tasks."""
+    m = on_frames(f, lambda x: {"magnitudes": frame_magnitudes(x, kind).tolist()}, "magnitudes array<double>")
+    last = framed(m.withColumnRenamed("frame", "idx"), k - 1, 0, {"last": lambda w: F.collect_list("magnitudes").over(w)}, size)
+    bins_of = F.sequence(F.lit(0), F.size("magnitudes") - 1)
+    mean = F.transform(bins_of, lambda i: F.aggregate("last", F.lit(0.0), lambda a, x: a + x[i]) / F.size("last"))
+    return last.select("trace", F.col("idx").alias("frame"), mean.alias("magnitudes"))
+
+
+def analyse_averaged(f: DataFrame, sps: float, k: int, kind: str = "RaisedCosine") -> DataFrame:
+    """trace, frame and FIGURES of the mean magnitudes of the last k frames."""
+
+    def kernel(m: np.ndarray) -> dict:
+        return figures(m, hz_per_bin(2 * (len(m) - 1), sps))
+
+    return on_frames(averaged(f, k, kind).withColumnRenamed("magnitudes", "samples"), kernel, ", ".join(f"{n} double" for n in FIGURES))
+
+
+def rolling(x: np.ndarray, n: int, of: Callable) -> np.ndarray:
+    """of (np.max, np.mean) over n // 2 values on either side; the window shrinks at the ends."""
+    h = n // 2
+    return np.array([of(x[max(0, i - h) : i + h + 1]) for i in range(len(x))])
+
+
+def tones_over_baseline(magnitudes: DataFrame, sps: float, over: float = 3.0, most: int = 10) -> DataFrame:
+    """The first `most` tones of each frame by frequency: trace, frame, tone (from 1), hz, db, from rows trace, frame, magnitudes (of even frames).
+
+    In decibel (-120 at least), a bin is up where the greatest around it is over the mean of these greatest by `over`; where
+    most of three neighbours are up there is a tone, and its greatest bin and those beside it give its place.
+    """
+
+    def kernel(m: np.ndarray) -> dict:
+        hz = hz_per_bin(2 * (len(m) - 1), sps)
+        local = rolling(np.maximum(-120.0, 20 * np.log10(np.maximum(m, 1e-300))), max(3, len(m) // 128), np.max)
+        up = rolling((local > rolling(local, max(8, len(m) // 32), np.mean) + over).astype(float), 3, np.mean) > 0.5
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], up.astype(int), [0]])))
+        found = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            top = a + int(np.argmax(m[a:b]))
+            at = moment(m, top - 1, top + 1, hz)
+            bin_at = int(at / hz + 0.5)
+            if at > 0:
+                found.append({"hz": at, "db": 2 * _db(float(m[bin_at])) if bin_at < len(m) else -math.inf})
+        return {"tones": found[:most]}
+
+    rows = on_frames(magnitudes.withColumnRenamed("magnitudes", "samples"), kernel, "tones array<struct<hz:double,db:double>>")
+    return rows.select("trace", "frame", F.posexplode("tones").alias("tone", "t")).select("trace", "frame", (F.col("tone") + 1).alias("tone"), "t.hz", "t.db")
+
+
 def poly_filtered(f: DataFrame, order: int = 5) -> DataFrame:
     """Frames replaced by the polynomial that fits them best."""
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import event_samples
-from ..operators import pyramid, transform
+from ..operators import pyramid, spectral, transform
 from .catalog import S, query, r, table
+from .grid import connected, connected_to
 
 #: Whole transforms by their definition; places are reduced in whole numbers before they become angles.
 WHOLE = f"""{S}, n AS (SELECT trace, count(*) AS n FROM s GROUP BY trace), b AS (SELECT trace, n, unnest(range(n // 2 + 1)) AS bin FROM n),
@@ -99,3 +100,69 @@ def upsampled(spark, sf_dir):
     """The samples under more pixels than there are."""
     u = pyramid.upsampled(event_samples(spark, sf_dir), _views(spark, sf_dir), 4000)
     return u.select("trace", "view", "pixel", r("nearest").alias("nearest"), up("linear").alias("linear"))
+
+
+# Averages of spectra
+
+#: Magnitudes m of bins k of frames of 128 samples, windowed and without their mean, averaged over the last four frames. 1000 Hz: a bin is 7.8125.
+AVERAGED = f"""{S}, f AS (SELECT trace, idx // 128 AS frame, idx % 128 AS i, value * 0.5 * (1 - cos(2 * pi() * least(idx % 128, 127 - idx % 128) / 127)) AS v, count(*) OVER (PARTITION BY trace, idx // 128) AS n FROM s),
+w AS (SELECT trace, frame, i, v - avg(v) OVER (PARTITION BY trace, frame) AS v FROM f WHERE n = 128),
+z AS (SELECT trace, frame, k, sqrt(power(sum(v * cos(2 * pi() * ((i * k) % 128) / 128)), 2) + power(sum(v * sin(2 * pi() * ((i * k) % 128) / 128)), 2)) / 128 AS m FROM w, (SELECT unnest(range(65)) AS k) GROUP BY trace, frame, k),
+a AS (SELECT trace, frame, k, avg(m) OVER (PARTITION BY trace, k ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM z)"""
+
+
+@query(
+    f"""{AVERAGED}, t AS (SELECT trace, frame, arg_max(k, m) AS top FROM a WHERE k > 0 GROUP BY trace, frame),
+c AS (SELECT trace, frame, any_value(top) AS top, sum(k * m) * 7.8125 / sum(m) AS hz, max(CASE WHEN k = top THEN m * m END) AS power FROM a JOIN t USING (trace, frame) WHERE k BETWEEN greatest(1, top - 2) AND least(64, top + 2) GROUP BY trace, frame),
+h AS (SELECT trace, frame, floor(hz * unnest(range(2, 11)) / 7.8125 + 0.4999)::BIGINT AS k FROM c),
+g AS (SELECT h.trace, h.frame, sum(m * m) AS harmonic FROM h JOIN a ON a.trace = h.trace AND a.frame = h.frame AND a.k = h.k GROUP BY h.trace, h.frame),
+o AS (SELECT a.* FROM a JOIN c USING (trace, frame) WHERE k <> top AND NOT EXISTS (SELECT 1 FROM h WHERE h.trace = a.trace AND h.frame = a.frame AND h.k = a.k)),
+q AS (SELECT trace, frame, sum(CASE WHEN k > 0 THEN m * m END) AS noise, max(m) * max(m) AS spur, avg(m * m) AS floor_power FROM o GROUP BY trace, frame)
+SELECT trace, frame, round(hz, 6) AS fundamental_hz, round(10 * log10(coalesce(harmonic, 0) / power), 6) AS thd_db, round(10 * log10((coalesce(harmonic, 0) + noise) / power), 6) AS thd_n_db, round(10 * log10(power / noise), 6) AS snr_db, round(10 * log10(power / (noise + coalesce(harmonic, 0))), 6) AS sinad_db,
+round((10 * log10(power / (noise + coalesce(harmonic, 0))) - 1.76) / 6.02, 6) AS enob, round(10 * log10(power / spur), 6) AS sfdr_db, round(10 * log10(floor_power), 6) AS noise_floor_db FROM c JOIN q USING (trace, frame) LEFT JOIN g USING (trace, frame) WHERE harmonic > 0"""
+)
+def averaged_analysis(spark, sf_dir):
+    """Figures of spectra averaged over four frames, for frames whose tone has a harmonic below half the rate."""
+    f = spectral.frames(event_samples(spark, sf_dir), 128)
+    a = spectral.analyse_averaged(f, 1000.0, 4).where(F.col("thd_db") > float("-inf"))
+    return a.select("trace", "frame", *[r(c).alias(c) for c in spectral.FIGURES])
+
+
+@query(
+    f"""{AVERAGED}, d AS (SELECT *, greatest(-120.0, 20 * log10(greatest(m, 1e-300))) AS d FROM a), l AS (SELECT *, max(d) OVER (PARTITION BY trace, frame ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM d),
+b AS (SELECT *, CASE WHEN l > avg(l) OVER (PARTITION BY trace, frame ORDER BY k ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + 3 THEN 1.0 ELSE 0.0 END AS u FROM l),
+p AS (SELECT *, avg(u) OVER (PARTITION BY trace, frame ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) > 0.5 AS up FROM b), n AS (SELECT *, k - row_number() OVER (PARTITION BY trace, frame ORDER BY k) AS block FROM p WHERE up),
+t AS (SELECT trace, frame, block, arg_max(k, m) AS top FROM n GROUP BY trace, frame, block),
+c AS (SELECT t.trace, t.frame, top, sum(k * m) * 7.8125 / sum(m) AS hz FROM t JOIN a ON a.trace = t.trace AND a.frame = t.frame AND k BETWEEN greatest(1, top - 1) AND least(64, top + 1) GROUP BY t.trace, t.frame, top),
+r AS (SELECT *, row_number() OVER (PARTITION BY trace, frame ORDER BY top) AS tone FROM c WHERE hz > 0)
+SELECT r.trace, r.frame, tone::INTEGER AS tone, round(hz, 6) AS hz, round(20 * log10(m), 6) AS db FROM r JOIN a ON a.trace = r.trace AND a.frame = r.frame AND a.k = floor(hz / 7.8125 + 0.5)::BIGINT WHERE tone <= 10"""
+)
+def baseline_tones(spark, sf_dir):
+    """Tones of averaged spectra over a running baseline."""
+    m = spectral.averaged(spectral.frames(event_samples(spark, sf_dir), 128), 4)
+    t = spectral.tones_over_baseline(m, 1000.0)
+    return t.select("trace", "frame", "tone", r("hz").alias("hz"), r("db").alias("db"))
+
+
+# Connected sets
+
+#: Parts and suppliers of large single-line items, as a graph.
+EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity >= 48)"
+LABELS = f"WITH RECURSIVE {EDGES}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), k AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, k.label FROM k JOIN u ON u.a = k.node), c AS (SELECT node, min(label) AS component FROM k GROUP BY node)"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity >= 48")
+    return items.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
+
+
+@query(f"{LABELS} SELECT node, component FROM c")
+def graph_components(spark, sf_dir):
+    return connected(_edges(spark, sf_dir))
+
+
+@query(f"{LABELS} SELECT node FROM c WHERE component IN (SELECT component FROM c WHERE node % 5 = 0 AND node < 1000000000)")
+def graph_connected_to(spark, sf_dir):
+    """All that is connected, over any way, with every fifth part."""
+    edges = _edges(spark, sf_dir)
+    return connected_to(edges, edges.where("a % 5 = 0").select(F.col("a").alias("node")).distinct())

@@ -274,6 +274,35 @@ def reachable(edges: DataFrame, focus: DataFrame, rounds: int | None = None) ->
     return known
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) for each node of edges (a, b), in rounds whose number grows with the logarithm of the nodes.
+
+    In each round a node points to the first of itself and its neighbours in the order of a hash, and edges are drawn between
+    what their ends point to, until none is left. A hash has no long rising ways, so a chain shrinks as fast as a star.
+    """
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "graph_edges")
+    nodes = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), "graph_nodes")
+    label, left = nodes.withColumn("at", F.col("node")), left.where("a <> b")
+    rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("from")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("to"))).alias("f"))
+        moves = written(first.select("from", F.when(rank("from") < F.struct("f.h", "f.to"), F.col("from")).otherwise(F.col("f.to")).alias("to")), "graph_moves")
+        label = written(label.join(moves, F.col("at") == F.col("from"), "left").select("node", F.coalesce("to", "at").alias("at")), "graph_labels")
+        x, y = (moves.select(F.col("from").alias(c), F.col("to").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+        moved = left.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        left = written(moved, "graph_edges")
+    least = label.groupBy("at").agg(F.min("node").alias("component"))
+    return label.join(least, "at").select("node", "component")
+
+
+def connected_to(edges: DataFrame, focus: DataFrame) -> DataFrame:
+    """The nodes of edges (a, b) that any way connects with focus nodes (node), these included."""
+    parts = written(connected(edges), "graph_components")
+    wanted = parts.join(focus, "node", "left_semi").select("component").distinct()
+    return parts.join(wanted, "component", "left_semi").select("node")
+
+
 def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as numbers; 0 for what is none."""
     return df.withColumns({c: to_double(F.col(c)) for c in columns})
