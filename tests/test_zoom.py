@@ -98,3 +98,54 @@ def test_views(spark, data):
             rest = 0.0 if at != last else r["pixel"] * len(x) / 50 - at
             last = at
             assert r["nearest"] == x[at] and abs(r["linear"] - (x[at] * (1 - rest) + x[min(at + 1, len(x) - 1)] * rest)) < 1e-9
+
+
+def test_averages_do_not_depend_on_blocks(spark):
+    from wavequarry.operators import spectral
+
+    rng = np.random.default_rng(4)
+    x = {"a": rng.normal(size=32 * 9), "b": rng.normal(size=40)}
+    f = spectral.frames(samples(spark, x), 32)
+    for k, size in ((1, 1024), (3, 4), (4, 4)):
+        got = {(r["trace"], r["frame"]): r["magnitudes"] for r in spectral.averaged(f, k, size=size).collect()}
+        for name, v in x.items():
+            each = [spectral.frame_magnitudes(v[i * 32 : i * 32 + 32], "RaisedCosine") for i in range(len(v) // 32)]
+            for i in range(len(each)):
+                assert np.allclose(got[name, i], np.mean(each[max(0, i - k + 1) : i + 1], axis=0), atol=1e-12)
+        assert len(got) == 10
+
+
+def test_tones_over_the_baseline(spark):
+    from wavequarry.operators import spectral
+
+    n, i = 1024, np.arange(1024)
+    x = np.sin(2 * np.pi * 100 * i / n) + 0.05 * np.sin(2 * np.pi * 300 * i / n) + 1e-5 * np.random.default_rng(1).normal(size=n)
+    m = spectral.averaged(spectral.frames(samples(spark, {"x": x}), n), 2)
+    got = spectral.tones_over_baseline(m, float(n)).orderBy("tone").collect()
+    strong = [r for r in got if r["db"] > -60]
+    assert [round(r["hz"]) for r in strong] == [100, 300] and abs(strong[0]["db"] - strong[1]["db"] - 20 * np.log10(20)) < 0.5
+    figures = spectral.analyse_averaged(spectral.frames(samples(spark, {"x": x}), n), float(n), 2).collect()[0]
+    assert round(figures["fundamental_hz"]) == 100 and abs(figures["thd_db"] + 20 * np.log10(20)) < 0.5
+
+
+def test_connected_sets(spark):
+    from wavequarry.plans import grid
+
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(1000, 1200)] + [(5, int(v)) for v in rng.integers(10, 60, 40)] + [(7, 7), (900, 901), (901, 900), (900, 901)]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["component"] for r in grid.connected(df).collect()}
+    assert got == {n: find(n) for n in root}
+    near = {r["node"] for r in grid.connected_to(df, spark.createDataFrame([(1100,), (7,), (123456,)], "node long")).collect()}
+    assert near == {*range(1000, 1201), 7}
+    assert grid.connected(df.limit(0)).collect() == []

@@ -694,7 +694,7 @@ def spectrogram(spark, sf_dir):
 @query()
 def spectrum_analysis(spark, sf_dir):
     a = spectral.analyse(spectral.frames(event_samples(spark, sf_dir), 128), 1000.0)
-    return a.select("trace", "frame", *[r(c).alias(c) for c in a.columns[2:]])
+    return a.select("trace", "frame", *[r(c, 9 if c in ("dc", "peak") else 6).alias(c) for c in a.columns[2:]])
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import event_samples
 from ..operators import pyramid, spectral, transform
-from .catalog import S, query, r, table
+from .catalog import ORACLE_SQL, S, query, r, table
 from .grid import connected, connected_to
 
 #: Whole transforms by their definition; places are reduced in whole numbers before they become angles.
@@ -111,16 +111,19 @@ z AS (SELECT trace, frame, k, sqrt(power(sum(v * cos(2 * pi() * ((i * k) % 128)
 a AS (SELECT trace, frame, k, avg(m) OVER (PARTITION BY trace, k ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m FROM z)"""
 
 
-@query(
-    f"""{AVERAGED}, t AS (SELECT trace, frame, arg_max(k, m) AS top FROM a WHERE k > 0 GROUP BY trace, frame),
+#: From magnitudes a (trace, frame, k, m): the strongest tone, its harmonics, and the rest.
+STEPS = """t AS (SELECT trace, frame, arg_max(k, m) AS top FROM a WHERE k > 0 GROUP BY trace, frame),
 c AS (SELECT trace, frame, any_value(top) AS top, sum(k * m) * 7.8125 / sum(m) AS hz, max(CASE WHEN k = top THEN m * m END) AS power FROM a JOIN t USING (trace, frame) WHERE k BETWEEN greatest(1, top - 2) AND least(64, top + 2) GROUP BY trace, frame),
 h AS (SELECT trace, frame, floor(hz * unnest(range(2, 11)) / 7.8125 + 0.4999)::BIGINT AS k FROM c),
 g AS (SELECT h.trace, h.frame, sum(m * m) AS harmonic FROM h JOIN a ON a.trace = h.trace AND a.frame = h.frame AND a.k = h.k GROUP BY h.trace, h.frame),
 o AS (SELECT a.* FROM a JOIN c USING (trace, frame) WHERE k <> top AND NOT EXISTS (SELECT 1 FROM h WHERE h.trace = a.trace AND h.frame = a.frame AND h.k = a.k)),
 q AS (SELECT trace, frame, sum(CASE WHEN k > 0 THEN m * m END) AS noise, max(m) * max(m) AS spur, avg(m * m) AS floor_power FROM o GROUP BY trace, frame)
-SELECT trace, frame, round(hz, 6) AS fundamental_hz, round(10 * log10(coalesce(harmonic, 0) / power), 6) AS thd_db, round(10 * log10((coalesce(harmonic, 0) + noise) / power), 6) AS thd_n_db, round(10 * log10(power / noise), 6) AS snr_db, round(10 * log10(power / (noise + coalesce(harmonic, 0))), 6) AS sinad_db,
-round((10 * log10(power / (noise + coalesce(harmonic, 0))) - 1.76) / 6.02, 6) AS enob, round(10 * log10(power / spur), 6) AS sfdr_db, round(10 * log10(floor_power), 6) AS noise_floor_db FROM c JOIN q USING (trace, frame) LEFT JOIN g USING (trace, frame) WHERE harmonic > 0"""
-)
+"""
+TONE = """round(hz, 6) AS fundamental_hz, round(10 * log10(coalesce(harmonic, 0) / power), 6) AS thd_db, round(10 * log10((coalesce(harmonic, 0) + noise) / power), 6) AS thd_n_db, round(10 * log10(power / noise), 6) AS snr_db, round(10 * log10(power / (noise + coalesce(harmonic, 0))), 6) AS sinad_db,
+round((10 * log10(power / (noise + coalesce(harmonic, 0))) - 1.76) / 6.02, 6) AS enob, round(10 * log10(power / spur), 6) AS sfdr_db, round(10 * log10(floor_power), 6) AS noise_floor_db"""
+
+
+@query(f"{AVERAGED}, {STEPS} SELECT trace, frame, {TONE} FROM c JOIN q USING (trace, frame) LEFT JOIN g USING (trace, frame) WHERE harmonic > 0")
 def averaged_analysis(spark, sf_dir):
     """Figures of spectra averaged over four frames, for frames whose tone has a harmonic below half the rate."""
     f = spectral.frames(event_samples(spark, sf_dir), 128)
@@ -128,6 +131,25 @@ def averaged_analysis(spark, sf_dir):
     return a.select("trace", "frame", *[r(c).alias(c) for c in spectral.FIGURES])
 
 
+def _weighting(kind: str) -> str:
+    """Share of a frequency hz, by the four (A) or two (C) pole frequencies of the standard, over that of 1 kHz."""
+
+    def raw(f2: str) -> str:
+        ends = f"({f2} * 12194.0 * 12194.0 / (({f2} + 20.6 * 20.6) * ({f2} + 12194.0 * 12194.0)))"
+        return f"{ends} * {f2} / sqrt(({f2} + 107.7 * 107.7) * ({f2} + 737.9 * 737.9))" if kind == "A" else ends
+
+    return f"({raw('(hz * hz)::DOUBLE')}) / ({raw('1000000::DOUBLE')})"
+
+
+ORACLE_SQL["spectrum_analysis"] = f"""{AVERAGED[: AVERAGED.index('a AS (SELECT')]}a AS (SELECT trace, frame, k, m FROM z), {STEPS},
+x AS (SELECT trace, idx // 128 AS frame, idx % 128 AS i, value, avg(value) OVER y AS dc, count(*) OVER y AS n FROM s WINDOW y AS (PARTITION BY trace, idx // 128)),
+e AS (SELECT trace, frame, any_value(dc) AS dc, max(abs(value - dc)) AS peak, sqrt(avg((value - dc) * (value - dc))) AS rms FROM x WHERE n = 128 GROUP BY trace, frame),
+y AS (SELECT trace, frame, k, k * 7.8125 AS hz, (power(sum(value * cos(2 * pi() * ((i * k) % 128) / 128)), 2) + power(sum(value * sin(2 * pi() * ((i * k) % 128) / 128)), 2)) / 16384 * CASE WHEN k = 64 THEN 1 ELSE 2 END AS power FROM x, (SELECT unnest(range(1, 65)) AS k) WHERE n = 128 GROUP BY trace, frame, k),
+v AS (SELECT trace, frame, sqrt(sum(power * power(({_weighting("A")}), 2))) AS rms_a, sqrt(sum(power * power(({_weighting("C")}), 2))) AS rms_c FROM y GROUP BY trace, frame)
+SELECT trace, frame, round(dc, 9) AS dc, round(peak, 9) AS peak, round(rms, 6) AS rms, round(20 * log10(rms), 6) AS dbfs, round(20 * log10(rms_a), 6) AS dbfs_a, round(20 * log10(rms_c), 6) AS dbfs_c, round(peak / rms, 6) AS crest,
+{TONE.replace("round(10 * log10(coalesce(harmonic, 0) / power), 6) AS thd_db", "CASE WHEN harmonic > 0 THEN round(10 * log10(harmonic / power), 6) ELSE '-inf'::DOUBLE END AS thd_db")} FROM e JOIN v USING (trace, frame) JOIN c USING (trace, frame) JOIN q USING (trace, frame) LEFT JOIN g USING (trace, frame)"""
+
+
 @query(
     f"""{AVERAGED}, d AS (SELECT *, greatest(-120.0, 20 * log10(greatest(m, 1e-300))) AS d FROM a), l AS (SELECT *, max(d) OVER (PARTITION BY trace, frame ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS l FROM d),
 b AS (SELECT *, CASE WHEN l > avg(l) OVER (PARTITION BY trace, frame ORDER BY k ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) + 3 THEN 1.0 ELSE 0.0 END AS u FROM l),
