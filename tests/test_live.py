@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavequarry.operators import spectral
+from wavequarry.operators import sequential, spectral
 from wavequarry.session import ship
 from wavequarry.sources import files, livesource, rawsource
 from wavequarry.streaming import graph, live
@@ -160,3 +160,34 @@ def test_raw_files_and_what_is_no_file(spark, tmp_path):
         rawsource.SampleReader({"path": str(tmp_path / "no.wav")}).layouts()
     rawsource.write_samples(s.limit(0), str(tmp_path / "none"))
     assert rawsource.read_samples(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_idle_traces_end(spark, tmp_path):
+    ship(spark)
+    schema = "trace string, ts timestamp, value double"
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [[("a", 0, 1.0), ("b", 5, 2.0), ("a", 3, 3.0)], [("b", 100, 4.0), ("b", 90, 9.0)], [("a", 130, 5.0)], [("c", 1000, 6.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame([(t, at(s), v) for t, s, v in rows], "trace string, at string, value double").selectExpr("trace", "cast(at AS timestamp) AS ts", "value").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        time.sleep(0.05)
+    stream = live.read_live(spark, str(tmp_path / "part*"), schema, files=1)
+    live.run_updates(live.expiring(stream, 2, 60.0), ["trace"], str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("batch", "trace", "place").collect()
+    ended = [(r["trace"], r["value"]) for r in rows if r["over"]]
+    # Both end, begin anew, and end again when c is heard long after; c is alive at the end.
+    assert sorted(ended) == [("a", 1.0), ("a", 3.0), ("a", 5.0), ("b", 2.0), ("b", 4.0), ("b", 9.0)]
+    assert [r["value"] for r in rows if r["trace"] == "c" and not r["over"]] == [6.0]
+
+
+def test_online_fit(spark):
+    ship(spark)
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 2)), np.zeros(300)
+    y = x @ [2.0, -3.0] + 0.1 * rng.normal(size=300)
+    rows = [("t", i, float(a), float(b), float(v)) for i, ((a, b), v) in enumerate(zip(x, y))] + [("flat", i, 1.0, 2.0, 3.0) for i in range(20)] + [("t", 300, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "trace string, idx long, a double, b double, y double")
+    got = {(r["trace"], r["block"]): r for r in sequential.online_fit(df, ["a", "b"], "y", 64).collect()}
+    for k in range(5):
+        n = min(300, 64 * (k + 1))
+        assert got["t", k]["n"] == n and np.allclose(got["t", k]["weights"], np.linalg.lstsq(x[:n], y[:n], rcond=None)[0], atol=1e-9)
+    assert got["flat", 0]["weights"] is None and len(got) == 6

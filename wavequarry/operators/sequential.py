@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -362,3 +362,35 @@ def solve_lqr(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray, steps:
             break
         p = nxt
     return np.linalg.solve(r + b.T @ p @ b, b.T @ p @ a)
+
+
+def online_fit(s: DataFrame, inputs: list[str], target: str, every: int) -> DataFrame:
+    """trace, block, n, weights: after each `every` samples, the least-squares weights of the inputs for the target over all samples so far.
+
+    Sums of products are made a block of samples, added up over one row a block, and each row is one small system of equations;
+    weights are null while it has no single solution. Rows with a null input or target don't count.
+    """
+    k = len(inputs)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    known = s.dropna(subset=[*inputs, target]).withColumn("block", F.floor(F.col("idx") / every))
+    products = [F.sum(F.col(inputs[i]) * F.col(inputs[j])).alias(f"s{i}_{j}") for i, j in pairs] + [F.sum(F.col(inputs[i]) * F.col(target)).alias(f"t{i}") for i in range(k)]
+    sums = written(known.groupBy("trace", "block").agg(F.count("*").alias("n"), *products), "online_sums")
+    upto = Window.partitionBy("trace").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    names = ["n", *[f"s{i}_{j}" for i, j in pairs], *[f"t{i}" for i in range(k)]]
+    running = sums.select("trace", "block", *[F.sum(c).over(upto).alias(c) for c in names])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.stack([batch.column(i).to_numpy().astype(float) for i in range(3, batch.num_columns)], axis=1)
+            weights: list[list[float] | None] = []
+            for row in v:
+                a = np.zeros((k, k))
+                for (i, j), x in zip(pairs, row):
+                    a[i, j] = a[j, i] = x
+                scale = np.sqrt(np.maximum(np.diag(a), 1e-300))  # inputs of one size, so that the rank shows
+                a = a / scale[:, None] / scale
+                regular = np.isfinite(a).all() and np.linalg.matrix_rank(a, tol=1e-12) == k
+                weights.append((np.linalg.solve(a, row[len(pairs) :] / scale) / scale).tolist() if regular else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weights, pa.list_(pa.float64()))], names=["trace", "block", "n", "weights"])
+
+    return running.mapInArrow(solve, "trace string, block long, n long, weights array<double>")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..model import event_samples
-from ..operators import spectral
+from ..model import event_samples, framed
+from ..operators import sequential, spectral
 from ..sources import livesource, rawsource
 from ..streaming import graph, live
 from .catalog import S, live_events, query, r, scratch
@@ -71,3 +71,32 @@ def bit_files(spark, sf_dir):
     path = scratch(spark)
     rawsource.write_samples(event_samples(spark, sf_dir).withColumn("value", F.floor("value") % 256), path, "u8")
     return rawsource.read_samples(spark, path, "bits", frames=700).drop("sps")
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS trace, ts, value, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS anew FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
+g AS (SELECT *, sum(anew) OVER (PARTITION BY trace ORDER BY ts, value) AS life FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY trace, life ORDER BY ts DESC, value DESC) AS back, max(life) OVER (PARTITION BY trace) AS newest, max(ts) OVER (PARTITION BY trace, life) AS latest, max(ts) OVER () AS now FROM g)
+SELECT trace, row_number() OVER (PARTITION BY trace, life ORDER BY back DESC) - 1 AS place, ts, value FROM b WHERE back <= 4 AND (life < newest OR date_trunc('millisecond', latest) + INTERVAL 6 HOUR <= date_trunc('millisecond', now))"""
+)
+def stream_expiring(spark, sf_dir):
+    """The last four samples of each time a user was there, until idle for six hours."""
+    events = live.read_live(spark, sf_dir, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string", "events.parquet")
+    path = scratch(spark)
+    live.run_updates(live.expiring(events.select(F.col("user_id").cast("string").alias("trace"), "ts", "value"), 4, 6 * 3600), ["trace"], f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").where("over").select("trace", "place", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@query(
+    f"""{S}, x AS (SELECT trace, idx, value AS y, lag(value) OVER w AS x1, lag(value, 2) OVER w AS x2 FROM s WINDOW w AS (PARTITION BY trace ORDER BY idx)),
+b AS (SELECT trace, idx // 256 AS block, count(*) AS n, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x1) AS c, sum(x2 * x2) AS d, sum(x2) AS e, sum(x1 * y) AS p, sum(x2 * y) AS q, sum(y) AS r FROM x WHERE x2 IS NOT NULL GROUP BY trace, idx // 256),
+u AS (SELECT trace, block, sum(n) OVER o AS n, sum(a) OVER o AS a, sum(b) OVER o AS b, sum(c) OVER o AS c, sum(d) OVER o AS d, sum(e) OVER o AS e, sum(p) OVER o AS p, sum(q) OVER o AS q, sum(r) OVER o AS r FROM b WINDOW o AS (PARTITION BY trace ORDER BY block)),
+t AS (SELECT *, a * (d * n - e * e) - b * (b * n - e * c) + c * (b * e - d * c) AS det FROM u)
+SELECT trace, block, n::BIGINT AS n, round((p * (d * n - e * e) - b * (q * n - e * r) + c * (q * e - d * r)) / det, 6) AS w1, round((a * (q * n - e * r) - p * (b * n - e * c) + c * (b * r - q * c)) / det, 6) AS w2, round((a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det, 6) AS w0 FROM t"""
+)
+def online_fit(spark, sf_dir):
+    """Each sample from the two before it: the weights after every 256 samples."""
+    near = framed(event_samples(spark, sf_dir), 2, 0, {"held": lambda w: F.collect_list("value").over(w)})
+    rows = near.where(F.size("held") == 3).select("trace", "idx", "value", F.col("held")[1].alias("x1"), F.col("held")[0].alias("x2"), F.lit(1.0).alias("one"))
+    fit = sequential.online_fit(rows, ["x1", "x2", "one"], "value", 256)
+    return fit.select("trace", "block", "n", *[r(F.col("weights")[i]).alias(c) for i, c in enumerate(("w1", "w2", "w0"))])

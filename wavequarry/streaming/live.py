@@ -100,6 +100,43 @@ def recent(stream: DataFrame, age: float) -> DataFrame:
     return stream.groupBy("trace").applyInPandasWithState(step, "trace string, place long, t double, value double", "t array<double>, value array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
+def expiring(stream: DataFrame, length: int, idle: float) -> DataFrame:
+    """The last `length` samples of live traces, which end when they have been idle: trace, place (0 is the oldest), ts, value, over.
+
+    stream has trace, ts and value. After each batch a trace shows what it holds. Once the latest time heard of any trace is
+    `idle` seconds past a trace's own latest, it is shown a last time, with over, and its state is dropped; samples that come
+    later begin it anew, also where both come in one batch, which is sorted a trace. So state is bounded by the traces that are
+    alive, however many there have been.
+    """
+
+    def shown(name: str, t: np.ndarray, x: np.ndarray, over: bool) -> pd.DataFrame:
+        return pd.DataFrame({"trace": pd.Series([name] * len(t), dtype=object), "place": np.arange(len(t)), "us": t.astype(np.int64), "value": x, "over": np.full(len(t), over)})
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t, x = (np.array(v) for v in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        if state.hasTimedOut:
+            state.remove()
+            yield shown(key[0], t, x, True)
+            return
+        more = [f for f in frames if len(f)]
+        t, x = np.concatenate([t, *[f["us"].to_numpy() for f in more]]), np.concatenate([x, *[f["value"].to_numpy() for f in more]])
+        order = np.lexsort((x, t))
+        t, x = t[order], x[order]
+        ends = np.flatnonzero(np.diff(t) > idle * 1e6) + 1  # idle between two batches, or within one
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            yield shown(key[0], t[a:b][-length:], x[a:b][-length:], True)
+        if len(ends):
+            t, x = t[ends[-1] :], x[ends[-1] :]
+        t, x = t[-length:], x[-length:]
+        state.update((t.tolist(), x.tolist()))
+        state.setTimeoutTimestamp(max(int(t[-1]) // 1000 + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+        yield shown(key[0], t, x, False)
+
+    heard = stream.select("trace", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", "0 seconds").withColumn("us", F.unix_micros("ts"))
+    rows = heard.groupBy("trace").applyInPandasWithState(step, "trace string, place long, us long, value double, over boolean", "us array<bigint>, value array<double>", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("trace", "place", F.timestamp_micros("us").alias("ts"), "value", "over")
+
+
 def recursive(stream: DataFrame, advance: Callable[[list[float], np.ndarray], tuple[np.ndarray, list[float]]]) -> DataFrame:
     """A filter that goes on from batch to batch: advance(state, values) returns the outputs and the new state; the state is [] at first."""
 
