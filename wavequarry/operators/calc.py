@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BLOCK, running_sum
-from ..session import few
+from ..session import few, written
 from . import lookup, spectral, windows
 
 
@@ -114,7 +114,7 @@ def poly_filtered(s: DataFrame, order: int = 5) -> DataFrame:
     with the values; a small system of equations a trace; then each sample is worked out from its trace's coefficients. A trace
     with fewer samples than coefficients gets the smallest solution, which meets its samples.
     """
-    n = s.groupBy("trace").agg(F.max("idx").alias("top"))
+    n = written(s.groupBy("trace").agg(F.max("idx").alias("top")), "poly_lengths")
     rows = s.join(F.broadcast(n) if few(n) else n, "trace").withColumn("u", F.when(F.col("top") == 0, 0.0).otherwise(2.0 * F.col("idx") / F.col("top") - 1.0))
     basis = lambda u: [F.lit(1.0), u] + [F.cos(k * F.acos(F.greatest(F.least(u, F.lit(1.0)), F.lit(-1.0)))) for k in range(2, order + 1)]
     t = basis(F.col("u"))[: order + 1]
@@ -128,7 +128,7 @@ def poly_filtered(s: DataFrame, order: int = 5) -> DataFrame:
             x = [np.linalg.lstsq((v := a.values.to_numpy())[: size * size].reshape(size, size), v[size * size :], rcond=1e-12)[0] for a in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tolist() for c in x], pa.list_(pa.float64()))], names=["trace", "c"])
 
-    fits = packed.mapInArrow(solve, "trace string, c array<double>")
+    fits = written(packed.mapInArrow(solve, "trace string, c array<double>"), "poly_fits")
     out = t[0] * F.col("c")[0]
     for k in range(1, size):
         out = out + t[k] * F.col("c")[k]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import BLOCK, blocks, lagged_time
-from ..session import few
+from ..session import few, written
 
 
 def as_of(s: DataFrame, queries: DataFrame, width: float, strict: bool = True) -> DataFrame:
@@ -42,6 +42,7 @@ def at_uniform(s: DataFrame, queries: DataFrame, sps: float, leftmost: float) ->
 def time_slice(s: DataFrame, left: float, right: float) -> DataFrame:
     """Samples with left <= t <= right, and one more on either side: the ends come from one combinable aggregate."""
     ends = s.groupBy("trace").agg(F.max(F.when(F.col("t") < left, F.col("idx"))).alias("lo"), F.min(F.when(F.col("t") > right, F.col("idx"))).alias("hi"))
+    ends = written(ends, "slice_ends")
     ends = F.broadcast(ends) if few(ends) else ends
     return s.join(ends, "trace").where((F.col("lo").isNull() | (F.col("idx") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("idx") <= F.col("hi")))).drop("lo", "hi")
 
