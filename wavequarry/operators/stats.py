@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import BLOCK
 from ..session import few, written
 
 
@@ -37,7 +38,7 @@ def within(x: DataFrame, ranges: DataFrame) -> DataFrame:
     return x.alias("v").join(side, F.col("v.trace") == F.col("m.trace")).where((F.col("v.x") >= F.col("m.lo")) & (F.col("v.x") <= F.col("m.hi")))
 
 
-def middles(s: DataFrame, value: str, bins: int = 4096, small: int = 10_000) -> DataFrame:
+def middles(s: DataFrame, value: str, bins: int = 4096, small: int = BLOCK) -> DataFrame:
     """trace and median: the exact median of a column, NaN and null left out.
 
     Values are counted by bins of even width between the trace's least and greatest, a bin is searched for the middle, and what
@@ -49,7 +50,7 @@ def middles(s: DataFrame, value: str, bins: int = 4096, small: int = 10_000) ->
     ranks = F.array_distinct(F.array(F.expr("(n - 1) DIV 2"), F.expr("n DIV 2")))
     left = written(ends.select("trace", "lo", "hi", "n", F.explode(ranks).alias("rank"), F.lit(0).cast("long").alias("passed")), "medians")
     done = []
-    while not left.isEmpty():
+    while True:
         # Flat ranges are found, short ones ranked; others go on.
         done.append(left.where("lo = hi").select("trace", F.col("lo").alias("x")))
         at = F.col("passed") + F.row_number().over(Window.partitionBy("m.trace", "m.rank").orderBy("v.x")) - 1
@@ -65,8 +66,6 @@ def middles(s: DataFrame, value: str, bins: int = 4096, small: int = 10_000) ->
         upto = F.col("passed") + F.sum("k").over(Window.partitionBy("trace", "rank").orderBy("bin"))
         found = counts.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("k") <= F.col("rank")))
         left = written(found.select("trace", "lo", "hi", F.col("k").alias("n"), "rank", (F.col("upto") - F.col("k")).alias("passed")), "medians")
-    if not done:
-        return ends.select("trace", F.lit(None).cast("double").alias("median"))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)

@@ -170,7 +170,11 @@ def fir_centred(spark, sf_dir):
     return out(windows.centred_fir(event_samples(spark, sf_dir), TAPS))
 
 
-@query(fir_sql(windows.savgol_kernel(5, 2)))
+#: The parabola through five samples at its middle, by the normal equations: the sums of x ** 2 and x ** 4 over -2 to 2 are 10 and 34.
+PARABOLA = [(34 - 10 * x * x) / (5 * 34 - 10 * 10) for x in range(-2, 3)]
+
+
+@query(fir_sql(PARABOLA))
 def savitzky_golay(spark, sf_dir):
     return out(windows.savitzky_golay(event_samples(spark, sf_dir), 5, 2))
 
@@ -382,7 +386,7 @@ def calc_fir(spark, sf_dir):
 def named_filters(spark, sf_dir):
     s, parts = event_samples(spark, sf_dir).select("trace", "idx", "value"), None
     for name in ("Box 10", "Delay 5", "Lpf 0.1", "Hpf 0.1", "Notch 0.1", "SG 10/3", "RMS 100", "A 48k", "Bessel"):
-        p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", r("out", 4 if name == "Bessel" else 9).alias("out"))
+        p = registry.filtered(s, name).select(F.lit(name).alias("filter"), "trace", "idx", (r("out", {"Bessel": 4, "SG 10/3": 9}.get(name, 6)) + F.lit(0.0)).alias("out"))
         parts = p if parts is None else parts.unionByName(p)
     return parts
 

@@ -40,21 +40,37 @@ UNION ALL SELECT trace, idx, {x}, {wanted} FROM (SELECT q.trace, q.idx, {", ".jo
 IIR = f"{RECURSIVE}, q AS MATERIALIZED (SELECT trace, idx, value FROM s), {bessel('z')} SELECT trace, idx, round(out, 4) AS out FROM z WHERE idx >= 0"
 
 
+def weighting_sql(kind: str, hz: str) -> str:
+    """Share of a frequency, by the four (A) or two (C) pole frequencies of the standard, over that of 1 kHz."""
+
+    def raw(f2: str) -> str:
+        ends = f"({f2} * 12194.0 * 12194.0 / (({f2} + 20.6 * 20.6) * ({f2} + 12194.0 * 12194.0)))"
+        return f"{ends} * {f2} / sqrt(({f2} + 107.7 * 107.7) * ({f2} + 737.9 * 737.9))" if kind == "A" else ends
+
+    return f"({raw(f'({hz} * {hz})::DOUBLE')}) / ({raw('1000000::DOUBLE')})"
+
+
+#: Taps by their formulas: means, delays, windowed sincs and what they leave, a weighting's impulse answer, a cubic at its middle.
+TAPS_SQL = f"""k AS (SELECT unnest(range(63)) AS k),
+lp AS (SELECT cut, k, h / sum(h) OVER (PARTITION BY cut) AS h FROM (SELECT cut, k, CASE WHEN k = 31 THEN 2 * cut ELSE sin(2 * pi() * cut * (k - 31)) / (pi() * (k - 31)) END * (0.54 - 0.46 * cos(2 * pi() * k / 62)) AS h FROM k, (SELECT unnest([0.1, 0.08, 0.12]::DOUBLE[]) AS cut))),
+aw AS (SELECT b, {weighting_sql("A", "(b * 375.0)")} AS g FROM (SELECT unnest(range(65)) AS b)),
+sg AS (SELECT k, x, sum(x * x) OVER () AS m2, sum(x * x * x * x) OVER () AS m4 FROM (SELECT k, (k - 4.5)::DOUBLE AS x FROM k WHERE k < 10)),
+taps AS (SELECT 'Box 10' AS filter, k - 4 AS ahead, 5 AS half, 0.1::DOUBLE AS tap FROM k WHERE k < 10
+UNION ALL SELECT 'Delay 5', k - 2, 3, CASE WHEN k = 0 THEN 1 ELSE 0 END::DOUBLE FROM k WHERE k < 6
+UNION ALL SELECT 'Lpf 0.1', k - 31, 31, h FROM lp WHERE cut = 0.1
+UNION ALL SELECT 'Hpf 0.1', k - 31, 31, CASE WHEN k = 31 THEN 1 ELSE 0 END - h FROM lp WHERE cut = 0.1
+UNION ALL SELECT 'Notch 0.1', k - 31, 31, a.h + CASE WHEN k = 31 THEN 1 ELSE 0 END - b.h FROM lp a JOIN lp b USING (k) WHERE a.cut = 0.08 AND b.cut = 0.12
+UNION ALL SELECT 'A 48k', j - 31, 32, sum(g * CASE WHEN b IN (0, 64) THEN 1 ELSE 2 END * cos(2 * pi() * b * (j - 32) / 128)) / 128 FROM aw, (SELECT unnest(range(64)) AS j) GROUP BY j
+UNION ALL SELECT 'SG 10/3', k - 9, 0, (m4 - m2 * x * x) / (10 * m4 - m2 * m2) FROM sg)"""
+
+
 def _named_filters() -> str:
-    rows = []
-    for name in ("Box 10", "Delay 5", "Lpf 0.1", "Hpf 0.1", "Notch 0.1", "A 48k", "SG 10/3"):
-        if name == "SG 10/3":
-            taps, half = windows.savgol_kernel(10, 3), 0
-        else:
-            taps = registry.TAPS[name] if name in registry.TAPS else registry.weighting_taps("A", 48000.0, 64)
-            half = len(taps) // 2
-        rows += [f"('{name}', {k - (len(taps) - 1 - half)}, {half}, {t!r}::DOUBLE)" for k, t in enumerate(taps)]
-    return f"""{RECURSIVE}, q AS MATERIALIZED (SELECT trace, idx, value, count(*) OVER (PARTITION BY trace) AS n FROM s), taps AS (SELECT * FROM (VALUES {", ".join(rows)}) AS v(filter, ahead, half, tap)),
+    return f"""{RECURSIVE}, q AS MATERIALIZED (SELECT trace, idx, value, count(*) OVER (PARTITION BY trace) AS n FROM s), {TAPS_SQL},
 fir AS (SELECT filter, a.trace, a.idx, sum(tap * b.value) AS out, any_value(a.n) AS n, any_value(half) AS half FROM (SELECT q.*, taps.*, greatest(0, least(n - 1, idx + ahead)) AS place FROM q, taps) a JOIN q b ON b.trace = a.trace AND b.idx = a.place GROUP BY ALL),
 {bessel("z")}
-SELECT filter, trace, idx, round(CASE WHEN n >= half THEN out ELSE 0 END, 9) AS out FROM fir
-UNION ALL SELECT 'RMS 100', trace, idx, round(sqrt({primed("value * value", 100)}), 9) FROM s
-UNION ALL SELECT 'Bessel', trace, idx, round(out, 4) FROM z WHERE idx >= 0"""
+SELECT filter, trace, idx, CASE WHEN filter LIKE 'SG%' THEN round(o, 9) ELSE round(o, 6) END + 0.0 AS out FROM (SELECT *, CASE WHEN n >= half THEN out ELSE 0 END AS o FROM fir)
+UNION ALL SELECT 'RMS 100', trace, idx, round(sqrt({primed("value * value", 100)}), 6) FROM s
+UNION ALL SELECT 'Bessel', trace, idx, round(out, 4) + 0.0 FROM z WHERE idx >= 0"""
 
 
 DOT = "list_sum(list_transform(list_zip({}, {}), lambda p: p[1] * p[2]))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..model import event_samples
 from ..operators import pyramid, spectral, transform
 from .catalog import ORACLE_SQL, S, query, r, table
+from .catalog_sql import weighting_sql
 from .grid import connected, connected_to
 
 #: Whole transforms by their definition; places are reduced in whole numbers before they become angles.
@@ -131,21 +132,11 @@ def averaged_analysis(spark, sf_dir):
     return a.select("trace", "frame", *[r(c).alias(c) for c in spectral.FIGURES])
 
 
-def _weighting(kind: str) -> str:
-    """Share of a frequency hz, by the four (A) or two (C) pole frequencies of the standard, over that of 1 kHz."""
-
-    def raw(f2: str) -> str:
-        ends = f"({f2} * 12194.0 * 12194.0 / (({f2} + 20.6 * 20.6) * ({f2} + 12194.0 * 12194.0)))"
-        return f"{ends} * {f2} / sqrt(({f2} + 107.7 * 107.7) * ({f2} + 737.9 * 737.9))" if kind == "A" else ends
-
-    return f"({raw('(hz * hz)::DOUBLE')}) / ({raw('1000000::DOUBLE')})"
-
-
 ORACLE_SQL["spectrum_analysis"] = f"""{AVERAGED[: AVERAGED.index('a AS (SELECT')]}a AS (SELECT trace, frame, k, m FROM z), {STEPS},
 x AS (SELECT trace, idx // 128 AS frame, idx % 128 AS i, value, avg(value) OVER y AS dc, count(*) OVER y AS n FROM s WINDOW y AS (PARTITION BY trace, idx // 128)),
 e AS (SELECT trace, frame, any_value(dc) AS dc, max(abs(value - dc)) AS peak, sqrt(avg((value - dc) * (value - dc))) AS rms FROM x WHERE n = 128 GROUP BY trace, frame),
 y AS (SELECT trace, frame, k, k * 7.8125 AS hz, (power(sum(value * cos(2 * pi() * ((i * k) % 128) / 128)), 2) + power(sum(value * sin(2 * pi() * ((i * k) % 128) / 128)), 2)) / 16384 * CASE WHEN k = 64 THEN 1 ELSE 2 END AS power FROM x, (SELECT unnest(range(1, 65)) AS k) WHERE n = 128 GROUP BY trace, frame, k),
-v AS (SELECT trace, frame, sqrt(sum(power * power(({_weighting("A")}), 2))) AS rms_a, sqrt(sum(power * power(({_weighting("C")}), 2))) AS rms_c FROM y GROUP BY trace, frame)
+v AS (SELECT trace, frame, sqrt(sum(power * power(({weighting_sql("A", "hz")}), 2))) AS rms_a, sqrt(sum(power * power(({weighting_sql("C", "hz")}), 2))) AS rms_c FROM y GROUP BY trace, frame)
 SELECT trace, frame, round(dc, 9) AS dc, round(peak, 9) AS peak, round(rms, 6) AS rms, round(20 * log10(rms), 6) AS dbfs, round(20 * log10(rms_a), 6) AS dbfs_a, round(20 * log10(rms_c), 6) AS dbfs_c, round(peak / rms, 6) AS crest,
 {TONE.replace("round(10 * log10(coalesce(harmonic, 0) / power), 6) AS thd_db", "CASE WHEN harmonic > 0 THEN round(10 * log10(harmonic / power), 6) ELSE '-inf'::DOUBLE END AS thd_db")} FROM e JOIN v USING (trace, frame) JOIN c USING (trace, frame) JOIN q USING (trace, frame) LEFT JOIN g USING (trace, frame)"""
 
