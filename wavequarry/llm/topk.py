@@ -90,7 +90,9 @@ def top_k(vectors: DataFrame, queries: Column, *, vec_id: str = "vec_id", vec: s
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), q.alias("v"), queries.alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     n, n_queries = vectors.agg(F.count("*"), F.count(F.when(queries, 1))).first()
     n_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-    at = F.xxhash64(F.monotonically_increasing_id())
+    # The place is fixed before rows are copied, so that a row's copies keep to its block.
+    rows = rows.withColumn("at", F.xxhash64(F.monotonically_increasing_id()))
+    at = F.col("at")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     candidates = rows.select("vec_id", "v", F.pmod(at, F.lit(n_blocks)).cast("int").alias("block"), every(q_blocks).alias("of"))
     asked = rows.where("is_query").select("vec_id", "v", every(n_blocks).alias("block"), F.pmod(at, F.lit(q_blocks)).cast("int").alias("of"))
