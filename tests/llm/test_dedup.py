@@ -58,3 +58,20 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, text), (1, text), (2, text + " end"), (3, ""), (3, ""), (None, text), (None, text), (1, ""), (4, "alone"), (4, "alone")]
     kept = sorted(((r[0] is not None, r[0] or 0, r[1]) for r in dedup.drop_near_duplicates(frame(spark, rows)).collect()))
     assert kept == sorted([(False, 0, text), (False, 0, text), (True, 1, text), (True, 1, ""), (True, 3, ""), (True, 3, ""), (True, 4, "alone")])
+
+
+def test_only_links_leave_the_last_comparison(spark, monkeypatch):
+    """Short texts that share buckets but aren't alike enough: no pair of them, however many there are, comes out of the join."""
+    common = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join([*common, *(f"x{i}y{j}" for j in range(3))])) for i in range(24)]
+    sizes, written = {}, dedup.written
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "written", counted)
+    got = dedup.near_duplicates(frame(spark, rows), k=4).collect()
+    assert sizes["dedup_2_open"] > 24 and sizes["dedup_across"] == 0
+    assert all(r["kept"] for r in got)

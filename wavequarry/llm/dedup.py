@@ -138,16 +138,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
 
-def short_sets(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id and set, the shingles as hashes of 32 bits."""
+def whole_sets(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id and set, the shingles as hashes of 64 bits, as confirmed() compares them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [(shingles(t.as_py(), k, words) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "set": pa.array(sets, pa.list_(pa.int32()))})
+            sets = [shingles(t.as_py(), k, words).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "set": pa.array(sets, pa.list_(pa.int64()))})
+        tidy()
 
-    return texts.select("doc_id", "data").mapInArrow(scan, "doc_id long, set array<int>")
+    return texts.select("doc_id", "data").mapInArrow(scan, "doc_id long, set array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -236,24 +237,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     pairs = open_1.join(picked, "key").where(F.col("root") != F.col("p.root")).select(F.col("doc_id").alias("a"), F.col("p.id").alias("b"))
     links = written(links.unionByName(confirmed(likely(pairs), texts, k, percent)), "dedup_links")
     open_2 = unresolved(links, "dedup_2")
-    sets = written(short_sets(texts.join(open_2.select("doc_id").distinct(), "doc_id"), k), "dedup_sets")
+    sets = written(whole_sets(texts.join(open_2.select("doc_id").distinct(), "doc_id"), k), "dedup_sets")
     # Each bucket's largest component meets the members outside it, not itself.
     roots_of = open_2.groupBy("key", "root").agg(F.count("*").alias("members"))
     top = written(roots_of.groupBy("key").agg(F.max(F.struct("members", "root")).alias("m")).select("key", F.col("m.root").alias("top")), "dedup_top")
     open_2 = open_2.join(top, "key").join(marks, "doc_id").join(sets, "doc_id")
     x, y = open_2.where("root <> top").alias("x"), open_2.alias("y")
     first_common = F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())[0]
-    # Hashes of 32 bits can count a shingle too many; and of n shingles n ** 2 / 2 ** 33 fall together on average, for which
-    # four times as many and six more are added, a margin exceeded with a probability under 1e-7. The full sets decide.
     # The intersection stands in the condition once: written twice, it would be worked out ahead of the cheap bounds.
-    smaller = F.least("x.n", "y.n").cast("double")
-    enough = (100 + percent) * (F.size(F.array_intersect("x.set", "y.set")) + 6 + smaller * smaller / float(1 << 31)) >= percent * (F.col("x.n") + F.col("y.n"))
+    enough = (100 + percent) * F.size(F.array_intersect("x.set", "y.set")) >= percent * (F.size("x.set") + F.size("y.set"))
     once = (F.col("y.root") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once
     across = x.join(y, apart & similar("x", "y", percent) & (first_common == F.col("x.key")) & enough)
     last = written(across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "dedup_across")
-    links = links.unionByName(confirmed(last, texts, k, percent))
-    roots = components(links, "dedup_3")
+    roots = components(links.unionByName(last), "dedup_3")
     least = written(roots.groupBy("root").agg(F.min("node").alias("least")), "dedup_least")
     named = written(roots.join(least, "root").select("node", "least"), "dedup_components")
     joined = rows.join(named, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep").alias("component_id"))
