@@ -191,3 +191,19 @@ def test_online_fit(spark):
         n = min(300, 64 * (k + 1))
         assert got["t", k]["n"] == n and np.allclose(got["t", k]["weights"], np.linalg.lstsq(x[:n], y[:n], rcond=None)[0], atol=1e-9)
     assert got["flat", 0]["weights"] is None and len(got) == 6
+
+
+def test_batches_are_advanced_in_pieces(spark, tmp_path):
+    """Of a trace's batch a few samples at a time, whatever its size, in order and with the state carried on."""
+    rows = [("a", (i * 37) % 100, float((i * 37) % 100)) for i in range(100)]
+    spark.createDataFrame(rows, "trace string, idx long, value double").coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def total(state, x):
+        assert len(x) <= 8
+        out = np.cumsum(x) + (state[0] if state else 0.0)
+        return out, [float(out[-1])]
+
+    stream = live.read_live(spark, f"{tmp_path}/in", "trace string, idx long, value double")
+    live.run(live.recursive(stream, total, 8), "append", f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r["idx"], r["out"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(i, i * (i + 1) / 2) for i in range(100)]

@@ -137,14 +137,27 @@ def expiring(stream: DataFrame, length: int, idle: float) -> DataFrame:
     return rows.select("trace", "place", F.timestamp_micros("us").alias("ts"), "value", "over")
 
 
-def recursive(stream: DataFrame, advance: Callable[[list[float], np.ndarray], tuple[np.ndarray, list[float]]]) -> DataFrame:
-    """A filter that goes on from batch to batch: advance(state, values) returns the outputs and the new state; the state is [] at first."""
+#: Samples of a batch that recursive() advances by at a time.
+CHUNK = 1 << 16
+
+
+def recursive(stream: DataFrame, advance: Callable[[list[float], np.ndarray], tuple[np.ndarray, list[float]]], chunk: int = CHUNK) -> DataFrame:
+    """A filter that goes on from batch to batch: advance(state, values) returns the outputs and the new state; the state is [] at first.
+
+    Of a batch, a trace's places and values alone are held, as numbers; they are sorted once and advanced by `chunk` at a time.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("idx")
-        out, after = advance(list(state.get[0]) if state.exists else [], rows["value"].to_numpy())
-        state.update(([float(v) for v in after],))
-        yield pd.DataFrame({"trace": key[0], "idx": rows["idx"].to_numpy(), "value": rows["value"].to_numpy(), "out": out})
+        parts = [(f["idx"].to_numpy(np.int64, copy=True), f["value"].to_numpy(np.float64, copy=True)) for f in frames]
+        idx, x = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        del parts
+        order = np.argsort(idx, kind="stable")
+        at = list(state.get[0]) if state.exists else []
+        for a in range(0, len(order), chunk):
+            some = order[a : a + chunk]
+            out, at = advance(list(at), x[some])
+            yield pd.DataFrame({"trace": key[0], "idx": idx[some], "value": x[some], "out": out})
+        state.update(([float(v) for v in at],))
 
     return stream.groupBy("trace").applyInPandasWithState(step, "trace string, idx long, value double, out double", "state array<double>", "append", GroupStateTimeout.NoTimeout)
 
