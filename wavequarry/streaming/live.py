@@ -109,28 +109,28 @@ def expiring(stream: DataFrame, length: int, idle: float) -> DataFrame:
     alive, however many there have been.
     """
 
-    def shown(name: str, t: np.ndarray, x: np.ndarray, over: bool) -> pd.DataFrame:
-        return pd.DataFrame({"trace": pd.Series([name] * len(t), dtype=object), "place": np.arange(len(t)), "us": t.astype(np.int64), "value": x, "over": np.full(len(t), over)})
+    def shown(name: str, t: np.ndarray, x: np.ndarray, place: np.ndarray, over: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"trace": pd.Series([name] * len(t), dtype=object), "place": place, "us": t.astype(np.int64), "value": x, "over": over})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         t, x = (np.array(v) for v in state.get) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
         if state.hasTimedOut:
             state.remove()
-            yield shown(key[0], t, x, True)
+            yield shown(key[0], t, x, np.arange(len(t)), np.full(len(t), True))
             return
         more = [f for f in frames if len(f)]
         t, x = np.concatenate([t, *[f["us"].to_numpy() for f in more]]), np.concatenate([x, *[f["value"].to_numpy() for f in more]])
         order = np.lexsort((x, t))
         t, x = t[order], x[order]
-        ends = np.flatnonzero(np.diff(t) > idle * 1e6) + 1  # idle between two batches, or within one
-        for a, b in zip([0, *ends.tolist()], ends.tolist()):
-            yield shown(key[0], t[a:b][-length:], x[a:b][-length:], True)
-        if len(ends):
-            t, x = t[ends[-1] :], x[ends[-1] :]
-        t, x = t[-length:], x[-length:]
-        state.update((t.tolist(), x.tolist()))
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(t) > idle * 1e6) + 1])  # idle between two batches, or within one
+        sizes = np.diff([*begins, len(t)])
+        # All lives that the batch shows are one frame: a frame each takes far longer than the samples.
+        place = np.arange(len(t)) - np.repeat(begins + np.maximum(sizes - length, 0), sizes)
+        kept = place >= 0
+        t, x, place, last = t[kept], x[kept], place[kept], np.arange(len(kept))[kept] >= begins[-1]
+        state.update((t[last].tolist(), x[last].tolist()))
         state.setTimeoutTimestamp(max(int(t[-1]) // 1000 + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
-        yield shown(key[0], t, x, False)
+        yield shown(key[0], t, x, place, ~last)
 
     heard = stream.select("trace", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", "0 seconds").withColumn("us", F.unix_micros("ts"))
     rows = heard.groupBy("trace").applyInPandasWithState(step, "trace string, place long, us long, value double, over boolean", "us array<bigint>, value array<double>", "update", GroupStateTimeout.EventTimeTimeout)
