@@ -193,6 +193,14 @@ def test_online_fit(spark):
     assert got["flat", 0]["weights"] is None and len(got) == 6
 
 
+def test_short_runs_share_a_task(spark, tmp_path):
+    """A thousand runs of ten frames aren't a thousand tasks."""
+    (tmp_path / "x.raw").write_bytes(np.arange(10_000, dtype="<f8").tobytes())
+    got = rawsource.read_samples(spark, str(tmp_path), "f64", frames=10)
+    assert got.rdd.getNumPartitions() < 10
+    assert sorted((r["idx"], r["value"]) for r in got.collect()) == [(i, float(i)) for i in range(10_000)]
+
+
 def test_batches_are_advanced_in_pieces(spark, tmp_path):
     """Of a trace's batch a few samples at a time, whatever its size, in order and with the state carried on."""
     rows = [("a", (i * 37) % 100, float((i * 37) % 100)) for i in range(100)]

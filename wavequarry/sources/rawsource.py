@@ -28,6 +28,8 @@ RAW = {"u8": "u1", "i16": "<i2", "i32": "<i4", "f32": "<f4", "f64": "<f8", "bits
 LISTED = "_files"
 #: Frames read at a time.
 FRAMES = 1 << 15
+#: Frames of short runs that go to one task: a task takes far longer to begin than to read a few thousand.
+TOGETHER = 1 << 19
 
 
 @dataclass
@@ -48,11 +50,20 @@ class Layout:
         return self.channels * (3 if self.kind == "pcm24" else np.dtype(RAW.get(self.kind, self.kind)).itemsize)
 
 
-class Frames(InputPartition):
+@dataclass
+class Frames:
     """Frames from first up to stop of a file."""
 
-    def __init__(self, layout: Layout, first: int, stop: int):
-        self.layout, self.first, self.stop = layout, first, stop
+    layout: Layout
+    first: int
+    stop: int
+
+
+class Runs(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, runs: list[Frames]):
+        self.runs = runs
 
 
 def wav_layout(f, path: str, size: int) -> Layout:
@@ -127,21 +138,35 @@ class SampleReader(DataSourceReader):
         return out
 
     def partitions(self) -> list[InputPartition]:
-        return [Frames(x, a, min(a + self.run, x.frames)) for x in self.layouts() for a in range(0, x.frames, self.run)]
+        """Runs of frames, short ones dealt together; runs that follow one another in a file are one."""
+        out: list[Runs] = []
+        held = 0
+        for x in self.layouts():
+            for a in range(0, x.frames, self.run):
+                b = min(a + self.run, x.frames)
+                if not out or held + b - a > TOGETHER:
+                    out.append(Runs([]))
+                    held = 0
+                held += b - a
+                runs = out[-1].runs
+                if runs and runs[-1].layout is x:
+                    runs[-1].stop = b
+                else:
+                    runs.append(Frames(x, a, b))
+        return out
 
-    def read(self, partition: Frames | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # no frames at all
-            return
-        x = partition.layout
+    def read(self, partition: Runs | None) -> Iterator[pa.RecordBatch]:
         system, _ = _at(self.path)
-        with system.open_input_file(x.path) as f:
-            for a in range(partition.first, partition.stop, FRAMES):
-                n = min(FRAMES, partition.stop - a)
-                f.seek(x.start + a * x.width)
-                v = values_of(f.read(n * x.width), x, self.kind == "wav")
-                for c in range(v.shape[1]):
-                    name = f"{x.trace} bit {c}" if x.kind == "bits" else f"{x.trace}:{c}" if self.kind == "wav" or x.channels > 1 else x.trace
-                    yield pa.RecordBatch.from_pydict({"trace": pa.array([name] * n), "idx": pa.array(np.arange(x.place + a, x.place + a + n)), "value": pa.array(np.ascontiguousarray(v[:, c])), "sps": pa.array([x.sps] * n, pa.float64())})
+        for part in partition.runs if partition else []:  # none: no frames at all
+            x = part.layout
+            with system.open_input_file(x.path) as f:
+                for a in range(part.first, part.stop, FRAMES):
+                    n = min(FRAMES, part.stop - a)
+                    f.seek(x.start + a * x.width)
+                    v = values_of(f.read(n * x.width), x, self.kind == "wav")
+                    for c in range(v.shape[1]):
+                        name = f"{x.trace} bit {c}" if x.kind == "bits" else f"{x.trace}:{c}" if self.kind == "wav" or x.channels > 1 else x.trace
+                        yield pa.RecordBatch.from_pydict({"trace": pa.array([name] * n), "idx": pa.array(np.arange(x.place + a, x.place + a + n)), "value": pa.array(np.ascontiguousarray(v[:, c])), "sps": pa.array([x.sps] * n, pa.float64())})
 
 
 @dataclass
