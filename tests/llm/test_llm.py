@@ -244,6 +244,23 @@ def test_toxicity_learns_from_bounded_rows(spark, monkeypatch):
     assert all((tuple(seen["buckets"][d[0]]) == toxicity.parts("vile")) == t for d, t in zip(seen["docs"], seen["toxic"]) if len(d))
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """A word that only texts beyond the first 1,200 toxic ones by hash have counts like any other."""
+    ids = [r[0] for r in spark.range(1700).orderBy(F.xxhash64(F.lit(3), "id")).collect()]
+    late, toxic = set(ids[1300:1500]), set(ids[:1500])
+    rng = random.Random(5)
+    rows = []
+    for i in range(1700):
+        words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(20)]
+        words[rng.randrange(20)] = "grimword" if i in late else "vileterm" if i in toxic else "plain"
+        rows.append((i, " ".join(words), "a"))
+    df = docs_of(spark, rows)
+    net = toxicity.fit_toxicity(df, spark.createDataFrame([(i, int(i in toxic)) for i in range(1700)], "doc_id long, toxic int"))
+    new = docs_of(spark, [(1, "wab wcd wef wgh grimword wij wkl wmn", "a"), (2, "wab wcd wef wgh wij wkl wmn plain", "a")])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(new, net).collect()}
+    assert net.table[toxicity.parts("grimword")[0], 0] > 0.2 and got[1] > got[2] + 0.2
+
+
 def test_toxicity_trains_embeddings_and_tells_languages():
     rng = random.Random(17)
     vocabulary = [[f"{stem}{a}{b}" for a in "abcdefghij" for b in "klmnop"] for stem in ("th", "ge", "lo")]
