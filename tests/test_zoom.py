@@ -60,6 +60,16 @@ def test_whole_filter(spark, data):
     assert transform.whole_spectrum(samples(spark, data).limit(0)).collect() == []
 
 
+def test_a_range_is_two_runs_a_level(spark):
+    """So the work of a range doesn't grow with the fan; null is left out, NaN is the greatest."""
+    ranges = spark.createDataFrame([(0, "t", 1, 359), (1, "t", 3, 4), (2, "t", 15, 17)], "k long, trace string, lo long, hi long")
+    assert [r["count"] for r in pyramid.runs(ranges, 2, 16).groupBy("k").count().orderBy("k").collect()] == [4, 1, 2]
+    rows = spark.createDataFrame([("t", i, v) for i, v in enumerate([None, 1.0, float("nan"), 3.0, None])], "trace string, idx long, value double")
+    asked = spark.createDataFrame([(0, "t", 0, 2), (1, "t", 2, 4), (2, "t", 4, 5), (3, "t", 3, 5)], "k long, trace string, lo long, hi long")
+    got = {r["k"]: (r["n"], r["low"], str(r["high"]), str(r["total"])) for r in pyramid.range_stats(pyramid.pyramid(rows, 4), asked, ["k"], 4).collect()}
+    assert got == {0: (2, 1.0, "1.0", "1.0"), 1: (2, 3.0, "nan", "nan"), 2: (1, None, "None", "None"), 3: (2, 3.0, "3.0", "3.0")}
+
+
 @pytest.mark.parametrize("fan", [2, 3, 16])
 def test_range_stats(spark, data, fan):
     s = samples(spark, data)
