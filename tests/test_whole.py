@@ -86,6 +86,13 @@ def test_named_filters_take_every_sample(spark, events, monkeypatch):
         assert min(np.abs(box - s).max() for s in sums) < 2e-6
 
 
+@tables
+def test_named_filters_do_not_share_a_stage(spark):
+    """What is returned only reads the filters' results; no sorts of several filters are left to one stage."""
+    plan = catalog.QUERIES["named_filters"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+
+
 # Vectors
 
 
