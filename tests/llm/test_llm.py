@@ -261,6 +261,30 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
     assert net.table[toxicity.parts("grimword")[0], 0] > 0.2 and got[1] > got[2] + 0.2
 
 
+def test_toxicity_makes_few_vectors_and_shuffles_labelled_texts(spark):
+    """A vector a core, not a vector a part of the rows; and the filter before the join loses and doubles no labelled text."""
+    rows = spark.range(300).select("id", F.lit(True).alias("toxic"), F.lit(b"").alias("words"), F.lit(b"").alias("buckets"), F.lit(True).alias("half")).repartition(100)
+
+    def fill(v, each):
+        v += [1, sum(len(s.docs) for s in each)]
+
+    made, met = toxicity.summed(rows, 2, fill)
+    assert made <= max(16, spark.sparkContext.defaultParallelism) and met == 300
+    known = spark.range(0, 60_000, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    got = toxicity.labelled(docs.unionByName(docs.limit(10)), known)
+    assert got.count() == 6667 + 4 and got.where("doc_id % 3 != 0 OR toxic != doc_id % 2").count() == 0
+    assert toxicity.labelled(docs, known.limit(0)).count() == 0
+
+
+def test_toxicity_words_and_parts_are_those_of_the_pattern():
+    odd = ["", "ΑΣ.Β ΣΑΣ'Σ", "a’b—c d ß ﬁ İstanbul x_y 12½ ²a", "tab\tnl\x0b\x1c\x1f\x85z\xa0w", "日本語、テスト😀emoji", None, "éa Überraschung", "\ud800x y"]
+    for text in odd + [t for _, t, _ in ODD]:
+        words = toxicity.words_of(text)
+        assert [w.decode("utf-8", "surrogatepass") for w in words] == toxicity.WORD.findall((text or "").lower())
+        assert [tuple(np.frombuffer(toxicity.packed_parts(w), np.uint16)) for w in words] == [toxicity.parts(w.decode("utf-8", "surrogatepass")) for w in words]
+
+
 def test_toxicity_trains_embeddings_and_tells_languages():
     rng = random.Random(17)
     vocabulary = [[f"{stem}{a}{b}" for a in "abcdefghij" for b in "klmnop"] for stem in ("th", "ge", "lo")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -30,9 +31,34 @@ def parts(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (word, *(f"<{k}{word[:k]}" for k in (3, 4, 5, 6, 7)), f"{word[-4:]}>"))
 
 
-@functools.lru_cache(100_000)
-def packed_parts(word: str) -> bytes:
-    return np.array(parts(word), np.uint16).tobytes()
+#: Checksums of what stands before a word's beginning of 3 to 7 letters.
+FROM = tuple(zlib.crc32(f"<{k}".encode()) for k in (3, 4, 5, 6, 7))
+SEVEN, LOW = struct.Struct("=7H"), BUCKETS - 1
+
+
+def packed_parts(word: bytes) -> bytes:
+    """parts() of a word in UTF-8 as numbers of 16 bits: checksums of its beginnings go on from those of what stands before."""
+    crc, (c3, c4, c5, c6, c7) = zlib.crc32, FROM
+    if word.isascii():
+        b3, b4, b5, b6, b7, end = word[:3], word[:4], word[:5], word[:6], word[:7], word[-4:]
+    else:
+        w = word.decode("utf-8", "surrogatepass")
+        b3, b4, b5, b6, b7, end = (x.encode("utf-8", "surrogatepass") for x in (w[:3], w[:4], w[:5], w[:6], w[:7], w[-4:]))
+    return SEVEN.pack(crc(word) & LOW, crc(b3, c3) & LOW, crc(b4, c4) & LOW, crc(b5, c5) & LOW, crc(b6, c6) & LOW, crc(b7, c7) & LOW, crc(b">", crc(end)) & LOW)
+
+
+cached_parts = functools.lru_cache(100_000)(packed_parts)
+
+
+#: Characters beyond ASCII that are in no word, and bytes with a blank for each ASCII character that is in none.
+ODD = re.compile(r"[^\x00-\x7F\w]")
+BLANKED = bytes(i if i > 127 or WORD.fullmatch(chr(i)) else 32 for i in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, lower-cased, in UTF-8: those that WORD finds."""
+    low = (text or "").lower()
+    return (low if low.isascii() else ODD.sub(" ", low)).encode("utf-8", "surrogatepass").translate(BLANKED).split()
 
 
 N_PARTS = 7
@@ -297,9 +323,9 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, whole.num_rows, SIZE):
             batch, at, buckets = whole.slice(a, SIZE), [], []
             for t in batch.column(2):
-                rows: dict[str, int] = {}
-                at.append(np.array([rows.setdefault(w, len(rows)) for w in WORD.findall((t.as_py() or "").lower())], np.int32).tobytes())
-                buckets.append(b"".join(map(packed_parts, rows)))
+                rows = Rows()
+                at.append(np.array([rows[w] for w in words_of(t.as_py())], np.int32).tobytes())
+                buckets.append(b"".join(map(cached_parts, rows)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.binary()), pa.array(buckets, pa.binary())], names=["doc_id", "toxic", "words", "buckets"])
 
 
@@ -328,12 +354,12 @@ def some(batches: Iterator[pa.RecordBatch]) -> Iterator[Some]:
             yield Some(docs, buckets, *(batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("toxic", "half")), firsts)
 
 
-#: Numbers of a vector that one task adds up.
-PIECE = 1 << 13
+#: Numbers of a vector that one task adds up, and tasks that make a vector each where there are fewer cores.
+PIECE, TASKS = 1 << 13, 16
 
 
 def summed(rows: DataFrame, size: int, fill: Callable[[np.ndarray, Iterator[Some]], None]) -> np.ndarray:
-    """The sum of the vectors of `size` numbers that fill() makes of each task's rows. Tasks add up a piece of the vectors each, so the driver gets one vector, however many rows there are."""
+    """The sum of the vectors of `size` numbers that fill() makes of each task's rows. Tasks add up a piece of the vectors each, so the driver gets one vector, and there are as many vectors as cores (TASKS at least), however many rows there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.zeros(size)
@@ -345,7 +371,7 @@ def summed(rows: DataFrame, size: int, fill: Callable[[np.ndarray, Iterator[Some
         total = sum(np.frombuffer(d.as_py(), np.float32).astype(np.float64) for d in t["data"])
         return pa.table({"piece": t["piece"][:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros(size)
+    out, rows = np.zeros(size), rows.coalesce(max(TASKS, rows.sparkSession.sparkContext.defaultParallelism))
     for r in rows.mapInArrow(run, "piece long, data binary").groupBy("piece").applyInArrow(add, "piece long, data binary").collect():
         out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["data"])
     return out
@@ -464,6 +490,20 @@ def fit_whole(rows: DataFrame, seed: int) -> Net:
     return Net(table, way.filters, way.head, tongues, all_cuts(rows, way, tongues))
 
 
+#: Bits of the filter of labelled ids: 512 bitmaps of Spark's 32,768 bits, 2 MB.
+ID_BITS, MAP_BITS = 1 << 24, 1 << 15
+
+
+def labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs joined to known, a row a doc_id. A filter of the known ids drops most other texts where they are read, so that these aren't shuffled."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    number, place = F.floor(at / MAP_BITS), at % MAP_BITS
+    maps = known.groupBy(number.alias("__number")).agg(F.bitmap_construct_agg(place).alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(maps), number == F.col("__number")).where(F.bit_get(byte, (place % 8).cast("int")) == 1)
+    return met.drop("__number", "__map").join(known, "doc_id")
+
+
 #: Without texts of both kinds.
 NOTHING = Net(np.zeros((1, 1 + FREE), np.float32), [], None)
 
@@ -485,7 +525,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     told = ["doc_id", (F.col("toxic") == 1).alias("toxic"), "text"]
     made = "doc_id long, toxic boolean, words binary, buckets binary"
     if most is None:
-        return fit_whole(narrow.where(usable).join(known.where("toxic IN (0, 1)"), "doc_id").select(*told).mapInArrow(word_rows, made), seed)
+        return fit_whole(labelled(narrow.where(usable), known.where("toxic IN (0, 1)")).select(*told).mapInArrow(word_rows, made), seed)
     by_hash = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by_hash).limit(most).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(2 * most))
     rows = narrow.join(F.broadcast(chosen), "doc_id").select(*told).mapInArrow(word_rows, made)
@@ -536,9 +576,9 @@ class Rows(dict):
     """Words numbered as they come; fresh: those that came since it was last emptied."""
 
     def __init__(self):
-        self.fresh: list[str] = []
+        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self)
         self.fresh.append(word)
         return at
@@ -574,7 +614,7 @@ def score_toxicity(docs: DataFrame, net: Net, *, doc_id: str = "doc_id", text: s
         for batch in batches:
             out, docs, at, n = np.zeros(batch.num_rows), [], [], 0
             for i, t in enumerate(batch.column(1)):
-                words = WORD.findall((t.as_py() or "").lower()) if net.head is not None else []
+                words = words_of(t.as_py()) if net.head is not None else []
                 if not words:
                     continue
                 docs.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
