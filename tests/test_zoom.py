@@ -60,6 +60,22 @@ def test_whole_filter(spark, data):
     assert transform.whole_spectrum(samples(spark, data).limit(0)).collect() == []
 
 
+def test_whole_filter_holds_small_blocks_and_plans_once(spark, monkeypatch):
+    """No array that goes out of a task holds over 2^17 values, and the transform isn't run once more to count its rows."""
+    real, plans = transform.tiles, []
+
+    def tiles(trace, plan, start, arrays, width):
+        assert all(a.size <= 1 << 17 for a in arrays)
+        return real(trace, plan, start, arrays, width)
+
+    plan_of = transform.plan_of
+    monkeypatch.setattr(transform, "tiles", tiles)
+    monkeypatch.setattr(transform, "plan_of", lambda z: plans.append(1) or plan_of(z))
+    rows = spark.range(70_000).select(F.lit("t").alias("trace"), F.col("id").alias("idx"), (F.col("id") % 7).cast("double").alias("value"))
+    got = transform.whole_filtered(rows, lambda b, n: F.lit(1.0)).agg(F.count("*"), F.max(F.abs(F.col("out") - F.col("idx") % 7))).first()
+    assert got[0] == 70_000 and got[1] < 1e-9 and len(plans) == 1
+
+
 def test_a_range_is_two_runs_a_level(spark):
     """So the work of a range doesn't grow with the fan; null is left out, NaN is the greatest."""
     ranges = spark.createDataFrame([(0, "t", 1, 359), (1, "t", 3, 4), (2, "t", 15, 17)], "k long, trace string, lo long, hi long")

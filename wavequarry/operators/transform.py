@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..session import few, written
 
-#: Complex values that a block of columns or of rows holds, a power of two.
-VALUES = 1 << 19
+#: Complex values that a block of columns or of rows holds, a power of two: 2 MB, of which a task has some dozens at a time.
+VALUES = 1 << 17
 PLAN = ["n", "m1", "m2"]
 
 
@@ -66,10 +66,10 @@ def plan_in(t: pa.Table) -> tuple[str, dict[str, int]]:
     return t["trace"][0].as_py(), {c: t[c][0].as_py() for c in PLAN}
 
 
-def transformed(z: DataFrame, inverse: bool = False, values: int = VALUES) -> DataFrame:
-    """trace, idx, re, im of the transform of (trace, idx, re, im), idx from 0 without gaps: sum of z exp(-2 pi i idx k / n). inverse: the other way, over n."""
+def transformed(z: DataFrame, inverse: bool = False, values: int = VALUES, plan: DataFrame | None = None) -> DataFrame:
+    """trace, idx, re, im of the transform of (trace, idx, re, im), idx from 0 without gaps: sum of z exp(-2 pi i idx k / n). inverse: the other way, over n. plan: plan_of() of these traces, if it is known."""
     sign = -1.0 if inverse else 1.0  # the inverse is the conjugate of the conjugate's transform
-    plan = plan_of(z)
+    plan = plan_of(z) if plan is None else plan
     planned = z.join(F.broadcast(plan) if few(plan) else plan, "trace")
     width = F.least("m2", F.greatest(F.lit(1), F.floor(F.lit(values) / F.col("m1"))))
     dealt = planned.withColumn("block", F.floor((F.col("idx") % F.col("m2")) / width))
@@ -124,8 +124,8 @@ def complex_samples(s: DataFrame) -> DataFrame:
 
 def whole_spectrum(s: DataFrame, values: int = VALUES) -> DataFrame:
     """trace, bin, re, im, magnitude, phase of each trace as a whole: bins from 0 to half its length, over its length."""
-    z = transformed(complex_samples(s), values=values)
-    n = plan_of(s).select("trace", "n")
+    plan = plan_of(s)
+    z, n = transformed(complex_samples(s), values=values, plan=plan), plan.select("trace", "n")
     rows = z.join(F.broadcast(n) if few(n) else n, "trace").where(F.col("idx") <= F.floor(F.col("n") / 2))
     re, im = F.col("re") / F.col("n"), F.col("im") / F.col("n")
     return rows.select("trace", F.col("idx").alias("bin"), re.alias("re"), im.alias("im"), F.hypot(re, im).alias("magnitude"), F.atan2(im, re).alias("phase"))
@@ -133,9 +133,9 @@ def whole_spectrum(s: DataFrame, values: int = VALUES) -> DataFrame:
 
 def whole_filtered(s: DataFrame, gain: Callable[[Column, Column], Column], values: int = VALUES) -> DataFrame:
     """trace, idx, out: each trace filtered as a whole, its bins times gain(bin, n), which is asked for bins up to half the length n."""
-    z = transformed(complex_samples(s), values=values)
-    n = plan_of(s).select("trace", "n")
+    plan = plan_of(s)
+    z, n = transformed(complex_samples(s), values=values, plan=plan), plan.select("trace", "n")
     rows = z.join(F.broadcast(n) if few(n) else n, "trace")
     g = gain(F.least("idx", F.col("n") - F.col("idx")), F.col("n"))
-    back = transformed(rows.select("trace", "idx", (F.col("re") * g).alias("re"), (F.col("im") * g).alias("im")), inverse=True, values=values)
+    back = transformed(rows.select("trace", "idx", (F.col("re") * g).alias("re"), (F.col("im") * g).alias("im")), inverse=True, values=values, plan=plan)
     return back.select("trace", "idx", F.col("re").alias("out"))
